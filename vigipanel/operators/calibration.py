@@ -1,0 +1,181 @@
+"""Rate calibration of many series at once: candidate rates are rows.
+
+Each (series, candidate) is one row; the model curve of a batch of rows is one
+vectorised recurrence; the best candidate per series is a ``min_by``, and the
+grid is laid anew around it.  Parallel over series and candidates.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from vigipanel.functions import as_col
+
+CANDIDATES = 33
+ROUNDS = 9
+SUBSTEPS = 8
+
+
+def _curves(beta, gamma, population, infected, removed, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Active stock and new infections at whole steps, one row per candidate (Runge-Kutta 4)."""
+    def slope(s, i):
+        new = beta * s * i / population
+        return -new, new - gamma * i
+
+    s, i = population - infected - removed, infected.copy()
+    active = np.empty((len(beta), steps))
+    fresh = np.empty((len(beta), steps))
+    h = 1.0 / SUBSTEPS
+    for step in range(steps):
+        active[:, step] = np.maximum(i, 0.0)
+        fresh[:, step] = beta * np.maximum(s, 0.0) * np.maximum(i, 0.0) / population
+        for _ in range(SUBSTEPS):
+            a1, b1 = slope(s, i)
+            a2, b2 = slope(s + h / 2 * a1, i + h / 2 * b1)
+            a3, b3 = slope(s + h / 2 * a2, i + h / 2 * b2)
+            a4, b4 = slope(s + h * a3, i + h * b3)
+            s = s + h / 6 * (a1 + 2 * a2 + 2 * a3 + a4)
+            i = i + h / 6 * (b1 + 2 * b2 + 2 * b3 + b4)
+    return active, fresh
+
+
+def _batched(function, frame: pd.DataFrame, out_width):
+    """Apply ``function`` to the rows of equal series length together."""
+    lengths = frame["n"].to_numpy()
+    result = [None] * len(frame)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        part = frame.iloc[at]
+        args = [part[c].to_numpy(dtype=float) for c in ("beta", "gamma", "population", "infected", "removed")]
+        active, fresh = _curves(*args, int(n))
+        for row, value in zip(at, function(part, active, fresh)):
+            result[row] = value
+    return result
+
+
+def modelled_curve(beta, gamma, population, infected, removed, n, incident: bool = False) -> Column:
+    """Array column: the model at the ``n`` time points of a series."""
+    @F.pandas_udf("array<double>")
+    def curve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in parts:
+            yield pd.Series(_batched(lambda _p, a, f: list(f if incident else a), frame, None), index=frame.index)
+
+    cols = dict(beta=beta, gamma=gamma, population=population, infected=infected, removed=removed, n=n)
+    return curve(F.struct(*[as_col(c).cast("long" if k == "n" else "double").alias(k) for k, c in cols.items()]))
+
+
+def _loss(observed, beta, gamma, population, infected, removed, n, incident: bool) -> Column:
+    """Mean squared distance of the model to the observed training series."""
+    @F.pandas_udf("double")
+    def loss(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        def distance(part, active, fresh):
+            target = np.vstack([np.asarray(v, dtype=float) for v in part["observed"]])
+            with np.errstate(all="ignore"):
+                values = np.mean(((fresh if incident else active) - target) ** 2, axis=1)
+            return np.where(np.isfinite(values), values, np.inf)
+
+        for frame in parts:
+            yield pd.Series(_batched(distance, frame, None), index=frame.index, dtype=float)
+
+    cols = dict(beta=beta, gamma=gamma, population=population, infected=infected, removed=removed)
+    return loss(F.struct(
+        as_col(observed).alias("observed"), as_col(n).cast("long").alias("n"),
+        *[as_col(c).cast("double").alias(k) for k, c in cols.items()],
+    ))
+
+
+def calibrate(series: DataFrame, keys: list[str], lower: float, upper: float, validation_size: int = 0,
+              incident: bool = False) -> DataFrame:
+    """Best rate per series by least squares on its training part.
+
+    ``series``: keys, ``observed`` (array in time order), ``population,
+    removed, gamma`` and, for incident targets, ``infected`` (for stock targets
+    the first observed value starts the model).  Series with bad values, or too
+    short to leave two training points, give no row; ``invalid_series`` lists them.
+    """
+    if not (0 <= lower < upper):
+        raise ValueError("bounds must be an increasing interval of non-negative numbers")
+    if validation_size < 0:
+        raise ValueError("validation_size must not be negative")
+    start = F.col("infected") if incident else F.get("observed", F.lit(0))
+    usable = valid_series(validation_size) & start.isNotNull()
+    base = (
+        series.where(usable)
+        .withColumn("n", F.size("observed")).withColumn("n_train", F.col("n") - validation_size)
+        .withColumn("train", F.slice("observed", F.lit(1), F.col("n_train")))
+        .withColumn("start", start.cast("double"))
+        .withColumn("low", F.lit(float(lower))).withColumn("high", F.lit(float(upper)))
+    )
+    state = base
+    carried = base.columns
+    for _ in range(ROUNDS):
+        width = (F.col("high") - F.col("low")) / (CANDIDATES - 1)
+        tried = state.select(
+            *carried, F.explode(F.transform(
+                F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda j: F.col("low") + j * width
+            )).alias("beta"),
+        ).withColumn("mse", _loss("train", "beta", "gamma", "population", "start", "removed", "n_train", incident))
+        best = tried.groupBy(*keys).agg(
+            *[F.first(c).alias(c) for c in carried if c not in keys],
+            F.min(F.struct("mse", "beta")).alias("_best"),
+        )
+        state = best.withColumn("_w", (F.col("high") - F.col("low")) / (CANDIDATES - 1)).select(
+            *[c for c in carried if c not in ("low", "high")],
+            F.greatest(F.lit(float(lower)), F.col("_best.beta") - F.col("_w")).alias("low"),
+            F.least(F.lit(float(upper)), F.col("_best.beta") + F.col("_w")).alias("high"),
+            F.col("_best.beta").alias("beta"), F.col("_best.mse").alias("mse"),
+        )
+    fitted = state.withColumn(
+        "modelled", modelled_curve("beta", "gamma", "population", "start", "removed", "n", incident)
+    )
+    residual = F.zip_with("modelled", "observed", lambda m, o: m - o)
+    fitted = fitted.withColumn("residuals", residual)
+    # the last grid is this narrow when the search has settled
+    settled = (upper - lower) * (2.0 / (CANDIDATES - 1)) ** ROUNDS * 4
+    train = F.slice("residuals", F.lit(1), F.col("n_train"))
+    held = F.slice("residuals", F.col("n_train") + 1, F.greatest(F.col("n") - F.col("n_train"), F.lit(0)))
+    return fitted.select(
+        *keys, "gamma", "beta", F.try_divide("beta", "gamma").alias("basic_reproduction"),
+        (F.col("high") - F.col("low") <= settled).alias("converged"), F.col("mse").alias("objective_mse"),
+        F.col("n_train").alias("train_size"), F.lit(validation_size).alias("validation_size"),
+        *_metrics("", F.col("residuals")), *_metrics("train_", train), *_metrics("validation_", held),
+        "residuals",
+    )
+
+
+def _metrics(prefix: str, residuals: Column):
+    size = F.size(residuals)
+    total = F.aggregate(residuals, F.lit(0.0), lambda acc, r: acc + F.abs(r))
+    squares = F.aggregate(residuals, F.lit(0.0), lambda acc, r: acc + r * r)
+    return [
+        F.try_divide(total, size).alias(f"{prefix}mae"), F.sqrt(F.try_divide(squares, size)).alias(f"{prefix}rmse"),
+    ]
+
+
+def valid_series(validation_size: int = 0) -> Column:
+    """At least two training points, all values finite and not negative."""
+    fine = F.forall("observed", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < F.lit(float("inf"))))
+    return fine & (F.size("observed") - validation_size >= 2)
+
+
+def invalid_series(series: DataFrame, keys: list[str], validation_size: int = 0) -> DataFrame:
+    return series.where(~valid_series(validation_size)).select(*keys)
+
+
+def rate_sensitivity(series: DataFrame, keys: list[str], periods: tuple[float, ...], lower: float,
+                     upper: float, validation_size: int) -> DataFrame:
+    """The calibration repeated for hypothetical infectious periods, all in one job."""
+    if not periods or any(p <= 0 for p in periods):
+        raise ValueError("periods must be positive")
+    spread = (
+        series.drop("gamma").withColumn("period", F.explode(F.array(*[F.lit(float(p)) for p in periods])))
+        .withColumn("gamma", 1 / F.col("period"))
+    )
+    return calibrate(spread, [*keys, "period"], lower, upper, validation_size).select(
+        *keys, "period", "gamma", "beta", "basic_reproduction", "converged",
+        "train_rmse", "validation_rmse", "validation_mae",
+    )
