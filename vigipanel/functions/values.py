@@ -23,13 +23,17 @@ def decimal_comma(value) -> Column:
     return number(F.replace(clean_text(value), F.lit(","), F.lit(".")))
 
 
-def value_status(text) -> Column:
-    """Observed, absent, or the literal text that stood in place of a number."""
+def value_status(text, value) -> Column:
+    """Observed, absent, or the literal text that stood in place of a number.
+
+    ``value`` is the column parsed by ``decimal_comma`` one projection earlier,
+    so that the text is parsed once.
+    """
     cell = clean_text(text)
     return (
-        F.when(cell == "", fv.ABSENT)
-        .when(decimal_comma(text).isNull(), cell)
-        .otherwise(fv.OBSERVED)
+        F.when(as_col(value).isNotNull(), fv.OBSERVED)
+        .when(cell == "", fv.ABSENT)
+        .otherwise(cell)
     )
 
 

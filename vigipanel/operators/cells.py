@@ -155,9 +155,9 @@ def indicator_rows(cells: DataFrame, headers: DataFrame, layout: Layout, state:
         *SHEET, tx.strip_decimal_tail("source_code").alias("source_code"), "area_name",
         F.lit(layout.year).alias("year"), F.lit(layout.component).alias("component"),
         "provider_name", "provider_acronym", "provider_scope", "family", "indicator", "name", "formula", "unit",
-        raw.alias("raw_value"), val.decimal_comma(raw).alias("value"), val.value_status(raw).alias("value_status"),
+        raw.alias("raw_value"), val.decimal_comma(raw).alias("value"),
         "response_status", F.lit(layout.source).alias("source"), F.lit(level).alias("source_level"),
-    )
+    ).withColumn("value_status", val.value_status("raw_value", "value"))
 
 
 def survey_rows(cells: DataFrame) -> DataFrame:

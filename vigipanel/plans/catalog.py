@@ -1,7 +1,9 @@
 """All registered queries."""
 
 from vigipanel.plans import (  # noqa: F401  (importing registers)
+    association_queries,
     incidence_queries,
+    quality_queries,
     reconcile_queries,
 )
 from vigipanel.plans.registry import COMPARISON, QUERIES

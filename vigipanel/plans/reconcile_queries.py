@@ -64,7 +64,7 @@ def member_records(v):
 
 
 @query("normalise_names", r"""
-SELECT doc_id, upper(trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g'))) AS normalised,
+SELECT doc_id, upper(trim(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS normalised,
   strip_accents(text) <> text AS had_accents FROM documents""")
 def normalise_names(v):
     return v.table("documents").select(

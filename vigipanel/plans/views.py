@@ -171,9 +171,8 @@ class Views:
             F.lit("percentual").alias("unit"),
             F.when(new, F.lit("Atendimento")).alias("family"), F.lit("").alias("formula"),
             "raw_value", val.decimal_comma("raw_value").alias("value"),
-            val.value_status("raw_value").alias("value_status"),
             F.lit("municipio_prestador").alias("source_level"),
-        )
+        ).withColumn("value_status", val.value_status("raw_value", "value"))
         return reconcile.harmonised(named, reconcile.comparability(self.spark))
 
     @cached_property
