@@ -11,20 +11,37 @@ from vigipanel import fixed_values as fv
 from vigipanel.functions.indicators import correlation_p
 from vigipanel.functions.values import largest_absolute
 from vigipanel.operators.ranking import average_ranks, running_totals
+from vigipanel.session import cut_lineage
+
+
+def _axis_ranks(valid: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Average ranks of x and of y, found in one ordered pass over both."""
+    both = valid.select(*groups, F.explode(F.array(
+        F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")),
+        F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")),
+    )).alias("e")).select(*groups, "e.*")
+    ranks = average_ranks(both, [*groups, "axis"], "v")
+
+    def of(axis: str, name: str) -> DataFrame:
+        return ranks.where(F.col("axis") == axis).select(
+            *groups, F.col("v").alias(axis), F.col("rank").alias(name)
+        )
+
+    return of("x", "rx"), of("y", "ry")
 
 
 def correlations(pairs: DataFrame, groups: list[str]) -> DataFrame:
     """Pearson and Spearman with two-sided p, pairs with a null left out."""
     valid = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*groups, "x", "y")
+    valid = cut_lineage(valid)
     plain = valid.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("observations"), F.corr("x", "y").alias("pearson_r")
     )
     cells = valid.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("_c"))
-    rx = average_ranks(valid, groups, "x").select(*groups, "x", F.col("rank").alias("_rx"))
-    ry = average_ranks(valid, groups, "y").select(*groups, "y", F.col("rank").alias("_ry"))
+    rx, ry = _axis_ranks(valid, groups)
     sizes = plain.select(*groups, ((F.col("observations") + 1) / 2).alias("_mid"))
     c = F.col("_c")
-    dx, dy = F.col("_rx") - F.col("_mid"), F.col("_ry") - F.col("_mid")
+    dx, dy = F.col("rx") - F.col("_mid"), F.col("ry") - F.col("_mid")
     ranked = (
         cells.join(rx, [*groups, "x"]).join(ry, [*groups, "y"]).join(sizes, groups)
         .groupBy(*groups)
@@ -103,28 +120,59 @@ def _both_above(cells: DataFrame, groups: list[str]) -> DataFrame:
     ).groupBy(*groups, "level", "block", "down", "kind").agg(F.sum("w").alias("w"))
     keys = [*groups, "level", "block"]
     answers = running_totals(events, keys, ["down", "kind"], {"above": "w"}).where(F.col("kind") == 0)
-    return (
+    return cut_lineage(
         asks.join(answers.select(*keys, "down", "above"), [*keys, "down"])
         .groupBy(*groups, "x", "y").agg(F.sum("above").alias("both_above"))
     )
 
 
-def _side(cells: DataFrame, groups: list[str], axis: str, own: str, other: str) -> DataFrame:
-    """Ordered totals along one axis: rows and centred ranks below each value."""
-    per_value = cells.groupBy(*groups, axis).agg(
-        F.sum("c").alias("same"), F.sum(F.col("c") * F.col(own)).alias("own"),
-        F.sum(F.col("c") * F.col(other)).alias("other"), F.lit(1).cast("long").alias("one"),
+def _axis_rows(cells: DataFrame, groups: list[str]) -> DataFrame:
+    """Cells once per axis: own value, the other value, own and other centred rank."""
+    def view(axis, v, w, own, other):
+        return F.struct(
+            F.lit(axis).alias("axis"), F.col(v).alias("v"), F.col(w).alias("w"),
+            F.col(own).alias("own"), F.col(other).alias("other"),
+        )
+
+    return cells.select(*groups, "c", F.explode(F.array(
+        view("x", "x", "y", "u", "v"), view("y", "y", "x", "v", "u"),
+    )).alias("e")).select(*groups, "c", "e.*")
+
+
+def _sides(cells: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Ordered totals along each axis: rows and centred ranks below each value."""
+    per_value = _axis_rows(cells, groups).groupBy(*groups, "axis", "v").agg(
+        F.sum("c").alias("same"), F.sum(F.col("c") * F.col("own")).alias("own"),
+        F.sum(F.col("c") * F.col("other")).alias("other"), F.lit(1).cast("long").alias("one"),
     )
     below = running_totals(
-        per_value, groups, [axis],
+        per_value, [*groups, "axis"], ["v"],
         {"rows_below": "same", "own_below": "own", "other_below": "other", "pos": "one"},
     )
-    return below.select(
-        *groups, axis, F.col("same").alias(f"{axis}_same"), F.col("rows_below").alias(f"{axis}_below"),
-        (-2 * F.col("own_below") - F.col("own")).alias(f"{axis}_own_sign"),
-        (-2 * F.col("other_below") - F.col("other")).alias(f"{axis}_other_sign"),
-        F.col("pos").alias(f"p{axis}"),
+
+    def of(axis: str) -> DataFrame:
+        return below.where(F.col("axis") == axis).select(
+            *groups, F.col("v").alias(axis), F.col("same").alias(f"{axis}_same"),
+            F.col("rows_below").alias(f"{axis}_below"),
+            (-2 * F.col("own_below") - F.col("own")).alias(f"{axis}_own_sign"),
+            (-2 * F.col("other_below") - F.col("other")).alias(f"{axis}_other_sign"),
+            F.col("pos").alias(f"p{axis}"),
+        )
+
+    return of("x"), of("y")
+
+
+def _ties(cells: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows tied in x with a lower y, and rows tied in y with a lower x."""
+    below = running_totals(
+        _axis_rows(cells, groups).select(*groups, "axis", "v", "w", "c"),
+        [*groups, "axis", "v"], ["w"], {"low": "c"},
     )
+    tied_x = below.where(F.col("axis") == "x").select(
+        *groups, F.col("v").alias("x"), F.col("w").alias("y"), F.col("low").alias("tied_x_below"))
+    tied_y = below.where(F.col("axis") == "y").select(
+        *groups, F.col("w").alias("x"), F.col("v").alias("y"), F.col("low").alias("tied_y_below"))
+    return tied_x, tied_y
 
 
 def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> DataFrame:
@@ -135,12 +183,12 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
     from counts of rows above in both directions; no reduced sample is built.
     """
     valid = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*groups, *labels, "x", "y")
+    valid = cut_lineage(valid)
     moments = valid.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
     )
     cells = valid.groupBy(*groups, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    rx = average_ranks(valid, groups, "x").select(*groups, "x", F.col("rank").alias("rx"))
-    ry = average_ranks(valid, groups, "y").select(*groups, "y", F.col("rank").alias("ry"))
+    rx, ry = _axis_ranks(valid, groups)
     mid = (F.col("n") + 1) / 2
     centred = (
         cells.join(rx, [*groups, "x"]).join(ry, [*groups, "y"]).join(moments, groups)
@@ -148,6 +196,7 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
         .withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))
         .drop("rx", "ry")
     )
+    centred = cut_lineage(centred)
     c = F.col("c")
     totals = centred.groupBy(*groups).agg(
         F.sum(c * F.col("dx") * F.col("dx")).alias("sxx"), F.sum(c * F.col("dy") * F.col("dy")).alias("syy"),
@@ -156,18 +205,13 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
         F.sum(c * F.col("u") * F.col("v")).alias("suv"),
         F.count_distinct("x").alias("nx"),
     )
-    sx = _side(centred, groups, "x", "u", "v")
-    sy = _side(centred, groups, "y", "v", "u")
-    placed = centred.join(sx, [*groups, "x"]).join(sy, [*groups, "y"]).join(totals, groups)
+    sx, sy = _sides(centred, groups)
+    placed = cut_lineage(centred.join(sx, [*groups, "x"]).join(sy, [*groups, "y"]).join(totals, groups))
     both = _both_above(
         placed.select(*groups, "x", "y", "c", F.col("px").cast("long").alias("px"), F.col("nx").cast("long").alias("nx")),
         groups,
     )
-    plain = centred.select(*groups, "x", "y", "c")
-    tied_x = running_totals(plain, [*groups, "x"], ["y"], {"low": "c"}).select(
-        *groups, "x", "y", F.col("low").alias("tied_x_below"))
-    tied_y = running_totals(plain, [*groups, "y"], ["x"], {"low": "c"}).select(
-        *groups, "x", "y", F.col("low").alias("tied_y_below"))
+    tied_x, tied_y = _ties(centred, groups)
     full = (
         placed.join(both, [*groups, "x", "y"], "left")
         .join(tied_x, [*groups, "x", "y"]).join(tied_y, [*groups, "x", "y"])
@@ -216,8 +260,8 @@ def linear_fits(pairs: DataFrame, groups: list[str]) -> DataFrame:
 
 def largest_residuals(pairs: DataFrame, groups: list[str], k: int = 5) -> DataFrame:
     """The k rows farthest from the descriptive line of their group, ties by id."""
-    valid = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    fitted = valid.join(linear_fits(pairs, groups), groups).withColumn(
+    valid = cut_lineage(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    fitted = valid.join(linear_fits(valid, groups), groups).withColumn(
         "residual", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
     )
     window = Window.partitionBy(*groups).orderBy(F.abs("residual").desc(), F.col("id"))

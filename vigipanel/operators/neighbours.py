@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.session import cut_lineage
 
 FINEST_LEVEL = 20
 _BROADCAST_LEVELS = 5     # at most 4**6 / 3 cells on levels 0..5
@@ -52,6 +53,7 @@ def contiguity(rings: DataFrame, digits: int = 9) -> DataFrame:
     coordinates, so the mesh must be clean (no vertex in the middle of a
     neighbour's edge).
     """
+    rings = cut_lineage(rings)
     vertices = rings.select("code", *_vertex_key(digits)).distinct()
     touching = (
         vertices.alias("a").join(vertices.alias("b"), ["kx", "ky"])
@@ -119,6 +121,7 @@ def nearest(points: DataFrame, k: int = 4, finest: int = FINEST_LEVEL) -> DataFr
     by, which bounds the candidates without dropping any.
     """
     named = points.select("code", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    named = cut_lineage(named)
     by_code = Window.partitionBy("x", "y").orderBy("code")
     sizes = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("size"))
     first = (
@@ -129,7 +132,7 @@ def nearest(points: DataFrame, k: int = 4, finest: int = FINEST_LEVEL) -> DataFr
     low_x = named.agg(F.min("x")).scalar()
     low_y = named.agg(F.min("y")).scalar()
     extent = named.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).scalar()
-    boxed = places.withColumn("_lx", low_x).withColumn("_ly", low_y).withColumn("_e", extent)
+    boxed = cut_lineage(places.withColumn("_lx", low_x).withColumn("_ly", low_y).withColumn("_e", extent))
 
     def on_level(df, level):
         return (

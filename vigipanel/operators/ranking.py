@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vigipanel.session import cut_lineage
+
 SPLITS = 512
 
 
@@ -44,13 +46,15 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str],
                    sums: dict[str, str], splits: int = SPLITS) -> DataFrame:
     """Adds, per ``{new: source}``, the total of ``source`` over rows before this one.
 
-    ``order`` must be unique inside a group (aggregate equal keys first).
+    ``order`` must be unique inside a group (aggregate equal keys first).  The
+    input is read several times (split points, range totals, rows), so it is
+    checkpointed once: plans stay short however operators are combined.
     """
     groups = list(groups)
     keys = groups or ["_all"]
     work = df if groups else df.withColumn("_all", F.lit(0))
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    work = work.withColumn("_k", key)
+    work = cut_lineage(work.withColumn("_k", key))
     ranged = (
         work.join(_split_points(work, keys, splits), keys)
         .withColumn("_range", _range_of(splits))
@@ -102,7 +106,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
     base = (df if groups else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
     counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_totals(counts, keys, [value], {"_b": "_c"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    sizes = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     placed = ranked.join(sizes, keys)
     aggs = []
     for name, p in probabilities.items():

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vigipanel import fixed_values as fv
 from vigipanel.functions.indicators import quadrant, significant
 from vigipanel.operators.ranking import row_positions
+from vigipanel.session import cut_lineage
 
 _PREFIX = 2          # hex digits: 256 ranges per permutation
 _DIGITS = 12         # simulated and observed values are compared at this precision
@@ -52,6 +53,11 @@ def _global_coefficient(lagged: DataFrame) -> DataFrame:
     )
 
 
+def observed_coefficients(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """Global coefficient per rule and year, without a test."""
+    return _global_coefficient(spatial_lag(values, edges))
+
+
 def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
     """Rows ``year, perm, code, z``: the centred values dealt out anew."""
     z = centred(values)
@@ -71,7 +77,8 @@ def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bo
         keyed.withColumn("_r", F.row_number().over(inside)).join(offsets, ["year", "perm", "prefix"])
         .select("year", "perm", "code", (F.col("_o") + F.col("_r")).alias("position"))
     )
-    return ordered.join(placed.select("year", "position", "z", "n", "zz"), ["year", "position"]).drop("position")
+    dealt = ordered.join(placed.select("year", "position", "z", "n", "zz"), ["year", "position"])
+    return cut_lineage(dealt.drop("position"))
 
 
 def _permuted_lags(deals: DataFrame, edges: DataFrame) -> DataFrame:
@@ -94,6 +101,7 @@ def moran_global(values: DataFrame, edges: DataFrame, permutations: int = fv.PER
 
     Constant values have no coefficient (null); ``quality.spatial_ready`` reports them.
     """
+    values, edges = cut_lineage(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     observed = _global_coefficient(spatial_lag(values, edges))
     simulated = (
         _permuted_lags(permuted(values, permutations, seed, seed_plus_year), edges)
@@ -121,6 +129,7 @@ def moran_local(values: DataFrame, edges: DataFrame, permutations: int = fv.PERM
 
     The area's own value is dealt out too; the variance is that of the population.
     """
+    values, edges = cut_lineage(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     variance = F.col("zz") / F.col("n")
     observed = spatial_lag(values, edges).withColumn(
         "local_i", F.try_divide(F.col("z") * F.col("lag"), variance)

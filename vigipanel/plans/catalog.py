@@ -5,6 +5,8 @@ from vigipanel.plans import (  # noqa: F401  (importing registers)
     incidence_queries,
     quality_queries,
     reconcile_queries,
+    spatial_queries,
+    stock_queries,
 )
 from vigipanel.plans.registry import COMPARISON, QUERIES
 

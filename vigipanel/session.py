@@ -49,6 +49,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint of an iterative result in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame that several branches read to the shared folder, and read it back.
+
+    Unlike an in-memory or local copy it survives lost executors; unlike an RDD
+    checkpoint it is computed once, stays columnar, and gives the optimizer true
+    sizes for the joins that follow.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
