@@ -5,6 +5,7 @@ from vigipanel.plans import (  # noqa: F401  (importing registers)
     incidence_queries,
     quality_queries,
     reconcile_queries,
+    source_queries,
     spatial_queries,
     stock_queries,
 )

@@ -139,12 +139,12 @@ def rate_residuals(v):
 @query("scenario_compare", """
 SELECT b.code, b.day, b.susceptible AS susceptible_base, b.infected AS infected_base, b.removed AS removed_base,
   first_value(b.susceptible) OVER (PARTITION BY b.code ORDER BY b.day) - b.susceptible AS cumulative_base,
-  round(b.basic_reproduction * b.susceptible / b.population, 6) + 0.0 AS effective_base, i.infected AS infected_intervention,
+  round(b.basic_reproduction * b.susceptible / b.population, 9) + 0.0 AS effective_base, i.infected AS infected_intervention,
   first_value(i.susceptible) OVER (PARTITION BY b.code ORDER BY b.day) - i.susceptible AS cumulative_intervention,
-  round(i.basic_reproduction * i.susceptible / i.population, 6) + 0.0 AS effective_intervention
+  round(i.basic_reproduction * i.susceptible / i.population, 9) + 0.0 AS effective_intervention
 FROM run_rows b JOIN run_rows i ON i.code = b.code AND i.day = b.day AND i.execution_id = 'intervention' WHERE b.execution_id = 'base'""")
 def scenario_compare(v):
-    return whole(stock.scenario_comparison(v.runs("base"), v.runs("intervention")))
+    return whole(stock.scenario_comparison(v.runs("base"), v.runs("intervention")), 9)
 
 
 @query("scenario_peaks", """

@@ -28,8 +28,8 @@ MEASURES = (
 CURRENT_FROM = 2000      # from this year on providers report the current codes
 
 
-def whole(df: DataFrame) -> DataFrame:
-    """Comparable output: whole numbers as long, fractions to six places."""
+def whole(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Comparable output: whole numbers as long, fractions to ``digits`` places."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -37,7 +37,7 @@ def whole(df: DataFrame) -> DataFrame:
         if kind in ("integer", "short", "byte"):
             column = column.cast("long")
         elif kind in ("double", "float"):
-            column = F.round(column.cast("double"), 6) + F.lit(0.0)
+            column = F.round(column.cast("double"), digits) + F.lit(0.0)
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -13,10 +13,13 @@ _PAGE = "status string, rows array<struct<cell: array<string>>>, _corrupt_record
 _AREA = "id string, nome string, _corrupt_record string"
 
 
-def grid_pages(spark: SparkSession, paths) -> DataFrame:
-    """Page files as ``path, status, rows``; text that is no JSON has a null status."""
+def grid_pages(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+    """Page files as ``path, status, rows``; text that is no JSON has a null status.
+
+    ``multi_line=False`` reads many pages per file, one per line.
+    """
     return (
-        spark.read.schema(_PAGE).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+        spark.read.schema(_PAGE).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
         .withColumn("path", F.col("_metadata.file_path"))
     )
 
@@ -55,9 +58,9 @@ def grid_indicators(rows: DataFrame, areas: DataFrame) -> DataFrame:
     )
 
 
-def area_list(spark: SparkSession, paths) -> DataFrame:
-    """A JSON list of areas as ``code, name``; bad records are kept apart by ``bad_areas``."""
-    parsed = spark.read.schema(_AREA).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+def area_list(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+    """A JSON list of areas as ``code, name``; bad records are for ``list_violations``."""
+    parsed = spark.read.schema(_AREA).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
     return parsed.where(F.col("_corrupt_record").isNull()).select(F.trim("id").alias("code"), F.trim("nome").alias("name"))
 
 
