@@ -28,15 +28,42 @@ def listing(spark: SparkSession, root: str, pattern: str | None = None, content:
     )
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files without a byte, which file scans skip: found in the folder listing.
+
+    Only names pass through the driver, as in any listing, and only those of
+    empty files are kept.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, entries = [], system.listFiles(base, True)
+    while entries.hasNext():
+        entry = entries.next()
+        if entry.getLen() == 0:
+            path = entry.getPath().toUri().getPath()
+            found.append((path, entry.getModificationTime() / 1000))
+    top = base.toUri().getPath().rstrip("/") + "/"
+    hidden = tuple(".gitkeep _SUCCESS".split())
+    rows = [(p.removeprefix(top), 0, t) for p, t in found if not p.endswith(hidden)]
+    return spark.createDataFrame(rows, "path string, length long, _t double").select(
+        "path", "length", F.timestamp_seconds("_t").alias("modificationTime"), F.lit("").cast("binary").alias("content")
+    )
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """All files with their content, also the empty ones."""
+    return listing(spark, root, content=True).unionByName(empty_files(spark, root))
+
+
 def hashes(spark: SparkSession, root: str) -> DataFrame:
     """``path, length, sha256``; a file too large for one row gets no hash."""
-    files = listing(spark, root, content=True)
+    files = inventory(spark, root)
     return files.select("path", "length", F.when(F.col("length") <= _LARGEST, F.sha2("content", 256)).alias("sha256"))
 
 
 def file_control(spark: SparkSession, root: str, version: str) -> DataFrame:
     """The control table of all files below ``root/<layer>/<domain>/``."""
-    files = listing(spark, root, content=True)
+    files = inventory(spark, root)
     layer = F.element_at(F.split("path", "/"), 1)
     domain = F.get(F.split("path", "/"), F.lit(1))
     shaped = with_shape(files)
