@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -42,7 +43,9 @@ def _latin_tables() -> tuple[str, str, dict[str, str]]:
                 single_to.append(plain)
             else:
                 several[char] = plain
-    return "".join(single_from), "".join(single_to), several
+    # marks have no counterpart, so ``translate`` drops them
+    marks = "".join(chr(p) for p in range(0x0300, sys.maxunicode + 1) if unicodedata.combining(chr(p)))
+    return "".join(single_from) + marks, "".join(single_to), several
 
 
 _ACCENTED, _PLAIN, _EXPANDED = _latin_tables()
@@ -51,21 +54,19 @@ _ACCENTED, _PLAIN, _EXPANDED = _latin_tables()
 def unaccent(value) -> Column:
     """Compatibility decomposition without combining marks, for Latin text.
 
-    Stays JVM-side: one ``translate`` for letters with one base letter, and
-    replacements for the few that expand, tried only on rows that hold one.
+    Stays JVM-side: plain replacements for the few letters that expand, then one
+    ``translate`` for letters with one base letter and for the marks of all
+    scripts.  Text without such characters passes both quickly.
     """
-    text = F.translate(as_col(value), _ACCENTED, _PLAIN)
-    wide = text
+    text = as_col(value)
     for char, plain in _EXPANDED.items():
-        wide = F.replace(wide, F.lit(char), F.lit(plain))
-    text = F.when(text.rlike("[" + "".join(_EXPANDED) + "]"), wide).otherwise(text)
-    return F.when(text.rlike(r"\p{M}"), F.regexp_replace(text, r"\p{M}+", "")).otherwise(text)
+        text = F.replace(text, F.lit(char), F.lit(plain))
+    return F.translate(text, _ACCENTED, _PLAIN)
 
 
 def normalise_name(value) -> Column:
     """Unaccented, single-spaced, upper case; blank gives null (a quality violation)."""
-    flat = F.upper(flatten_space(unaccent(value)))
-    return F.when(flat == "", None).otherwise(flat)
+    return F.nullif(F.upper(flatten_space(unaccent(value))), F.lit(""))
 
 
 def leading_code(value, digits: int = 6) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.functions.text import clean_text
+from vigipanel.session import cut_lineage
 
 _SCHEMA = "rule string, key string, detail string"
 
@@ -71,6 +72,7 @@ def value_domain(df: DataFrame, column: str, allowed, exact: bool = False, rule:
     spark = df.sparkSession
     seen = df.groupBy(F.col(column).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     domain = spark.createDataFrame([(str(v),) for v in allowed], "_v string")
+    seen = cut_lineage(seen) if exact else seen
     out = violations(
         seen.join(domain, "_v", "left_anti"), rule, F.coalesce("_v", F.lit("")),
         F.concat(F.lit("unexpected rows="), F.col("_n")),
@@ -145,6 +147,7 @@ def code_prefix(df: DataFrame, column: str, prefix: str, rule: str = "code_prefi
 
 def neighbour_graph(edges: DataFrame, areas: DataFrame, symmetric: bool = True, tolerance: float = 1e-10) -> DataFrame:
     """Coverage, isolates, symmetry and row weights of one edge table ``src, dst, weight``."""
+    edges = cut_lineage(edges.select("src", "dst", "weight"))
     codes = areas.select(F.col("code").alias("_v"))
     sources = edges.groupBy(F.col("src").alias("_v")).agg(F.sum("weight").alias("_w"))
     out = [
@@ -240,7 +243,8 @@ def error_pages(pages: DataFrame, key: str, html: str, markers=fv.ERROR_MARKERS)
 
 def spatial_ready(values: DataFrame, edges: DataFrame) -> DataFrame:
     """Years in which an area of the graph has no value, and years of constant values."""
-    graph = edges.select(F.col("src").alias("code")).distinct()
+    values = cut_lineage(values.select("year", "code", "value"))
+    graph = cut_lineage(edges.select(F.col("src").alias("code")).distinct())
     years = values.select("year").distinct()
     held = values.where(F.col("value").isNotNull()).select("code", "year")
     per_year = held.join(graph, "code", "left_semi").groupBy("year").agg(F.count_distinct("code").alias("_n"))

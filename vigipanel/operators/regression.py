@@ -34,6 +34,7 @@ def standardised_samples(panel: DataFrame, indicators: dict[str, str], lags: int
     from vigipanel.operators.association import lagged_pairs
 
     pairs = lagged_pairs(panel, {m: (rule,) for m, rule in indicators.items()}, lags)
+    pairs = cut_lineage(pairs)
     moments = pairs.groupBy(*SAMPLE).agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
     return pairs.join(moments, SAMPLE).select(
         *SAMPLE, "outlier_rule", "code", "year", "month", "reference_date",

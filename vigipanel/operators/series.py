@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.functions import indicators as ind, records as rec
+from vigipanel.session import cut_lineage
 
 CONFIRMED_LABELS = tuple(l for c, l in fv.CLASS_LABELS.items() if c != fv.DISCARDED_CLASS)
 
@@ -122,9 +123,10 @@ def weekly_series(records: DataFrame, areas: DataFrame, first_year: int, last_ye
     the period and keep, by an equality join on (year, week), those that occur.
     """
     valid = records.where(rec.valid_week("symptom_week", first_year, last_year))
-    counts = valid.groupBy("code", F.col("symptom_week").alias("week")).agg(*_class_counts())
+    # both the calendar and the grid need the counts: records are read once
+    counts = cut_lineage(valid.groupBy("code", F.col("symptom_week").alias("week")).agg(*_class_counts()))
     observed = (
-        valid.select(F.col("symptom_week").alias("week")).distinct()
+        counts.select("week").distinct()
         .withColumn("_year", rec.week_year("week"))
         .withColumn("_number", rec.week_number("week"))
     )

@@ -68,10 +68,9 @@ def holdout_metrics(fitted: DataFrame, keys: list[str], time: str, validation_si
 
     ``fitted`` holds ``observed`` and ``modelled``.
     """
-    order = _in_order(keys, time)
-    sizes = fitted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = (
-        fitted.withColumn("_r", F.row_number().over(order)).join(sizes, keys)
+        fitted.withColumn("_r", F.row_number().over(_in_order(keys, time)))
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         .withColumn("_res", F.col("modelled") - F.col("observed"))
         .withColumn("_train", F.col("_r") <= F.col("_n") - validation_size)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.operators.ranking import exact_quantiles, row_positions
+from vigipanel.session import cut_lineage
 
 
 def ratio_of_sums(df: DataFrame, keys: list[str], cases: str = "probable_cases",
@@ -18,6 +19,7 @@ def ratio_of_sums(df: DataFrame, keys: list[str], cases: str = "probable_cases",
 
 def annual_summary(annual: DataFrame) -> DataFrame:
     """One row per year: totals, ratio of sums and the spread over areas."""
+    annual = cut_lineage(annual.select("year", "probable_cases", "population", "incidence"))
     v = F.col("incidence")
     base = annual.groupBy("year").agg(
         F.count(F.lit(1)).alias("areas"),
@@ -41,6 +43,8 @@ def annual_extremes(annual: DataFrame, k: int = 10) -> DataFrame:
 
     ``row_number <= k`` lets Spark keep k rows per task before the shuffle.
     """
+    annual = cut_lineage(annual)
+
     def side(order, label):
         window = Window.partitionBy("year").orderBy(order, F.col("code"))
         return (
@@ -56,6 +60,7 @@ def annual_extremes(annual: DataFrame, k: int = 10) -> DataFrame:
 
 def winsorised(df: DataFrame, value: str, probability: float = 0.99) -> DataFrame:
     """Values cut at one upper quantile of the whole table."""
+    df = cut_lineage(df)
     limit = exact_quantiles(df, [], value, {"_limit": probability}).scalar()
     return df.withColumn("limit_value", limit).withColumn(
         "map_value", F.least(F.col(value), F.col("limit_value"))
@@ -65,7 +70,8 @@ def winsorised(df: DataFrame, value: str, probability: float = 0.99) -> DataFram
 def thinned(df: DataFrame, series: list[str], order: str, frames: int = 60) -> DataFrame:
     """Every n-th row of a series so that at most ``frames`` remain."""
     placed = row_positions(df, series, [order], "_position")
-    sizes = df.groupBy(*series).agg(F.count(F.lit(1)).alias("_size"))
+    placed = cut_lineage(placed)
+    sizes = placed.groupBy(*series).agg(F.max("_position").alias("_size"))
     step = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(frames)))
     return (
         placed.join(sizes, series)
