@@ -15,6 +15,7 @@ from vigipanel import fixed_values as fv
 from vigipanel.functions.text import clean_text
 from vigipanel.session import cut_lineage
 
+_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _SCHEMA = "rule string, key string, detail string"
 
 
@@ -199,11 +200,11 @@ def manifest_check(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def credential_lines(texts: DataFrame, key: str, text: str, patterns=fv.CREDENTIAL_PATTERNS) -> DataFrame:
     """``key:line`` of every line that looks like a credential; the value stays out."""
-    hit = reduce(lambda a, b: a | b, [F.col("_line").rlike(p) for p in patterns])
-    whole = reduce(lambda a, b: a | b, [F.col(text).rlike(p) for p in patterns])
+    hit = reduce(lambda a, b: a | b, [F.col("_line").rlike(f"(?U){p}") for p in patterns])
+    whole = reduce(lambda a, b: a | b, [F.col(text).rlike(f"(?U){p}") for p in patterns])
     lines = (
         texts.where(whole)      # most texts hold none and are not split
-        .select(F.col(key).cast("string").alias("_k"), F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("_p", "_line"))
+        .select(F.col(key).cast("string").alias("_k"), F.posexplode(F.split(text, _LINE_BREAK)).alias("_p", "_line"))
         .where(hit)
     )
     return violations(lines, "credential", F.concat(F.col("_k"), F.lit(":"), F.col("_p") + 1), "possible credential")
@@ -232,7 +233,7 @@ def payload_signature(files: DataFrame, default_format: str | None = None) -> Da
 
 def error_pages(pages: DataFrame, key: str, html: str, markers=fv.ERROR_MARKERS) -> DataFrame:
     """Error pages served as success, and empty payloads."""
-    head = F.lower(F.substring(html, 1, fv.ERROR_PREFIX_BYTES))
+    head = F.lower(F.substring(F.col(html).cast("binary"), 1, fv.ERROR_PREFIX_BYTES).cast("string"))
     marked = reduce(lambda a, b: a | b, [head.contains(m) for m in markers])
     empty = F.coalesce(F.length(html), F.lit(0)) == 0
     disguised = head.contains("<html") & marked

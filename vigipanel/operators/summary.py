@@ -120,14 +120,21 @@ def panel_coverage(panel: DataFrame) -> DataFrame:
 
 
 def indicator_coverage(indicators: DataFrame) -> DataFrame:
-    with_value = F.col("value").isNotNull()
-    return indicators.groupBy("system", "year", "component").agg(
+    """Areas, areas with a value, codes and rows per system, year and component.
+
+    Rows are first counted per (area, code), so that the distinct counts unfold
+    few rows instead of the whole fact.
+    """
+    keys = ["system", "year", "component"]
+    cells = indicators.groupBy(*keys, "code", "indicator").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("value").alias("_values"), F.min("source_level").alias("_level")
+    )
+    return cells.groupBy(*keys).agg(
         F.count_distinct("code").alias("areas_in_base"),
-        F.count_distinct(F.when(with_value, F.col("code"))).alias("areas_with_value"),
+        F.count_distinct(F.when(F.col("_values") > 0, F.col("code"))).alias("areas_with_value"),
         F.count_distinct("indicator").alias("indicators"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("values_present"),
-        F.min("source_level").alias("source_level"),
+        F.sum("_rows").alias("rows"), F.sum("_values").alias("values_present"),
+        F.min("_level").alias("source_level"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.operators import quality
-from vigipanel.session import fresh_path
+from vigipanel.session import cut_lineage, fresh_path
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 def append_run(run: DataFrame, path: str) -> int:
     """Append one complete run; refuses bad payloads and an id already stored."""
     quality.enforce(quality.required_columns(run, [n for n, _ in fv.RUN_COLUMNS]))
-    typed = run.select(*[F.col(n).cast(t).alias(n) for n, t in fv.RUN_COLUMNS])
+    typed = cut_lineage(run.select(*[F.col(n).cast(t).alias(n) for n, t in fv.RUN_COLUMNS]))
     quality.enforce(quality.run_payload(typed))
     nulls = None
     for name, _ in fv.RUN_COLUMNS:
