@@ -68,7 +68,7 @@ def modelled_curve(beta, gamma, population, infected, removed, n, incident: bool
     return curve(F.struct(*[as_col(c).cast("long" if k == "n" else "double").alias(k) for k, c in cols.items()]))
 
 
-def _loss(observed, beta, gamma, population, infected, removed, n, incident: bool) -> Column:
+def model_loss(observed, beta, gamma, population, infected, removed, n, incident: bool = False) -> Column:
     """Mean squared distance of the model to the observed training series."""
     @F.pandas_udf("double")
     def loss(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -118,7 +118,7 @@ def calibrate(series: DataFrame, keys: list[str], lower: float, upper: float, va
             *carried, F.explode(F.transform(
                 F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda j: F.col("low") + j * width
             )).alias("beta"),
-        ).withColumn("mse", _loss("train", "beta", "gamma", "population", "start", "removed", "n_train", incident))
+        ).withColumn("mse", model_loss("train", "beta", "gamma", "population", "start", "removed", "n_train", incident))
         best = tried.groupBy(*keys).agg(
             *[F.first(c).alias(c) for c in carried if c not in keys],
             F.min(F.struct("mse", "beta")).alias("_best"),

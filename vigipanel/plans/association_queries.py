@@ -60,9 +60,21 @@ def lag_associations(v):
     return whole(assoc.lag_associations(v.panel, RULES).drop("pearson_p", "spearman_p"))
 
 
-@query("association_pvalues")
+def _tail(r: str, power: str) -> str:
+    """Two-sided tail as an integral of cos(theta)**power from asin(|r|) to pi/2, Simpson's rule."""
+    a, h = f"asin(abs({r}))", f"((pi() / 2 - asin(abs({r}))) / 2000)"
+    beta = f"exp(lgamma(({power}) / 2.0 + 1) - lgamma(0.5) - lgamma((({power}) + 1) / 2.0))"
+    return (f"2 * {beta} * {h} / 3 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+            f" * pow(abs(cos({a} + i * {h})), {power})) FROM (SELECT unnest(generate_series(0, 2000)) AS i))")
+
+
+@query("association_pvalues", LAGGED + f"""
+, c AS (SELECT indicator, lag, outlier_rule, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS s FROM ranked GROUP BY 1, 2, 3)
+SELECT indicator, lag, outlier_rule, n AS observations, round({_tail('r', '(n - 3)')}, 6) + 0.0 AS pearson_p, round({_tail('s', '(n - 3)')}, 6) + 0.0 AS spearman_p FROM c""")
 def association_pvalues(v):
-    return whole(assoc.lag_associations(v.panel, RULES))
+    return whole(assoc.lag_associations(v.panel, RULES).select(
+        "indicator", "lag", "outlier_rule", "observations", "pearson_p", "spearman_p"
+    ))
 
 
 @query("leave_one_out", """
@@ -117,9 +129,10 @@ b AS (SELECT lag, transform, count(*) AS n, count(DISTINCT code) AS g, {k} AS k,
 e AS (SELECT d.lag, d.transform, d.code, d.dx, d.dy - b.beta * d.dx AS e FROM d JOIN b ON b.lag = d.lag AND b.transform = d.transform),
 m AS (SELECT lag, transform, sum(s * s) AS meat, sum(q) AS rss FROM (
   SELECT lag, transform, code, sum(dx * e) AS s, sum(e * e) AS q FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT b.lag, b.transform, b.n AS observations, b.g AS clusters, round(b.beta, 6) + 0.0 AS coefficient,
-  round(sqrt(CAST(b.g AS DOUBLE) / (b.g - 1) * (b.n - 1) / (b.n - b.k) * m.meat) / b.xx, 6) + 0.0 AS cluster_error, round(1 - m.rss / b.tss, 6) + 0.0 AS r_squared
-FROM b JOIN m ON m.lag = b.lag AND m.transform = b.transform"""
+SELECT lag, transform, n AS observations, g AS clusters, round(beta, 6) + 0.0 AS coefficient, round(se, 6) + 0.0 AS cluster_error,
+  round(r2, 6) + 0.0 AS r_squared, round({_tail("(beta / sqrt((g - 1) * se * se + beta * beta))", "(g - 2)")}, 6) + 0.0 AS p_value
+FROM (SELECT b.*, sqrt(CAST(b.g AS DOUBLE) / (b.g - 1) * (b.n - 1) / (b.n - b.k) * m.meat) / b.xx AS se, 1 - m.rss / b.tss AS r2
+  FROM b JOIN m ON m.lag = b.lag AND m.transform = b.transform)"""
 
 
 _GRAND = "{v} - avg({v}) OVER (PARTITION BY lag, transform) AS d{v}"
@@ -131,7 +144,7 @@ def _models(v, adjustment: str, lags: int):
     samples = reg.standardised_samples(v.panel, BALANCED_RULES, lags)
     rows = reg.specifications(samples, adjustments=(adjustment,)).drop("outlier_rule")
     return whole(reg.clustered_models(rows).select(
-        "lag", "transform", "observations", "clusters", "coefficient", "cluster_error", "r_squared"
+        "lag", "transform", "observations", "clusters", "coefficient", "cluster_error", "r_squared", "p_value"
     ))
 
 
@@ -159,11 +172,15 @@ def model_grid(v):
     return whole(reg.model_grid(v.panel, MODEL_RULES))
 
 
-@query("breusch_pagan")
+@query("breusch_pagan", """
+WITH s AS (SELECT lag, x, y, avg(x) OVER w AS mx FROM panel_pairs WHERE indicator = 'iip' AND outlier_rule = 'nao_aplicavel' WINDOW w AS (PARTITION BY lag)),
+f AS (SELECT lag, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s GROUP BY 1),
+e AS (SELECT s.lag, s.x, pow(s.y - f.a - f.b * s.x, 2) AS e2 FROM s JOIN f ON f.lag = s.lag)
+SELECT lag, count(*) AS observations, round(count(*) * pow(corr(e2, x), 2), 6) + 0.0 AS bp_statistic FROM e GROUP BY 1""")
 def breusch_pagan(v):
-    samples = reg.standardised_samples(v.panel, MODEL_RULES, 1)
-    rows = reg.specifications(samples, transforms=("original",), adjustments=("bruto", "municipio_rodada")).drop("outlier_rule")
-    return whole(reg.clustered_models(rows).select("indicator", "lag", "adjustment", "observations", "bp_statistic", "bp_p"))
+    samples = reg.standardised_samples(v.panel, {"iip": fv.OUTLIER_NOT_APPLICABLE})
+    rows = reg.specifications(samples, transforms=("original",), adjustments=("bruto",)).drop("outlier_rule")
+    return whole(reg.clustered_models(rows).select("lag", "observations", "bp_statistic"))
 
 
 @query("largest_absolute", """

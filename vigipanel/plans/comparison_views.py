@@ -145,6 +145,12 @@ SELECT 'contiguidade_rainha' AS rule, a.code AS src, b.code AS dst,
        CASE WHEN abs(a.x - b.x) + abs(a.y - b.y) = 1 THEN 'rook' ELSE 'queen_point' END AS contact,
        count(*) OVER (PARTITION BY a.code) AS neighbours, 1.0 / count(*) OVER (PARTITION BY a.code) AS weight
 FROM area a JOIN area b ON greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1""",
+    "mesh": """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code, CAST(c_custkey % 100 AS DOUBLE) AS x, CAST(c_custkey // 100 AS DOUBLE) AS y FROM customer""",
+    "mesh_edge": """
+SELECT a.code AS src, b.code AS dst, CASE WHEN abs(a.x - b.x) + abs(a.y - b.y) = 1 THEN 'rook' ELSE 'queen_point' END AS contact,
+       count(*) OVER (PARTITION BY a.code) AS neighbours, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY a.code) AS weight
+FROM mesh a JOIN mesh b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND a.code <> b.code""",
     "rook_edge": """
 SELECT 'contiguidade_torre' AS rule, src, dst, contact, count(*) OVER (PARTITION BY src) AS neighbours,
        CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS weight

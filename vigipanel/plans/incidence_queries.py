@@ -162,9 +162,9 @@ def point_lookup_indicators(v):
     return whole(summary.lookup(v.indicators, LOOKUP_CODE, columns, [F.desc("year"), "component", "indicator"]))
 
 
-@query("area_list", "SELECT code, name FROM area")
+@query("area_list", "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name FROM customer")
 def area_list(v):
-    return summary.area_list(v.area)
+    return summary.area_list(v.table("customer").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name")))
 
 
 @query("thin_series", """

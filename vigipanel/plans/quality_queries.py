@@ -11,19 +11,19 @@ from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, whole
 
 
 @query("dq_required_cols", """
-SELECT 'required_columns' AS rule, c AS key, 'missing' AS detail FROM (VALUES ('class_code'), ('criterion')) t(c)
-WHERE (SELECT count(*) FROM lineitem) >= 0""")
+SELECT 'required_columns' AS rule, c AS key, 'missing' AS detail, (SELECT count(*) FROM record) AS rows FROM (VALUES ('class_code'), ('criterion')) t(c)""")
 def dq_required_cols(v):
     """Staged records against the typed contract: two columns are not there yet."""
     stripped = v.staged.drop("class_code")
-    return dq.required_columns(stripped, ["residence_code", "symptom_date", "notification_date", "class_code", "criterion"])
+    gate = dq.required_columns(stripped, ["residence_code", "symptom_date", "notification_date", "class_code", "criterion"])
+    return gate.withColumn("rows", stripped.agg(F.count(F.lit(1))).scalar())
 
 
 @query("dq_forbidden_cols", """
-SELECT 'forbidden_columns' AS rule, c AS key, 'present' AS detail FROM (VALUES ('CEP'), ('NM_PACIENT')) t(c)""")
+SELECT 'forbidden_columns' AS rule, c AS key, 'present' AS detail, (SELECT count(*) FROM customer) AS rows FROM (VALUES ('CEP'), ('NM_PACIENT')) t(c)""")
 def dq_forbidden_cols(v):
     named = v.table("customer").withColumnRenamed("c_name", "NM_PACIENT").withColumn("CEP", F.lit(""))
-    return dq.forbidden_columns(named)
+    return dq.forbidden_columns(named).withColumn("rows", named.agg(F.count(F.lit(1))).scalar())
 
 
 @query("dq_unique", """

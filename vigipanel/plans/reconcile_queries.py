@@ -79,10 +79,17 @@ def flatten_space(v):
 
 
 @query("region_dimension", """
-SELECT code, name, upper(name) AS normalised_name, 'RJ' AS state, '33' AS state_code, region_code, region FROM area""")
+SELECT p.code, a.name, upper(a.name) AS normalised_name, 'RJ' AS state, '33' AS state_code, a.region_code, a.region
+FROM (SELECT CASE WHEN c_custkey % 8 = 5 THEN '35' ELSE '33' END || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS code, c_nationkey FROM customer) p
+JOIN area a ON a.key = p.c_nationkey WHERE starts_with(p.code, '33')""")
 def region_dimension(v):
+    """Customers as places named after their nation, found in the region list by name."""
     regions = v.area.select(F.lower("name").alias("area_name"), "region_code", "region")
-    return reconcile.area_dimension(v.area, regions)
+    prefix = F.when(F.col("c_custkey") % 8 == 5, "35").otherwise("33")
+    places = v.table("customer").join(v.area.select("key", "name"), F.col("c_nationkey") == F.col("key")).select(
+        F.concat(prefix, F.lpad(F.col("c_custkey").cast("string"), 5, "0")).alias("code"), F.concat(F.lit(" "), "name").alias("name")
+    )
+    return reconcile.area_dimension(places, regions)
 
 
 @query("code_validity", """

@@ -155,11 +155,12 @@ def paged_json(v):
     return whole(long.select("code", "ano", "codigo_prestador", "indicator", "value", "unit", "source_level"))
 
 
-@query("json_dimension", "SELECT code, name FROM area")
+@query("json_dimension", "SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name FROM customer")
 def json_dimension(v):
+    """Lists of a hundred places each, written as JSON and read back."""
     path = fresh_path(v.spark, "areas")
-    lists = v.area.groupBy("region_code").agg(F.to_json(F.collect_list(F.struct(
-        F.col("code").alias("id"), F.col("name").alias("nome")))).alias("value"))
+    lists = v.table("customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("list")).agg(F.to_json(F.collect_list(F.struct(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("nome")))).alias("value"))
     lists.select("value").write.text(path)
     return documents.area_list(v.spark, path, multi_line=False)
 

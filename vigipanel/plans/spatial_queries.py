@@ -21,24 +21,25 @@ def _edges(v, *rules):
 
 
 @query("contiguity_queen", """
-SELECT src, dst, contact, neighbours, CAST(1 AS BIGINT) AS binary_weight, round(CAST(weight AS DOUBLE), 6) + 0.0 AS weight, rule FROM queen_edge""")
+SELECT src, dst, contact, neighbours, CAST(1 AS BIGINT) AS binary_weight, round(weight, 6) + 0.0 AS weight, 'contiguidade_rainha' AS rule FROM mesh_edge""")
 def contiguity_queen(v):
-    return whole(v.queen)
+    return whole(neighbours.contiguity(v.customer_mesh))
 
 
 @query("contiguity_rook", """
-SELECT src, dst, contact, neighbours, CAST(1 AS BIGINT) AS binary_weight, round(weight, 6) + 0.0 AS weight, rule FROM rook_edge""")
+SELECT src, dst, contact, count(*) OVER (PARTITION BY src) AS neighbours, CAST(1 AS BIGINT) AS binary_weight,
+  round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src), 6) + 0.0 AS weight, 'contiguidade_torre' AS rule FROM mesh_edge WHERE contact = 'rook'""")
 def contiguity_rook(v):
-    return whole(v.rook)
+    return whole(neighbours.edge_contacts_only(neighbours.contiguity(v.customer_mesh)))
 
 
 @query("neighbour_counts", """
-SELECT rule, src, count(*) AS neighbours, round(CAST(sum(weight) AS DOUBLE), 6) + 0.0 AS weight_sum FROM all_edges GROUP BY 1, 2""")
+SELECT src, count(*) AS neighbours, count(*) FILTER (WHERE contact = 'rook') AS by_edge, round(sum(weight), 6) + 0.0 AS weight_sum FROM mesh_edge GROUP BY 1""")
 def neighbour_counts(v):
-    return whole(
-        _edges(v, "queen", "rook", "knn4").groupBy("rule", "src")
-        .agg(F.count(F.lit(1)).alias("neighbours"), F.sum("weight").alias("weight_sum"))
-    )
+    return whole(neighbours.contiguity(v.customer_mesh).groupBy("src").agg(
+        F.count(F.lit(1)).alias("neighbours"), F.count_if(F.col("contact") == fv.CONTACT_EDGE).alias("by_edge"),
+        F.sum("weight").alias("weight_sum"),
+    ))
 
 
 @query("knn4", """
@@ -61,9 +62,30 @@ def knn4_points(v):
     return whole(neighbours.nearest(points, 4).select("src", "dst", "distance"))
 
 
-@query("centroids", "SELECT code, x + 0.5 AS cx, y + 0.5 AS cy FROM area")
+@query("centroids", "SELECT code, x + 0.5 AS cx, y + 0.5 AS cy FROM mesh")
 def centroids(v):
-    return whole(neighbours.centroids(v.rings))
+    return whole(neighbours.centroids(v.customer_mesh))
+
+
+@query("moran_customers", """
+WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+c AS (SELECT m.code, CAST(coalesce(o.n, 0) AS DOUBLE) AS value FROM mesh m LEFT JOIN o ON lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') = m.code),
+z AS (SELECT code, value - avg(value) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY code) AS position FROM c),
+d AS (SELECT q.perm, q.code, z.z, z.n FROM (SELECT perm, code, row_number() OVER (PARTITION BY perm ORDER BY md5('20240729|2000|' || perm || '|' || code), code) AS position
+  FROM z, (SELECT unnest(generate_series(1, 19)) AS perm)) q JOIN z ON z.position = q.position UNION ALL SELECT 0, code, z, n FROM z),
+l AS (SELECT s.perm, s.code, s.z, s.n, sum(e.weight * t.z) AS lag FROM d s JOIN mesh_edge e ON e.src = s.code JOIN d t ON t.code = e.dst AND t.perm = s.perm GROUP BY ALL),
+i AS (SELECT perm, count(*) AS areas, max(n) * sum(z * lag) / (count(*) * sum(z * z)) AS i FROM l GROUP BY 1)
+SELECT CAST(2000 AS BIGINT) AS year, max(areas) AS areas, round(max(CASE WHEN perm = 0 THEN i END), 6) + 0.0 AS moran_i,
+  round((count(*) FILTER (WHERE perm > 0 AND round(abs(i), 12) >= (SELECT round(abs(i), 12) FROM i WHERE perm = 0)) + 1) / 20.0, 6) + 0.0 AS p_value FROM i""")
+def moran_customers(v):
+    """Orders per customer on the customer mesh: many areas, many equal values."""
+    orders = v.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    people = v.table("customer").select("c_custkey")
+    values = people.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.lit(2000).alias("year"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("code"),
+        F.coalesce("n", F.lit(0)).cast("double").alias("value"),
+    )
+    return whole(spatial.moran_global(values, neighbours.contiguity(v.customer_mesh), 19).select("year", "areas", "moran_i", "p_value"))
 
 
 @query("spatial_lag", """

@@ -217,13 +217,27 @@ class Views:
 
     @cached_property
     def rings(self) -> DataFrame:
-        """Each area as the unit square of its grid position, four corners in order."""
+        """Each area as the unit square of its grid position."""
+        return self._squares(self.area)
+
+    @staticmethod
+    def _squares(places: DataFrame) -> DataFrame:
+        """Rings of unit squares, four corners in order."""
         corner = [(0, 0), (1, 0), (1, 1), (0, 1)]
         corners = F.array(*[
             F.struct(F.lit(i).alias("seq"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
             for i, (dx, dy) in enumerate(corner)
         ])
-        return self.area.select("code", F.explode(corners).alias("c")).select("code", F.lit(0).alias("ring"), "c.*")
+        return places.select("code", F.explode(corners).alias("c")).select("code", F.lit(0).alias("ring"), "c.*")
+
+    @cached_property
+    def customer_mesh(self) -> DataFrame:
+        """Customers as unit squares, a hundred to a row of the map."""
+        place = self.table("customer").select(
+            F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("code"),
+            (F.col("c_custkey") % 100).cast("double").alias("x"), F.floor(F.col("c_custkey") / 100).cast("double").alias("y"),
+        )
+        return self._squares(place)
 
     @cached_property
     def queen(self) -> DataFrame:
