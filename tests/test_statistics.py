@@ -109,7 +109,8 @@ def test_moran_is_reproducible(spark):
     values = spark.createDataFrame([(2020, "a", 1.0), (2020, "b", 2.0), (2020, "c", 4.0)], "year int, code string, value double")
     first = spatial.moran_global(values, _grid_edges(spark), 49).first()
     again = spatial.moran_global(values.repartition(5), _grid_edges(spark).repartition(3), 49).first()
-    assert first == again
+    # the order of a sum may move the last digit of the coefficient, never the p-value
+    assert first["p_value"] == again["p_value"] and np.isclose(first["moran_i"], again["moran_i"], rtol=1e-12)
     z = np.array([1.0, 2.0, 4.0]) - 7 / 3
     w = np.array([[0, 0.5, 0.5], [1, 0, 0], [1, 0, 0]])
     assert np.isclose(first["moran_i"], 3 / w.sum() * (z @ w @ z) / (z @ z)) and first["expected"] == -0.5

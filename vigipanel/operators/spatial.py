@@ -50,12 +50,13 @@ def _global_coefficient(lagged: DataFrame) -> DataFrame:
         F.try_divide(
             F.max("n") * F.sum(F.col("z") * F.col("lag")), F.count(F.lit(1)) * F.max("zz")
         ).alias("moran_i"),
+        F.try_divide(F.max("n"), F.count(F.lit(1)) * F.max("zz")).alias("factor"),
     )
 
 
 def observed_coefficients(values: DataFrame, edges: DataFrame) -> DataFrame:
     """Global coefficient per rule and year, without a test."""
-    return _global_coefficient(spatial_lag(values, edges))
+    return _global_coefficient(spatial_lag(values, edges)).drop("factor")
 
 
 def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
@@ -81,14 +82,21 @@ def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bo
     return cut_lineage(dealt.drop("position"))
 
 
-def _permuted_lags(deals: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per rule, year, permutation and area: its dealt value and its neighbours' lag."""
-    lag = (
-        edges.join(deals.select("year", "perm", F.col("code").alias("dst"), F.col("z").alias("zd")), "dst")
-        .groupBy("rule", "year", "perm", F.col("src").alias("code"))
-        .agg(F.sum(F.col("weight") * F.col("zd")).alias("lag"))
+def _permuted_terms(deals: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``rule, year, code, perm, term``: weight times the dealt values of both ends.
+
+    The dealt values of an area travel as one array (as long as there are
+    permutations), so edges shuffle once per end and not once per permutation;
+    what follows is summed where the edges of an area already are.
+    """
+    packed = deals.groupBy("year", "code").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda e: e["z"]).alias("dealt")
     )
-    return deals.join(lag, ["year", "perm", "code"])
+    packed = cut_lineage(packed)
+    ends = edges.join(packed.select("year", F.col("code").alias("dst"), F.col("dealt").alias("theirs")), "dst")
+    both = ends.withColumnRenamed("src", "code").join(packed, ["year", "code"])
+    products = F.zip_with("dealt", "theirs", lambda mine, other: mine * other * F.col("weight"))
+    return both.select("rule", "year", "code", F.posexplode(products).alias("perm", "term"))
 
 
 def _extreme(simulated, observed):
@@ -104,15 +112,12 @@ def moran_global(values: DataFrame, edges: DataFrame, permutations: int = fv.PER
     values, edges = cut_lineage(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     observed = _global_coefficient(spatial_lag(values, edges))
     simulated = (
-        _permuted_lags(permuted(values, permutations, seed, seed_plus_year), edges)
-        .groupBy("rule", "year", "perm")
-        .agg(F.try_divide(
-            F.max("n") * F.sum(F.col("z") * F.col("lag")), F.count(F.lit(1)) * F.max("zz")
-        ).alias("simulated"))
+        _permuted_terms(permuted(values, permutations, seed, seed_plus_year), edges)
+        .groupBy("rule", "year", "perm").agg(F.sum("term").alias("total"))
     )
     counted = (
         simulated.join(observed, ["rule", "year"]).groupBy("rule", "year")
-        .agg(F.count_if(_extreme(F.col("simulated"), F.col("moran_i"))).alias("_hits"))
+        .agg(F.count_if(_extreme(F.col("total") * F.col("factor"), F.col("moran_i"))).alias("_hits"))
     )
     used_seed = F.lit(seed) + F.col("year") if seed_plus_year else F.lit(seed)
     return observed.join(counted, ["rule", "year"]).select(
@@ -134,14 +139,14 @@ def moran_local(values: DataFrame, edges: DataFrame, permutations: int = fv.PERM
     observed = spatial_lag(values, edges).withColumn(
         "local_i", F.try_divide(F.col("z") * F.col("lag"), variance)
     )
-    simulated = _permuted_lags(permuted(values, permutations, seed, False), edges).select(
-        "rule", "year", "code",
-        F.try_divide(F.col("z") * F.col("lag"), variance).alias("simulated"),
+    simulated = (
+        _permuted_terms(permuted(values, permutations, seed, False), edges)
+        .groupBy("rule", "year", "code", "perm").agg(F.sum("term").alias("total"))
     )
+    limits = observed.select("rule", "year", "code", "local_i", variance.alias("_var"))
     hits = (
-        simulated.join(observed.select("rule", "year", "code", "local_i"), ["rule", "year", "code"])
-        .groupBy("rule", "year", "code")
-        .agg(F.count_if(_extreme(F.col("simulated"), F.col("local_i"))).alias("_hits"))
+        simulated.join(limits, ["rule", "year", "code"]).groupBy("rule", "year", "code")
+        .agg(F.count_if(_extreme(F.try_divide("total", "_var"), F.col("local_i"))).alias("_hits"))
     )
     p_value = F.when(F.col("local_i").isNotNull(), (F.col("_hits") + 1) / F.lit(permutations + 1))
     return (
