@@ -1,10 +1,11 @@
 """Ordered totals, ranks, positions and quantiles without one task per group.
 
-A plain window sends a whole group to one task.  Here a group is cut into
-ranges first: split points are the rows with the smallest hash (so they do not
-depend on partitioning, and a recomputed task finds the same ones), every range
-is ordered alone, and the totals of the ranges before it are added.  The result
-is exact; the split points only decide how the work is spread.
+A plain window sends a whole group to one task.  Here the rows are cut into
+ranges of about equal size first, at split points chosen by a hash of the row:
+they do not depend on partitioning, so a recomputed task finds the same ones.
+Every range is ordered alone, and the totals of the ranges before it in its
+group are added.  The result is exact; the split points only decide how the
+work is spread.
 """
 
 from __future__ import annotations
@@ -13,33 +14,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel.session import cut_lineage
 
-SPLITS = 512
+SPLITS = 4096          # split points of one call, over all groups together
+_SEARCH = 14           # binary steps: room for four times as many in one group
 
 
-def _split_points(df: DataFrame, groups: list[str], splits: int) -> DataFrame:
-    """Up to ``splits`` order keys per group, sorted; bounded by construction."""
-    by_hash = Window.partitionBy(*groups).orderBy(F.xxhash64("_k"), F.col("_k"))
-    return (
-        df.select(*groups, "_k")
-        .withColumn("_n", F.row_number().over(by_hash))
-        .where(F.col("_n") <= splits)
-        .groupBy(*groups)
-        .agg(F.array_sort(F.collect_list("_k")).alias("_cuts"))
-    )
+def _split_points(work: DataFrame, keys: list[str], splits: int) -> DataFrame:
+    """Sorted split keys per group; about ``splits`` in all, whatever the table size."""
+    every = max(1, work.count() // splits)
+    chosen = work.where(F.pmod(F.xxhash64(*keys, "_k"), F.lit(every)) == 0)
+    return chosen.groupBy(*keys).agg(F.array_sort(F.collect_list("_k")).alias("_cuts"))
 
 
-def _range_of(splits: int):
+def _range_number():
     """How many split points lie below the key: a binary search in the array."""
-    steps, step = [], 1
-    while step <= splits:
-        steps.insert(0, step)
-        step *= 2
     cuts, key = F.col("_cuts"), F.col("_k")
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+    found = F.aggregate(
+        F.array(*[F.lit(1 << s) for s in reversed(range(_SEARCH))]),
         F.lit(0),
         lambda low, s: F.when(F.get(cuts, low + s - 1) < key, low + s).otherwise(low),
     )
+    return F.coalesce(found, F.lit(0))
 
 
 def running_totals(df: DataFrame, groups: list[str], order: list[str],
@@ -56,8 +50,8 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str],
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     work = cut_lineage(work.withColumn("_k", key))
     ranged = (
-        work.join(_split_points(work, keys, splits), keys)
-        .withColumn("_range", _range_of(splits))
+        work.join(_split_points(work, keys, splits), keys, "left")
+        .withColumn("_range", _range_number())
         .drop("_cuts")
     )
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
