@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigipanel import fixed_values as fv
 from vigipanel.functions import indicators as ind, text as tx, values as val
 from vigipanel.operators import catalogue, reconcile, summary
 from vigipanel.plans.registry import query
-from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, MEASURES, whole
+from vigipanel.plans.views import MEASURES, whole
 from vigipanel.sources import tables as src
 
 CUSTOMER_CODE = "CASE WHEN c_custkey % 10 = 3 THEN '99' ELSE '33' END || lpad(CAST(c_nationkey AS VARCHAR), 4, '0')"

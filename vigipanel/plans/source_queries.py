@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigipanel import fixed_values as fv
-from vigipanel.functions import values as val
 from vigipanel.operators import cells, quality as dq, series, summary
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, MEASURES, whole

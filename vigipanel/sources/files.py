@@ -15,19 +15,26 @@ def listing(spark: SparkSession, root: str, pattern: str | None = None, content:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    clean_root = root.rstrip("/").removeprefix("file:").rstrip("/")
-    relative = F.regexp_replace("path", r"^file:/+", "/")
+    top = _bare_path(spark, root)
+    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
     columns = ["length", "modificationTime", *(["content"] if content else [])]
     return (
         reader.load(root)
         .select(
-            F.when(relative.startswith(clean_root + "/"), F.substring(relative, len(clean_root) + 2, 1 << 20))
+            F.when(bare.startswith(top), F.substring(bare, len(top) + 1, 1 << 20))
             .otherwise(F.col("path")).alias("path"), *columns,
         )
         .where(~F.col("path").endswith(".gitkeep"))
     )
 
 
+def _bare_path(spark: SparkSession, root: str) -> str:
+    """The folder without scheme and host, ending in a slash."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+
+
 def empty_files(spark: SparkSession, root: str) -> DataFrame:
     """Files without a byte, which file scans skip: found in the folder listing.
 
@@ -42,7 +49,7 @@ def empty_files(spark: SparkSession, root: str) -> DataFrame:
         if entry.getLen() == 0:
             path = entry.getPath().toUri().getPath()
             found.append((path, entry.getModificationTime() / 1000))
-    top = base.toUri().getPath().rstrip("/") + "/"
+    top = _bare_path(spark, root)
     hidden = tuple(".gitkeep _SUCCESS".split())
     rows = [(p.removeprefix(top), 0, t) for p, t in found if not p.endswith(hidden)]
     return spark.createDataFrame(rows, "path string, length long, _t double").select(
