@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import license_index, quality_rules, url_rules
+from vigipanel.llm import decontamination, license_index, mixing, quality_rules, toxicity, url_rules
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -96,3 +96,19 @@ def _(table):
 @query("op10_license_scans", _license_sql())
 def _(table):
     return license_index.scanned(table("documents"))
+
+
+@query("op2_benchmark_decontamination")
+def _(table):
+    return decontamination.contaminated(table("documents"), table("benchmark"))
+
+
+@query("op6_mixing_sources")
+def _(table):
+    return mixing.mixed(table("documents"))
+
+
+@query("op8_toxicity")
+def _(table):
+    docs = table("documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table("labels")))
