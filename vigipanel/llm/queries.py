@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import decontamination, license_index, mixing, quality_rules, toxicity, url_rules
+from vigipanel.llm import decontamination, jaccard_join, license_index, mixing, quality_rules, toxicity, url_rules
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -112,3 +112,8 @@ def _(table):
 def _(table):
     docs = table("documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table("labels")))
+
+
+@query("op7_ngram_jaccard_join")
+def _(table):
+    return jaccard_join.joined(table("documents"))
