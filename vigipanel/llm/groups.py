@@ -51,6 +51,46 @@ def _meet(key: np.ndarray, item: np.ndarray, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "many": np.arange(len(rows)) < many.sum()})
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the texts of both ends from ``texts(item, text)``."""
+    one = texts.select(F.col("item").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("item").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component yet."""
+    a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    ).select("a", "b")
+
+
+def linked(pairs: DataFrame, many: DataFrame, verified) -> DataFrame:
+    """Verified links that join all items that links connect, without verifying every pair.
+
+    ``pairs(a < b)`` are candidates, ``many(key, item)`` are the items of frequent
+    keys, any two of which are candidates as well; ``verified(pairs)`` keeps the
+    true links.  First each item meets its least partner and the ends of its
+    frequent keys; afterwards only candidates whose ends are still in different
+    components are verified, until none is left.
+    """
+    ends = many.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high"))
+    star = many.join(ends, "key").select(
+        F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("item").alias("b")), F.struct(F.col("item").alias("a"), F.col("high").alias("b"))))
+    ).where("a < b").distinct()
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(cut_lineage(nearest.union(star).distinct()))
+    links = cut_lineage(links.union(verified(cut_lineage(_apart(pairs, components(links))))))
+    left = many.join(components(links).withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
+    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = cut_lineage(left.join(several, "key"))
+    one = left.select("key", F.col("item").alias("a"), F.col("root").alias("ra"))
+    two = left.select("key", F.col("item").alias("b"), F.col("root").alias("rb"))
+    rest = one.join(two, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.union(verified(rest))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the least node of the component.
 

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vigipanel.llm import tokens as tk
-from vigipanel.llm.groups import components, meeting
+from vigipanel.llm.groups import components, linked, meeting, with_texts
 from vigipanel.session import cut_lineage
 
 NUM, DEN = 80, 100
@@ -188,17 +188,7 @@ def _own(batches):
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Linked pairs among ``pairs(a, b)``."""
-    one = texts.select(F.col("item").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("item").alias("b"), F.col("text").alias("text_b"))
-    return cut_lineage(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(_linked, "a long, b long"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select("a", "b")
+    return cut_lineage(with_texts(pairs, texts).mapInPandas(_linked, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,20 +208,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     further = cut_lineage(meeting(open_sets.mapInPandas(_further_keys, "key long, item long"), MANY))
     pairs = cut_lineage(pairs.union(further.where("NOT many").select("a", "b")).distinct())
     many = further.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"))
-    ends = many.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high"))
-    star = many.join(ends, "key").select(
-        F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("item").alias("b")), F.struct(F.col("item").alias("a"), F.col("high").alias("b"))))
-    ).where("a < b").distinct()
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(cut_lineage(nearest.union(star).distinct()), texts)
-    links = cut_lineage(links.union(verified(cut_lineage(_apart(pairs, components(links))), texts)))
-    left = many.join(components(links).withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
-    mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = cut_lineage(left.join(mixed, "key"))
-    one = left.select("key", F.col("item").alias("a"), F.col("root").alias("ra"))
-    two = left.select("key", F.col("item").alias("b"), F.col("root").alias("rb"))
-    rest = one.join(two, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return members, links.union(verified(rest, texts))
+    return members, linked(pairs, many, lambda found: verified(found, texts))
 
 
 def cut_rows(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import decontamination, jaccard_join, license_index, mixing, quality_rules, toxicity, url_rules
+from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, quality_rules, toxicity, url_rules
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -117,3 +117,8 @@ def _(table):
 @query("op7_ngram_jaccard_join")
 def _(table):
     return jaccard_join.joined(table("documents"))
+
+
+@query("op1_line_dedup")
+def _(table):
+    return line_dedup.counted(table("documents"))
