@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, quality_rules, toxicity, url_rules
+from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, quality_rules, repeats, toxicity, url_rules
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -122,3 +122,8 @@ def _(table):
 @query("op1_line_dedup")
 def _(table):
     return line_dedup.counted(table("documents"))
+
+
+@query("op9_suffix_array_dedup")
+def _(table):
+    return repeats.removed(table("documents"))
