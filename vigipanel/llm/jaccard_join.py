@@ -91,39 +91,44 @@ def class_of(elements: np.ndarray) -> int:
     return int(tk.mix(total)[0] >> np.uint64(1))
 
 
+def _members(batches):
+    """doc_id, size and class of each set, and whether its non-empty segments alone leave it uncovered."""
+    for batch in batches:
+        out = []
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            elements = tk.shingles(text, SHINGLE)
+            n = len(elements)
+            spread = tk.mix(elements + _SALT)
+            short = any(
+                np.count_nonzero(np.bincount((spread % np.uint64(segments)).astype(np.int64))) < differ + 1 for _, segments, differ in (schemes(n) if n else [])
+            )
+            out.append((doc_id, n, class_of(elements) if n else None, short))
+        frame = pd.DataFrame(out, columns=["doc_id", "n", "item", "short"])
+        yield frame.astype({"item": "Int64"})
+
+
 def _first_keys(batches):
-    """Level 0: (key, item, margin) per segment; a row with a null key tells class, size and doc_id."""
+    """Level 0: (key, item) per non-empty segment."""
     for batch in batches:
-        for chunk in range(0, len(batch), 500):
-            part = batch.iloc[chunk:chunk + 500]
-            keys, items, ids, sizes, bands, margins = [], [], [], [], [], []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                elements = tk.shingles(text, SHINGLE)
-                n = len(elements)
-                name = class_of(elements) if n else -1
-                rows = [np.zeros(0, np.int64)]
-                low = []
-                for band, segments, differ in schemes(n) if n else []:
-                    own = tk.signed(segment_keys(elements, band, segments)[0])
-                    rows.append(own)
-                    low.append((band, len(own) - differ - 1))
-                rows = np.concatenate(rows)
-                keys.append(rows)
-                items.append(np.full(len(rows), name))
-                ids.append(doc_id)
-                sizes.append(n)
-                bands.append([b for b, _ in low])
-                margins.append([m for _, m in low])
-            names = [int(x[0]) if len(x) else None for x in items]
-            plain = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pd.DataFrame({
-                "key": plain, "item": np.concatenate(items) if items else plain, "doc_id": pd.array([None] * len(plain), dtype="Int64"),
-                "n": pd.array([None] * len(plain), dtype="Int64"), "short": False,
-            })
-            yield pd.DataFrame({
-                "key": pd.array([None] * len(ids), dtype="Int64"), "item": pd.array(names, dtype="Int64"), "doc_id": pd.array(ids, dtype="Int64"),
-                "n": pd.array(sizes, dtype="Int64"), "short": [any(m < 0 for m in ms) for ms in margins],
-            })
+        keys, items, held = [], [], 0
+        for text in batch["text"]:
+            elements = tk.shingles(text, SHINGLE)
+            if not len(elements):
+                continue
+            own = [tk.signed(segment_keys(elements, band, segments)[0]) for band, segments, _ in schemes(len(elements))]
+            keys.extend(own)
+            items.append((class_of(elements), sum(map(len, own))))
+            held += items[-1][1]
+            if held > 200_000:
+                yield _key_frame(keys, items)
+                keys, items, held = [], [], 0
+        if items:
+            yield _key_frame(keys, items)
+
+
+def _key_frame(keys, items) -> pd.DataFrame:
+    names, counts = np.array([i for i, _ in items]), np.array([c for _, c in items])
+    return pd.DataFrame({"key": np.concatenate(keys), "item": np.repeat(names, counts)})
 
 
 def _further_keys(batches):
@@ -194,9 +199,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, item) and the linked pairs of classes (a, b) that connect all linked classes."""
     docs = docs.where(F.col("doc_id").isNotNull())
-    rows = cut_rows(docs)
-    members = cut_lineage(rows.where("key IS NULL").select("doc_id", "n", "item", "short"))
-    met = cut_lineage(meeting(rows.where("key IS NOT NULL").select("key", "item"), MANY))
+    members = cut_lineage(docs.select("doc_id", "text").mapInPandas(_members, "doc_id long, n long, item long, short boolean"))
+    met = cut_lineage(meeting(docs.select("text").mapInPandas(_first_keys, "key long, item long"), MANY))
     first = members.where("item IS NOT NULL").groupBy("item").agg(F.min(F.struct("doc_id", "short")).alias("m")).select("item", "m.doc_id", "m.short")
     frequent = met.where("many").groupBy(F.col("b").alias("item")).agg(F.collect_list("a").alias("frequent"))     # at most a set's segments
     pairs = met.where("NOT many").select("a", "b")
@@ -211,10 +215,6 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, linked(pairs, many, lambda found: verified(found, texts))
 
 
-def cut_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_first_keys, "key long, item long, doc_id long, n long, short boolean")
-
-
 def joined(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of the component)."""
     members, links = classes(docs)
