@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, quality_rules, repeats, toxicity, url_rules
+from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, passages, quality_rules, repeats, toxicity, url_rules
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -127,3 +127,8 @@ def _(table):
 @query("op9_suffix_array_dedup")
 def _(table):
     return repeats.removed(table("documents"))
+
+
+@query("op4_compact_windows")
+def _(table):
+    return passages.passages(table("documents"))
