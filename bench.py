@@ -20,7 +20,7 @@ from vigipanel.session import local_session  # noqa: E402
 HEADLINE = [
     "annual_incidence", "monthly_series", "weekly_series", "record_coverage", "annual_summary", "annual_extremes",
     "duplicate_providers", "indicator_coverage", "survey_panel", "lag_associations", "leave_one_out", "ols_two_way",
-    "moran_global", "moran_local", "knn4_points", "active_outflow", "rate_sweep", "dq_reference", "normalise_names",
+    "moran_global", "moran_local", "knn4_points", "active_outflow", "dq_reference", "normalise_names",
     "dq_credentials",
 ]
 

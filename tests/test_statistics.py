@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigipanel import fixed_values as fv
-from vigipanel.operators import association as assoc, calibration, neighbours, quality as dq, ranking, regression as reg, spatial, stock
+from vigipanel.operators import association as assoc, neighbours, quality as dq, ranking, regression as reg, spatial, stock
 
 
 def _ranks(v):
@@ -179,32 +179,19 @@ def test_stocks(spark):
         stock.outflow_active(df, ["k"], "t", "c", 1.5)
 
 
-def test_calibration_recovers_the_rate(spark):
-    def curve(beta, gamma, n, i0=10.0, pop=10000.0, steps=400):
-        s, i, r, out = pop - i0, i0, 0.0, []
-        h = 1 / steps
-        for _ in range(n):
-            out.append(i)
-            for _ in range(steps):
-                f = lambda s, i: (-beta * s * i / pop, beta * s * i / pop - gamma * i)
-                a1, b1 = f(s, i); a2, b2 = f(s + h / 2 * a1, i + h / 2 * b1)
-                s, i = s + h * a2, i + h * b2
-        return out
-
-    rows = [("x", curve(0.42, 0.2, 30), 10000.0, 0.0, 0.2), ("y", curve(0.9, 0.3, 25), 10000.0, 0.0, 0.3), ("bad", [1.0, -1.0, 2.0], 10.0, 0.0, 0.2)]
-    df = spark.createDataFrame(rows, "k string, observed array<double>, population double, removed double, gamma double")
-    got = {r["k"]: r for r in calibration.calibrate(df, ["k"], 0.0, 2.0, validation_size=5).collect()}
-    assert set(got) == {"x", "y"} and abs(got["x"]["beta"] - 0.42) < 1e-5 and abs(got["y"]["beta"] - 0.9) < 1e-5
-    assert got["x"]["converged"] and got["x"]["train_size"] == 25 and len(got["x"]["residuals"]) == 30
-    assert [r["k"] for r in calibration.invalid_series(df, ["k"], 5).collect()] == ["bad"]
-    sens = calibration.rate_sensitivity(df.where("k = 'x'"), ["k"], (5.0, 2.0), 0.0, 2.0, 5).collect()
-    assert {r["period"] for r in sens} == {5.0, 2.0}
-    with pytest.raises(ValueError):
-        calibration.calibrate(df, ["k"], 2.0, 1.0)
-
-
 def test_assessment(spark):
     rows = [(0.5, True, 5, 1.0), (0.001, False, 0, None), (0.5, True, 5, 9.0)]
     df = spark.createDataFrame(rows, "beta double, converged boolean, validation_size int, validation_rmse double")
     got = [r["reasons"] for r in stock.assess_calibration(df, F.lit(10.0), 0.5, 0.05, 0.0, 1.0).collect()]
     assert got == ["", f"{fv.REASON_NOT_CONVERGED}|{fv.REASON_NO_VALIDATION}|{fv.REASON_BOUND}", fv.REASON_NRMSE]
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 5.0), (None, 7.0)], "k string, v double")
+    got = {(r["k"], r["v"]): r["position"] for r in ranking.row_positions(df, ["k"], ["v"]).collect()}
+    assert got == {("a", 1.0): 1, ("a", 2.0): 2, (None, 5.0): 1, (None, 7.0): 2}
+    assert {r["k"]: r["m"] for r in ranking.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()} == {"a": 1.5, None: 6.0}
+    pairs = spark.createDataFrame([(None, i, float(i), float(i * i)) for i in range(5)], "k string, id int, x double, y double")
+    row = assoc.correlations(pairs, ["k"]).first()
+    assert row["k"] is None and row["observations"] == 5 and row["spearman_rho"] == 1.0
+    assert assoc.leave_one_out(pairs, ["k"], ["id"]).count() == 5

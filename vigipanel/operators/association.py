@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.operators.joins import same_groups
 from vigipanel.functions.indicators import correlation_p
 from vigipanel.functions.values import largest_absolute
 from vigipanel.operators.ranking import average_ranks, running_totals
@@ -43,13 +44,13 @@ def correlations(pairs: DataFrame, groups: list[str]) -> DataFrame:
     c = F.col("_c")
     dx, dy = F.col("rx") - F.col("_mid"), F.col("ry") - F.col("_mid")
     ranked = (
-        cells.join(rx, [*groups, "x"]).join(ry, [*groups, "y"]).join(sizes, groups)
+        same_groups(same_groups(same_groups(cells, rx, [*groups, "x"]), ry, [*groups, "y"]), sizes, groups)
         .groupBy(*groups)
         .agg(F.sum(c * dx * dy).alias("_xy"), F.sum(c * dx * dx).alias("_xx"), F.sum(c * dy * dy).alias("_yy"))
         .select(*groups, F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy"))).alias("spearman_rho"))
     )
     return (
-        plain.join(ranked, groups, "left")
+        same_groups(plain, ranked, groups, "left")
         .withColumn("pearson_p", correlation_p("pearson_r", "observations"))
         .withColumn("spearman_p", correlation_p("spearman_rho", "observations"))
     )
@@ -121,7 +122,7 @@ def _both_above(cells: DataFrame, groups: list[str]) -> DataFrame:
     keys = [*groups, "level", "block"]
     answers = running_totals(events, keys, ["down", "kind"], {"above": "w"}).where(F.col("kind") == 0)
     return cut_lineage(
-        asks.join(answers.select(*keys, "down", "above"), [*keys, "down"])
+        same_groups(asks, answers.select(*keys, "down", "above"), [*keys, "down"])
         .groupBy(*groups, "x", "y").agg(F.sum("above").alias("both_above"))
     )
 
@@ -191,7 +192,7 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
     rx, ry = _axis_ranks(valid, groups)
     mid = (F.col("n") + 1) / 2
     centred = (
-        cells.join(rx, [*groups, "x"]).join(ry, [*groups, "y"]).join(moments, groups)
+        same_groups(same_groups(same_groups(cells, rx, [*groups, "x"]), ry, [*groups, "y"]), moments, groups)
         .withColumn("u", F.col("rx") - mid).withColumn("v", F.col("ry") - mid)
         .withColumn("dx", F.col("x") - F.col("mx")).withColumn("dy", F.col("y") - F.col("my"))
         .drop("rx", "ry")
@@ -206,16 +207,14 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
         F.count_distinct("x").alias("nx"),
     )
     sx, sy = _sides(centred, groups)
-    placed = cut_lineage(centred.join(sx, [*groups, "x"]).join(sy, [*groups, "y"]).join(totals, groups))
+    placed = cut_lineage(same_groups(same_groups(same_groups(centred, sx, [*groups, "x"]), sy, [*groups, "y"]), totals, groups))
     both = _both_above(
         placed.select(*groups, "x", "y", "c", F.col("px").cast("long").alias("px"), F.col("nx").cast("long").alias("nx")),
         groups,
     )
     tied_x, tied_y = _ties(centred, groups)
-    full = (
-        placed.join(both, [*groups, "x", "y"], "left")
-        .join(tied_x, [*groups, "x", "y"]).join(tied_y, [*groups, "x", "y"])
-    )
+    full = same_groups(placed, both, [*groups, "x", "y"], "left")
+    full = same_groups(same_groups(full, tied_x, [*groups, "x", "y"]), tied_y, [*groups, "x", "y"])
     n = F.col("n")
     gg = F.coalesce(F.col("both_above"), F.lit(0))
     x_above = n - F.col("x_below") - F.col("x_same")
@@ -244,7 +243,7 @@ def leave_one_out(pairs: DataFrame, groups: list[str], labels: list[str]) -> Dat
         F.try_divide(num, F.sqrt(den_x * den_y)).alias("spearman_without"),
     )
     return (
-        valid.join(per_cell, [*groups, "x", "y"])
+        same_groups(valid, per_cell, [*groups, "x", "y"])
         .withColumn("delta_pearson", F.col("pearson_without") - F.col("pearson_base"))
         .withColumn("delta_spearman", F.col("spearman_without") - F.col("spearman_base"))
         .withColumn("largest_influence", largest_absolute("delta_pearson", "delta_spearman"))
@@ -261,7 +260,7 @@ def linear_fits(pairs: DataFrame, groups: list[str]) -> DataFrame:
 def largest_residuals(pairs: DataFrame, groups: list[str], k: int = 5) -> DataFrame:
     """The k rows farthest from the descriptive line of their group, ties by id."""
     valid = cut_lineage(pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    fitted = valid.join(linear_fits(valid, groups), groups).withColumn(
+    fitted = same_groups(valid, linear_fits(valid, groups), groups).withColumn(
         "residual", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
     )
     window = Window.partitionBy(*groups).orderBy(F.abs("residual").desc(), F.col("id"))

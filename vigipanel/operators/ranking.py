@@ -12,24 +12,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vigipanel.operators.joins import same_groups
 from vigipanel.session import cut_lineage
 
-SPLITS = 4096          # split points of one call, over all groups together
-_SEARCH = 14           # binary steps: room for four times as many in one group
+SPLITS = 4096          # split points of one call, over all groups together, or more:
+RANGE_ROWS = 1_000_000  # a range gets about as many rows at most
+BROADCAST_SPLITS = 100_000
 
 
-def _split_points(work: DataFrame, keys: list[str], splits: int) -> DataFrame:
-    """Sorted split keys per group; about ``splits`` in all, whatever the table size."""
-    every = max(1, work.count() // splits)
+def _split_points(work: DataFrame, keys: list[str], rows: int, splits: int) -> DataFrame:
+    """Sorted split keys per group; about ``splits`` in all."""
+    every = max(1, rows // splits)
     chosen = work.where(F.pmod(F.xxhash64(*keys, "_k"), F.lit(every)) == 0)
     return chosen.groupBy(*keys).agg(F.array_sort(F.collect_list("_k")).alias("_cuts"))
 
 
-def _range_number():
-    """How many split points lie below the key: a binary search in the array."""
+def _range_number(splits: int):
+    """How many split points lie below the key: a binary search in the array, with room for four times ``splits``."""
     cuts, key = F.col("_cuts"), F.col("_k")
     found = F.aggregate(
-        F.array(*[F.lit(1 << s) for s in reversed(range(_SEARCH))]),
+        F.array(*[F.lit(1 << s) for s in reversed(range((4 * splits).bit_length()))]),
         F.lit(0),
         lambda low, s: F.when(F.get(cuts, low + s - 1) < key, low + s).otherwise(low),
     )
@@ -49,9 +51,12 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str],
     work = df if groups else df.withColumn("_all", F.lit(0))
     key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     work = cut_lineage(work.withColumn("_k", key))
+    rows = work.count()
+    splits = max(splits, rows // RANGE_ROWS)
+    points = _split_points(work, keys, rows, splits)
     ranged = (
-        work.join(_split_points(work, keys, splits), keys, "left")
-        .withColumn("_range", _range_number())
+        same_groups(work, F.broadcast(points) if splits <= BROADCAST_SPLITS else points, keys, "left")
+        .withColumn("_range", _range_number(splits))
         .drop("_cuts")
     )
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +74,7 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str],
     )
     for new, source in sums.items():
         ranged = ranged.withColumn(f"_i_{new}", F.coalesce(F.sum(source).over(inside), F.lit(0)))
-    result = ranged.join(offsets, [*keys, "_range"])
+    result = same_groups(ranged, offsets, [*keys, "_range"])
     for new in sums:
         result = result.withColumn(new, F.col(f"_o_{new}") + F.col(f"_i_{new}"))
     drop = ["_k", "_range", *[f"_{p}_{n}" for p in "oi" for n in sums]]
@@ -101,7 +106,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str,
     counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_totals(counts, keys, [value], {"_b": "_c"})
     sizes = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = ranked.join(sizes, keys)
+    placed = same_groups(ranked, sizes, keys)
     aggs = []
     for name, p in probabilities.items():
         h = (F.col("_n") - 1) * F.lit(float(p))

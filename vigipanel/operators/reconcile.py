@@ -38,15 +38,6 @@ def members_of(df: DataFrame, column: str, allowed: DataFrame, allowed_column: s
     return df.join(allowed.select(F.col(allowed_column).alias(column)).distinct(), column, "left_semi")
 
 
-def health_regions(spark: SparkSession) -> DataFrame:
-    """The published list as rows ``area_name, region_code, region``: 92 fixed rows."""
-    rows = []
-    for line in fv.HEALTH_REGIONS.strip().splitlines():
-        code, region, names = [part.strip() for part in line.split("|")]
-        rows.extend((name.strip(), code, region) for name in names.split(","))
-    return spark.createDataFrame(rows, "area_name string, region_code string, region string")
-
-
 def area_dimension(areas: DataFrame, regions: DataFrame, state: str = "RJ", state_code: str = "33") -> DataFrame:
     """Areas with valid codes joined to their region on the normalised name.
 

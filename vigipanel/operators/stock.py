@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.operators.joins import same_groups
 from vigipanel.functions import as_col
 
 
@@ -46,7 +47,7 @@ def outflow_active(series: DataFrame, keys: list[str], time: str, cases: str, ga
     unpacked = packed.withColumn("_a", stocks).select(
         *keys, F.posexplode(F.arrays_zip("_s", "_a")).alias("_p", "_z")
     ).select(*keys, F.col(f"_z._s.{time}").alias(time), F.col("_z._a").alias(name))
-    return series.join(unpacked, [*keys, time])
+    return same_groups(series, unpacked, [*keys, time])
 
 
 def compare_estimators(series: DataFrame, keys: list[str], time: str, cases: str, periods: int,

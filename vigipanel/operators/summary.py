@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.operators.joins import same_groups
 from vigipanel.operators.ranking import exact_quantiles, row_positions
 from vigipanel.session import cut_lineage
 
@@ -74,7 +75,7 @@ def thinned(df: DataFrame, series: list[str], order: str, frames: int = 60) -> D
     sizes = placed.groupBy(*series).agg(F.max("_position").alias("_size"))
     step = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(frames)))
     return (
-        placed.join(sizes, series)
+        same_groups(placed, sizes, series)
         .where((F.col("_position") - 1) % step == 0)
         .drop("_position", "_size")
     )

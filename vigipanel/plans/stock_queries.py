@@ -1,15 +1,14 @@
-"""Active stock, hold-out metrics, calibration, stored runs."""
+"""Active stock, hold-out metrics, stored runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigipanel.operators import calibration, stock
+from vigipanel.operators import stock
 from vigipanel.plans.registry import query
-from vigipanel.plans.views import FIRST_YEAR, whole
+from vigipanel.plans.views import whole
 
 GAMMA = 0.25
-BETAS = (0.0, 2.0)
 
 
 def _cases(v):
@@ -100,68 +99,6 @@ def calibration_assessment(v):
     return whole(judged.select("code", "validation_nrmse", "at_bound", "reasons", "accepted"))
 
 
-def _observed(v):
-    """Stock series per area as arrays, with population and start."""
-    packed = _cases(v).groupBy("code").agg(
-        F.array_sort(F.collect_list(F.struct("month", F.col("probable_cases").cast("double").alias("c")))).alias("s")
-    )
-    people = v.population.where(F.col("year") == FIRST_YEAR).select("code", F.col("population").cast("double").alias("population"))
-    return packed.join(people, "code").select(
-        "code", "population", F.lit(0.0).alias("removed"), F.lit(GAMMA).alias("gamma"),
-        F.transform("s", lambda e: e["c"]).alias("observed"),
-    )
-
-
-@query("rate_sweep")
-def rate_sweep(v):
-    return whole(calibration.calibrate(_observed(v), ["code"], *BETAS, validation_size=12).drop("residuals"))
-
-
-@query("rate_sensitivity")
-def rate_sensitivity(v):
-    return whole(calibration.rate_sensitivity(_observed(v), ["code"], (2.0, 4.0, 8.0), *BETAS, validation_size=12))
-
-
-@query("rate_sweep_incident")
-def rate_sweep_incident(v):
-    series = _observed(v).withColumn("infected", F.lit(10.0))
-    return whole(calibration.calibrate(series, ["code"], *BETAS, validation_size=12, incident=True).drop("residuals"))
-
-
-@query("rate_losses", """
-WITH RECURSIVE o AS (SELECT m.code, row_number() OVER (PARTITION BY m.code ORDER BY m.month) - 1 AS t, CAST(m.probable_cases AS DOUBLE) AS c, CAST(p.population AS DOUBLE) AS n
-  FROM monthly m JOIN population p ON p.code = m.code AND p.year = 1995),
-k AS (SELECT o.code, o.n, o.c AS i0, b.beta FROM o, (SELECT CAST(unnest(generate_series(0, 10)) AS DOUBLE) / 10 AS beta) b WHERE o.t = 0),
-r AS (SELECT code, n, beta, CAST(0 AS BIGINT) AS j, n - i0 AS s, i0 AS i FROM k
-  UNION ALL
-  SELECT code, n, beta, j + 1, s + 0.125::DOUBLE / 6 * (a1 + 2 * a2 + 2 * a3 + a4), i + 0.125::DOUBLE / 6 * (b1 + 2 * b2 + 2 * b3 + b4) FROM (
-    SELECT *, -beta * s4 * i4 / n AS a4, beta * s4 * i4 / n - 0.25::DOUBLE * i4 AS b4 FROM (
-    SELECT *, -beta * s3 * i3 / n AS a3, beta * s3 * i3 / n - 0.25::DOUBLE * i3 AS b3, s + 0.125::DOUBLE * (-beta * s3 * i3 / n) AS s4,
-      i + 0.125::DOUBLE * (beta * s3 * i3 / n - 0.25::DOUBLE * i3) AS i4 FROM (
-    SELECT *, -beta * s2 * i2 / n AS a2, beta * s2 * i2 / n - 0.25::DOUBLE * i2 AS b2, s + 0.0625::DOUBLE * (-beta * s2 * i2 / n) AS s3,
-      i + 0.0625::DOUBLE * (beta * s2 * i2 / n - 0.25::DOUBLE * i2) AS i3 FROM (
-    SELECT *, -beta * s * i / n AS a1, beta * s * i / n - 0.25::DOUBLE * i AS b1, s + 0.0625::DOUBLE * (-beta * s * i / n) AS s2,
-      i + 0.0625::DOUBLE * (beta * s * i / n - 0.25::DOUBLE * i) AS i2 FROM r WHERE j < 71 * 8)))))
-SELECT r.code, r.beta, count(*) AS points, round(avg(pow(greatest(r.i, 0) - o.c, 2)) / avg(o.c * o.c), 6) + 0.0 AS relative_mse
-FROM r JOIN o ON o.code = r.code AND o.t * 8 = r.j GROUP BY 1, 2""")
-def rate_losses(v):
-    """Distance of the model to every series at eleven given rates."""
-    rates = F.array(*[F.lit(i / 10) for i in range(11)])
-    tried = _observed(v).select("*", F.explode(rates).alias("beta")).withColumn("start", F.get("observed", F.lit(0)))
-    squares = F.aggregate("observed", F.lit(0.0), lambda acc, c: acc + c * c) / F.size("observed")
-    return whole(tried.withColumn("points", F.size("observed")).withColumn(
-        "mse", calibration.model_loss("observed", "beta", "gamma", "population", "start", "removed", "points")
-    ).select("code", "beta", "points", (F.col("mse") / squares).alias("relative_mse")))
-
-
-@query("rate_residuals", """
-WITH m AS (SELECT code, count(*) AS points FROM monthly GROUP BY 1) SELECT code, points, points - 12 AS train_size FROM m""")
-def rate_residuals(v):
-    """One residual per point of the observed series."""
-    fitted = calibration.calibrate(_observed(v), ["code"], *BETAS, validation_size=12)
-    return whole(fitted.select("code", F.size("residuals").alias("points"), "train_size"))
-
-
 @query("scenario_compare", """
 SELECT b.code, b.day, b.susceptible AS susceptible_base, b.infected AS infected_base, b.removed AS removed_base,
   first_value(b.susceptible) OVER (PARTITION BY b.code ORDER BY b.day) - b.susceptible AS cumulative_base,
