@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vigipanel import fixed_values as fv
 from vigipanel.session import cut_lineage
 
-FINEST_LEVEL = 20
+LEVELS = (6, 12, 20, 28, 36, 44, 52)     # tried as the finest until no cell is crowded
+_CROWDED = 64
 _BROADCAST_LEVELS = 5     # at most 4**6 / 3 cells on levels 0..5
 
 
@@ -110,7 +111,7 @@ def _cell(level, low, extent, value):
     return F.coalesce(F.least(raw, cells.cast("long") - 1), F.lit(0).cast("long"))
 
 
-def nearest(points: DataFrame, k: int = 4, finest: int = FINEST_LEVEL) -> DataFrame:
+def nearest(points: DataFrame, k: int = 4) -> DataFrame:
     """The k nearest other points of each point, ties by code; exact.
 
     Points with equal coordinates are one location; of its codes only the first
@@ -118,7 +119,9 @@ def nearest(points: DataFrame, k: int = 4, finest: int = FINEST_LEVEL) -> DataFr
     cell (of levels halving the side) that holds enough points; all its
     neighbours then lie within two cells, so it meets 25 cells by an equality
     join.  A location in thin country reaches a crowded cell only from near
-    by, which bounds the candidates without dropping any.
+    by, which bounds the candidates without dropping any.  The finest level
+    follows from the data, up to the precision of the coordinates, so one far
+    point does not press all others into one cell.
     """
     named = points.select("code", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     named = cut_lineage(named)
@@ -140,6 +143,12 @@ def nearest(points: DataFrame, k: int = 4, finest: int = FINEST_LEVEL) -> DataFr
             .withColumn("gy", _cell(level, F.col("_ly"), F.col("_e"), "y"))
         )
 
+    finest = LEVELS[-1]
+    for level in LEVELS:
+        cells = on_level(boxed, F.lit(level)).groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("held"))
+        if (cells.agg(F.max("held")).first()[0] or 0) <= max(_CROWDED, 4 * (k + 1)):
+            finest = level
+            break
     leveled = on_level(
         boxed.select("*", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level")), F.col("level")
     )

@@ -13,6 +13,8 @@ distribution, not bit for bit.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel import fixed_values as fv
@@ -20,16 +22,17 @@ from vigipanel.functions.indicators import quadrant, significant
 from vigipanel.operators.ranking import row_positions
 from vigipanel.session import cut_lineage
 
-_PREFIX = 2          # hex digits: 256 ranges per permutation
+_RANGE = 4096        # areas of one range of a permutation, about
+_PART = 32           # neighbours whose arrays are added up at once
 _DIGITS = 12         # simulated and observed values are compared at this precision
 
 
 def centred(values: DataFrame) -> DataFrame:
-    """Values minus the yearly mean ``z``, with the areas ``n`` and ``sum(z*z)``."""
+    """Values minus the yearly mean ``z``, with the areas ``n`` and ``sum(z*z)``; one row per year is broadcast."""
     means = values.groupBy("year").agg(F.avg("value").alias("_m"), F.count("value").alias("n"))
-    z = values.join(means, "year").withColumn("z", F.col("value") - F.col("_m"))
+    z = values.join(F.broadcast(means), "year").withColumn("z", F.col("value") - F.col("_m"))
     squares = z.groupBy("year").agg(F.sum(F.col("z") * F.col("z")).alias("zz"))
-    return z.join(squares, "year").drop("_m")
+    return z.join(F.broadcast(squares), "year").drop("_m")
 
 
 def spatial_lag(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,11 +66,13 @@ def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bo
     """Rows ``year, perm, code, z``: the centred values dealt out anew."""
     z = centred(values)
     placed = row_positions(z.select("year", "code", "z", "n", "zz"), ["year"], ["code"])
+    areas = z.groupBy("year").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 1
+    digits = max(1, math.ceil(math.log(areas / _RANGE, 16)))
     the_seed = F.lit(seed) + F.col("year") if seed_plus_year else F.lit(seed)
     keyed = (
         z.select("year", "code", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
         .withColumn("digest", F.md5(F.concat_ws("|", the_seed.cast("string"), "year", "perm", "code").cast("binary")))
-        .withColumn("prefix", F.substring("digest", 1, _PREFIX))
+        .withColumn("prefix", F.substring("digest", 1, digits))
     )
     before = Window.partitionBy("year", "perm").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("year", "perm", "prefix").agg(F.count(F.lit(1)).alias("_c")).select(
@@ -82,21 +87,40 @@ def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bo
     return cut_lineage(dealt.drop("position"))
 
 
-def _permuted_terms(deals: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows ``rule, year, code, perm, term``: weight times the dealt values of both ends.
+def _permuted_lags(deals: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``rule, year, code, dealt, lags``: own dealt values and the weighted sums of the neighbours', by permutation.
 
     The dealt values of an area travel as one array (as long as there are
-    permutations), so edges shuffle once per end and not once per permutation;
-    what follows is summed where the edges of an area already are.
+    permutations); the neighbours' arrays are added up element by element, in
+    parts of about ``_PART`` neighbours first, so no array list grows with a degree.
     """
     packed = deals.groupBy("year", "code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda e: e["z"]).alias("dealt")
     )
     packed = cut_lineage(packed)
-    ends = edges.join(packed.select("year", F.col("code").alias("dst"), F.col("dealt").alias("theirs")), "dst")
-    both = ends.withColumnRenamed("src", "code").join(packed, ["year", "code"])
-    products = F.zip_with("dealt", "theirs", lambda mine, other: mine * other * F.col("weight"))
-    return both.select("rule", "year", "code", F.posexplode(products).alias("perm", "term"))
+    degrees = edges.groupBy("rule", "src").agg(F.count(F.lit(1)).alias("degree"))
+    parted = edges.join(degrees, ["rule", "src"]).withColumn(
+        "part", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(_PART)))
+    )
+    ends = parted.join(packed.select("year", F.col("code").alias("dst"), F.col("dealt").alias("theirs")), "dst")
+    weighed = ends.select("rule", "year", F.col("src").alias("code"), "part", F.transform("theirs", lambda z: z * F.col("weight")).alias("v"))
+
+    def added(df, keys):
+        return df.groupBy(*keys).agg(F.collect_list("v").alias("_all")).select(*keys, F.aggregate(
+            F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q),
+        ).alias("v"))
+
+    lags = added(added(weighed, ["rule", "year", "code", "part"]), ["rule", "year", "code"])
+    return lags.withColumnRenamed("v", "lags").join(packed, ["year", "code"])
+
+
+def _complete(values: DataFrame) -> DataFrame:
+    """The values, written once; a missing one is an error, as the coefficients need all areas."""
+    values = cut_lineage(values)
+    missing = values.where(F.col("value").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} values are missing; every area needs one in every year")
+    return values
 
 
 def _extreme(simulated, observed):
@@ -109,12 +133,11 @@ def moran_global(values: DataFrame, edges: DataFrame, permutations: int = fv.PER
 
     Constant values have no coefficient (null); ``quality.spatial_ready`` reports them.
     """
-    values, edges = cut_lineage(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
+    values, edges = _complete(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     observed = _global_coefficient(spatial_lag(values, edges))
-    simulated = (
-        _permuted_terms(permuted(values, permutations, seed, seed_plus_year), edges)
-        .groupBy("rule", "year", "perm").agg(F.sum("term").alias("total"))
-    )
+    lags = _permuted_lags(permuted(values, permutations, seed, seed_plus_year), edges)
+    terms = lags.select("rule", "year", F.posexplode(F.zip_with("dealt", "lags", lambda z, lag: z * lag)).alias("perm", "term"))
+    simulated = terms.groupBy("rule", "year", "perm").agg(F.sum("term").alias("total"))
     counted = (
         simulated.join(observed, ["rule", "year"]).groupBy("rule", "year")
         .agg(F.count_if(_extreme(F.col("total") * F.col("factor"), F.col("moran_i"))).alias("_hits"))
@@ -134,19 +157,16 @@ def moran_local(values: DataFrame, edges: DataFrame, permutations: int = fv.PERM
 
     The area's own value is dealt out too; the variance is that of the population.
     """
-    values, edges = cut_lineage(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
+    values, edges = _complete(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     variance = F.col("zz") / F.col("n")
     observed = spatial_lag(values, edges).withColumn(
         "local_i", F.try_divide(F.col("z") * F.col("lag"), variance)
     )
-    simulated = (
-        _permuted_terms(permuted(values, permutations, seed, False), edges)
-        .groupBy("rule", "year", "code", "perm").agg(F.sum("term").alias("total"))
-    )
     limits = observed.select("rule", "year", "code", "local_i", variance.alias("_var"))
-    hits = (
-        simulated.join(limits, ["rule", "year", "code"]).groupBy("rule", "year", "code")
-        .agg(F.count_if(_extreme(F.try_divide("total", "_var"), F.col("local_i"))).alias("_hits"))
+    hits = _permuted_lags(permuted(values, permutations, seed, False), edges).join(limits, ["rule", "year", "code"]).select(
+        "rule", "year", "code", F.size(F.filter(
+            F.zip_with("dealt", "lags", lambda z, lag: z * lag), lambda t: _extreme(F.try_divide(t, F.col("_var")), F.col("local_i")),
+        )).alias("_hits"),
     )
     p_value = F.when(F.col("local_i").isNotNull(), (F.col("_hits") + 1) / F.lit(permutations + 1))
     return (

@@ -176,12 +176,12 @@ SELECT rule, year, count(*) AS areas, max(n) * sum(z * lag) / (count(*) * max(zz
     "deal_global": """
 SELECT o.year, o.perm, o.code, c.z, c.n FROM (
   SELECT year, perm, code, row_number() OVER (PARTITION BY year, perm ORDER BY md5('20240729|' || year || '|' || perm || '|' || code), code) AS position
-  FROM centred, (SELECT unnest(generate_series(1, 99)) AS perm)) o
+  FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)) o
 JOIN centred c ON c.year = o.year AND c.position = o.position""",
     "deal_yearly": """
 SELECT o.year, o.perm, o.code, c.z, c.n FROM (
   SELECT year, perm, code, row_number() OVER (PARTITION BY year, perm ORDER BY md5((20240729 + year) || '|' || year || '|' || perm || '|' || code), code) AS position
-  FROM centred, (SELECT unnest(generate_series(1, 99)) AS perm)) o
+  FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)) o
 JOIN centred c ON c.year = o.year AND c.position = o.position""",
     "cumulative": """
 SELECT m.*, CAST(datediff('month', DATE '1995-01-01', m.month) AS BIGINT) AS day, CAST(p.population AS DOUBLE) AS population,

@@ -11,7 +11,7 @@ from vigipanel.operators import neighbours, spatial
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import whole
 
-PERMUTATIONS = 99
+PERMUTATIONS = fv.PERMUTATIONS
 
 
 def _edges(v, *rules):
@@ -72,11 +72,11 @@ WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 c AS (SELECT m.code, CAST(coalesce(o.n, 0) AS DOUBLE) AS value FROM mesh m LEFT JOIN o ON lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') = m.code),
 z AS (SELECT code, value - avg(value) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY code) AS position FROM c),
 d AS (SELECT q.perm, q.code, z.z, z.n FROM (SELECT perm, code, row_number() OVER (PARTITION BY perm ORDER BY md5('20240729|2000|' || perm || '|' || code), code) AS position
-  FROM z, (SELECT unnest(generate_series(1, 19)) AS perm)) q JOIN z ON z.position = q.position UNION ALL SELECT 0, code, z, n FROM z),
+  FROM z, (SELECT unnest(generate_series(1, 999)) AS perm)) q JOIN z ON z.position = q.position UNION ALL SELECT 0, code, z, n FROM z),
 l AS (SELECT s.perm, s.code, s.z, s.n, sum(e.weight * t.z) AS lag FROM d s JOIN mesh_edge e ON e.src = s.code JOIN d t ON t.code = e.dst AND t.perm = s.perm GROUP BY ALL),
 i AS (SELECT perm, count(*) AS areas, max(n) * sum(z * lag) / (count(*) * sum(z * z)) AS i FROM l GROUP BY 1)
 SELECT CAST(2000 AS BIGINT) AS year, max(areas) AS areas, round(max(CASE WHEN perm = 0 THEN i END), 6) + 0.0 AS moran_i,
-  round((count(*) FILTER (WHERE perm > 0 AND round(abs(i), 12) >= (SELECT round(abs(i), 12) FROM i WHERE perm = 0)) + 1) / 20.0, 6) + 0.0 AS p_value FROM i""")
+  round((count(*) FILTER (WHERE perm > 0 AND round(abs(i), 12) >= (SELECT round(abs(i), 12) FROM i WHERE perm = 0)) + 1) / 1000.0, 6) + 0.0 AS p_value FROM i""")
 def moran_customers(v):
     """Orders per customer on the customer mesh: many areas, many equal values."""
     orders = v.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
@@ -85,7 +85,7 @@ def moran_customers(v):
         F.lit(2000).alias("year"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("code"),
         F.coalesce("n", F.lit(0)).cast("double").alias("value"),
     )
-    return whole(spatial.moran_global(values, neighbours.contiguity(v.customer_mesh), 19).select("year", "areas", "moran_i", "p_value"))
+    return whole(spatial.moran_global(values, neighbours.contiguity(v.customer_mesh), PERMUTATIONS).select("year", "areas", "moran_i", "p_value"))
 
 
 @query("spatial_lag", """
@@ -98,20 +98,20 @@ SIMULATED = """
 WITH sim AS (SELECT e.rule, d.year, d.perm, d.code, d.z, d.n, sum(e.weight * o.z) AS lag FROM {deal} d
   JOIN all_edges e ON e.src = d.code JOIN {deal} o ON o.code = e.dst AND o.year = d.year AND o.perm = d.perm {filter} GROUP BY ALL),
 total AS (SELECT sim.rule, sim.year, perm, max(n) * sum(z * lag) / (count(*) * max(zz)) AS i FROM sim JOIN squares s ON s.year = sim.year GROUP BY 1, 2, 3),
-p AS (SELECT t.rule, t.year, (count(*) FILTER (WHERE round(abs(t.i), 12) >= round(abs(o.moran_i), 12)) + 1) / 100.0 AS p
+p AS (SELECT t.rule, t.year, (count(*) FILTER (WHERE round(abs(t.i), 12) >= round(abs(o.moran_i), 12)) + 1) / 1000.0 AS p
   FROM total t JOIN observed_global o ON o.rule = t.rule AND o.year = t.year GROUP BY 1, 2)
 """
 
 
 @query("moran_global", SIMULATED.format(deal="deal_global", filter="WHERE e.rule = 'contiguidade_rainha'") + """
 SELECT o.year, o.areas, round(o.moran_i, 6) + 0.0 AS moran_i, round(-1.0 / (o.areas - 1), 6) + 0.0 AS expected, round(CAST(p AS DOUBLE), 6) + 0.0 AS p_value,
-  CAST(99 AS BIGINT) AS permutations, o.rule, CAST(20240729 AS BIGINT) AS seed FROM observed_global o JOIN p ON p.rule = o.rule AND p.year = o.year""")
+  CAST(999 AS BIGINT) AS permutations, o.rule, CAST(20240729 AS BIGINT) AS seed FROM observed_global o JOIN p ON p.rule = o.rule AND p.year = o.year""")
 def moran_global(v):
     return whole(spatial.moran_global(v.incidence_values, _edges(v, "queen"), PERMUTATIONS))
 
 
 @query("moran_sensitivity", SIMULATED.format(deal="deal_yearly", filter="") + """
-SELECT o.year, o.rule, round(o.moran_i, 6) + 0.0 AS moran_i, round(CAST(p AS DOUBLE), 6) + 0.0 AS p_value, CAST(99 AS BIGINT) AS permutations,
+SELECT o.year, o.rule, round(o.moran_i, 6) + 0.0 AS moran_i, round(CAST(p AS DOUBLE), 6) + 0.0 AS p_value, CAST(999 AS BIGINT) AS permutations,
   CAST(20240729 + o.year AS BIGINT) AS seed FROM observed_global o JOIN p ON p.rule = o.rule AND p.year = o.year""")
 def moran_sensitivity(v):
     return whole(
@@ -124,12 +124,12 @@ def moran_sensitivity(v):
 WITH sim AS (SELECT d.year, d.perm, d.code, d.z, sum(e.weight * o.z) AS lag FROM deal_global d
   JOIN queen_edge e ON e.src = d.code JOIN deal_global o ON o.code = e.dst AND o.year = d.year AND o.perm = d.perm GROUP BY ALL),
 obs AS (SELECT *, z * lag / (zz / n) AS i FROM lagged WHERE rule = 'contiguidade_rainha'),
-p AS (SELECT o.year, o.code, (count(*) FILTER (WHERE round(abs(s.z * s.lag / (o.zz / o.n)), 12) >= round(abs(o.i), 12)) + 1) / 100.0 AS p
+p AS (SELECT o.year, o.code, (count(*) FILTER (WHERE round(abs(s.z * s.lag / (o.zz / o.n)), 12) >= round(abs(o.i), 12)) + 1) / 1000.0 AS p
   FROM sim s JOIN obs o ON o.year = s.year AND o.code = s.code GROUP BY 1, 2)
 SELECT o.code, o.year, round(o.value, 6) + 0.0 AS value, round(o.z, 6) + 0.0 AS z, round(o.lag, 6) + 0.0 AS lag, round(o.i, 6) + 0.0 AS local_i,
   round(CAST(p.p AS DOUBLE), 6) + 0.0 AS p_value, CASE WHEN p.p >= 0.05 THEN 'não significativo' WHEN z > 0 AND lag > 0 THEN 'alto-alto' WHEN z < 0 AND lag < 0 THEN 'baixo-baixo'
   WHEN z > 0 AND lag < 0 THEN 'alto-baixo' WHEN z < 0 AND lag > 0 THEN 'baixo-alto' ELSE 'indefinido' END AS cluster,
-  CAST(99 AS BIGINT) AS permutations, o.rule FROM obs o JOIN p ON p.year = o.year AND p.code = o.code""")
+  CAST(999 AS BIGINT) AS permutations, o.rule FROM obs o JOIN p ON p.year = o.year AND p.code = o.code""")
 def moran_local(v):
     return whole(spatial.moran_local(v.incidence_values, _edges(v, "queen"), PERMUTATIONS))
 

@@ -83,8 +83,7 @@ class Views:
             .when(flag == "A", severe).when(status == "F", "8")
         )
         return (
-            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(people, F.col("o_custkey") == F.col("c_custkey"))
+            lines.join(orders.join(people, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.concat(F.lit("33"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0")).alias("residence_code"),
                 F.year("l_shipdate").alias("base_year"),
