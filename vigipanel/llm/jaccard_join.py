@@ -56,8 +56,8 @@ def edges_of_bands(largest: int) -> list[int]:
 
 
 def allowed(a: int, b: int) -> int:
-    """Most elements in which linked sets of sizes a and b can differ."""
-    return (a + b) - 2 * -(-NUM * (a + b) // (NUM + DEN))
+    """Elements in which linked sets of sizes a and b can differ, at most; it never falls as a or b grow."""
+    return (DEN - NUM) * (a + b) // (DEN + NUM)
 
 
 def schemes(size: int) -> list[tuple[int, int, int]]:
@@ -103,8 +103,9 @@ def _members(batches):
                 np.count_nonzero(np.bincount((spread % np.uint64(segments)).astype(np.int64))) < differ + 1 for _, segments, differ in (schemes(n) if n else [])
             )
             out.append((doc_id, n, class_of(elements) if n else None, short))
-        frame = pd.DataFrame(out, columns=["doc_id", "n", "item", "short"])
-        yield frame.astype({"item": "Int64"})
+        ids, sizes, items, short = zip(*out) if out else ((), (), (), ())
+        # a column of 63-bit integers with nulls must not pass through floats
+        yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "item": pd.array(items, dtype="Int64"), "short": np.array(short, bool)})
 
 
 def _first_keys(batches):
