@@ -19,42 +19,65 @@ from vigipanel.sources import documents, files, tables as src
 YEARS = list(range(FIRST_YEAR, LAST_YEAR + 1))
 
 
-@query("file_manifest")
+def _artefacts(v, content: bool = False):
+    """Documents and pages as stored artefacts: path, length and content of each."""
+    texts = v.table("documents").select(F.format_string("documents/%d.txt", "doc_id").alias("path"), "text").unionByName(
+        v.table("pages").select(F.format_string("pages/%d.html", "page_id").alias("path"), F.col("html").alias("text")))
+    return texts.select("path", F.octet_length("text").cast("long").alias("length"), *([F.encode("text", "UTF-8").alias("content")] if content else []))
+
+
+ARTEFACT = """artefact AS (SELECT 'documents/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages)"""
+
+
+@query("file_manifest", f"WITH {ARTEFACT} SELECT path, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS sha256 FROM artefact")
 def file_manifest(v):
-    return files.hashes(v.spark, v.folder)
+    return files.content_hashes(_artefacts(v, content=True))
 
 
-@query("file_sizes")
+@query("file_sizes", f"""
+WITH {ARTEFACT} SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes, CAST(max(strlen(text)) AS BIGINT) AS largest_bytes,
+  count(*) FILTER (WHERE strlen(text) > 8192) AS files_over_limit FROM artefact""")
 def file_sizes(v):
-    return summary.file_statistics(files.listing(v.spark, v.folder), 1 << 20)
+    return summary.file_statistics(_artefacts(v), 8192)
 
 
-@query("oversize_files")
+@query("oversize_files", f"""
+WITH {ARTEFACT} SELECT 'oversized' AS rule, path AS key, 'bytes=' || strlen(text) AS detail FROM artefact WHERE strlen(text) > 8192""")
 def oversize_files(v):
-    return dq.oversized(files.listing(v.spark, v.folder), 1 << 20)
+    return dq.oversized(_artefacts(v), 8192)
 
 
-@query("payload_signature")
+@query("payload_signature", f"""
+WITH {ARTEFACT} SELECT 'payload_signature' AS rule, path AS key, 'format not allowed' AS detail FROM artefact WHERE path LIKE '%.txt'
+UNION ALL SELECT 'payload_signature', 'pages/' || page_id || '.html.zip', 'signature does not fit' FROM pages WHERE page_id % 2 = 0""")
 def payload_signature(v):
-    """Parquet is no allowed payload, so every file is listed."""
-    return dq.payload_signature(files.listing(v.spark, v.folder, content=True))
+    """Texts are no allowed payload; every page claims to be a ZIP file, and every second one begins as such."""
+    page = F.col("path").startswith("pages/")
+    odd = F.regexp_extract("path", r"(\d+)", 1).cast("long") % 2 == 1
+    begun = F.when(page & odd, F.concat(F.unhex(F.lit("504B0304")), "content")).otherwise(F.col("content"))
+    named = F.when(page, F.concat("path", F.lit(".zip"))).otherwise(F.col("path"))
+    return dq.payload_signature(_artefacts(v, content=True).select(named.alias("path"), begun.alias("content")))
 
 
-@query("latest_file")
+@query("latest_file", """
+SELECT event_type AS kind, arg_max('events/' || event_id, (ts, 'events/' || event_id)) AS path, max(ts) AS "modificationTime" FROM events GROUP BY 1""")
 def latest_file(v):
-    listed = files.listing(v.spark, v.folder)
-    return files.newest(listed, F.left("path", F.lit(1)))
+    """The newest artefact of each kind, by event time."""
+    listed = v.table("events").select(F.format_string("events/%d", "event_id").alias("path"), F.col("ts").alias("modificationTime"), "event_type")
+    return files.newest(listed, F.col("event_type"))
 
 
-@query("manifest_check")
+@query("manifest_check", f"""
+WITH {ARTEFACT}, n AS (SELECT count(*) AS all_rows, count(*) FILTER (WHERE path LIKE '%7.txt') AS gone, count(*) FILTER (WHERE path LIKE '%3.html') AS changed FROM artefact)
+SELECT all_rows AS manifest_rows, all_rows - gone - changed AS verified, gone AS missing, changed AS mismatched, gone + changed = 0 AS passed FROM n""")
 def manifest_check(v):
-    """The folder against its own manifest with one hash changed and one path gone."""
-    found = files.hashes(v.spark, v.folder)
+    """The artefacts against their own manifest with some hashes changed and some paths gone."""
+    found = files.content_hashes(_artefacts(v, content=True))
     manifest = found.select(
-        F.when(F.col("path") == "region.parquet", "gone.parquet").otherwise(F.col("path")).alias("path"),
-        F.when(F.col("path") == "nation.parquet", F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"),
+        F.when(F.col("path").endswith("7.txt"), F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("path").endswith("3.html"), F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"),
     )
-    return dq.manifest_check(manifest, found)
+    return whole(dq.manifest_check(manifest, found))
 
 
 @query("file_shape", """
@@ -280,9 +303,11 @@ def stage_and_replace(v):
     """A gated load that replaces a table, then the table read by name."""
     name = "vigipanel_annual_" + fresh_path(v.spark, "t").rsplit("-", 1)[1]
     frame = v.annual.select("code", "year", "probable_cases", "population")
-    path = sinks.load_table(frame, name, [dq.unique_key(v.annual, ["code", "year"])])
+    sinks.load_table(frame.limit(0), name)
+    sinks.load_table(frame, name, [lambda written: dq.unique_key(written, ["code", "year"])])
+    loaded = v.spark.table(name)                     # resolved to its files, which stay
     v.spark.sql(f"DROP TABLE {name}")
-    return whole(v.spark.read.parquet(path).drop("_ingested_at"))
+    return whole(loaded.drop("_ingested_at"))
 
 
 @query("publish_aggregates", """

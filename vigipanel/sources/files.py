@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigipanel import fixed_values as fv
 from vigipanel.functions import text as tx
 
-_LARGEST = 1 << 30        # content of larger files is not loaded into one row
+_LARGEST = 1 << 30        # larger files are refused where one row has to hold the content
+_CHUNK = 1 << 23
 
 
 def listing(spark: SparkSession, root: str, pattern: str | None = None, content: bool = False) -> DataFrame:
@@ -50,7 +51,7 @@ def empty_files(spark: SparkSession, root: str) -> DataFrame:
             path = entry.getPath().toUri().getPath()
             found.append((path, entry.getModificationTime() / 1000))
     top = _bare_path(spark, root)
-    hidden = tuple(".gitkeep _SUCCESS".split())
+    hidden = (".gitkeep", "_SUCCESS")
     rows = [(p.removeprefix(top), 0, t) for p, t in found if not p.endswith(hidden)]
     return spark.createDataFrame(rows, "path string, length long, _t double").select(
         "path", "length", F.timestamp_seconds("_t").alias("modificationTime"), F.lit("").cast("binary").alias("content")
@@ -62,10 +63,36 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return listing(spark, root, content=True).unionByName(empty_files(spark, root))
 
 
+def content_hashes(files: DataFrame) -> DataFrame:
+    """``path, length, sha256`` of artefacts with their content."""
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _digests(batches):
+    """SHA-256 of files of any size, read in chunks where the task runs."""
+    import hashlib
+
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for uri in batch["uri"]:
+            system, path = fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(path) as stream:
+                while chunk := stream.read(_CHUNK):
+                    digest.update(chunk)
+            out.append(digest.hexdigest())
+        yield batch.assign(sha256=out)
+
+
 def hashes(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length, sha256``; a file too large for one row gets no hash."""
-    files = inventory(spark, root)
-    return files.select("path", "length", F.when(F.col("length") <= _LARGEST, F.sha2("content", 256)).alias("sha256"))
+    """``path, length, sha256`` of all files below the root, whatever their size."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    found = listing(spark, root).select("path", "length").unionByName(empty_files(spark, root).select("path", "length"))
+    located = found.withColumn("uri", F.concat(F.lit(top), "path"))
+    return located.mapInPandas(_digests, "path string, length long, uri string, sha256 string").drop("uri")
 
 
 def file_control(spark: SparkSession, root: str, version: str) -> DataFrame:
@@ -79,7 +106,7 @@ def file_control(spark: SparkSession, root: str, version: str) -> DataFrame:
         F.col("path").alias("arquivo"), layer.alias("camada"), tx.source_of_path("path").alias("fonte"),
         stamp.alias("data_criacao"), stamp.alias("data_modificacao"),
         F.col("rows").alias("quantidade_linhas"), F.col("columns").alias("quantidade_colunas"),
-        F.when(F.col("length") <= _LARGEST, F.sha2("content", 256)).alias("hash_sha256"),
+        F.sha2("content", 256).alias("hash_sha256"),
         F.when(layer == "raw", "").otherwise(F.concat(F.lit("raw/"), domain, F.lit("/"))).alias("arquivo_origem"),
         F.lit(fv.FILE_STATUS).alias("status_validacao"), F.lit(version).alias("versao_pipeline"),
     )
@@ -117,7 +144,10 @@ def decoded_csv(spark: SparkSession, root: str, delimiter: str = ";") -> DataFra
     Returns ``path, encoding, line_number, cells`` (all fields of a line as an
     array, quotes removed); line 0 is the header.
     """
-    files = listing(spark, root, content=True).where(F.col("length") <= _LARGEST)
+    files = listing(spark, root, content=True)
+    large = listing(spark, root).where(F.col("length") > _LARGEST).select("path").take(1)
+    if large:
+        raise ValueError(f"{large[0]['path']} is too large to be decoded as one file; split it first")
     return decoded_lines(files, delimiter)
 
 
