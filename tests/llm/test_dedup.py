@@ -56,6 +56,21 @@ def test_banded_distance():
         assert line_dedup.within(one, two, edits).tolist() == [distance(a, b) <= edits for a, b in zip(one, two)]
 
 
+def test_fine_keys():
+    from itertools import combinations
+
+    for edits in (1, 2):
+        assert all(any(set(t) <= set(c) for t in line_dedup._triples(edits)) for c in combinations(range(6), 6 - edits))
+    draw = random.Random(9)
+    for _ in range(300):
+        one = "".join(draw.choice("abc") for _ in range(draw.randint(79, 90)))
+        two = edited(one, draw, draw.randint(1, 2))
+        limit = 2 if min(len(one), len(two)) >= 80 else 1
+        if one != two and distance(one, two) <= limit:
+            a, b = ({(k, r) for k, r in zip(*map(list, line_dedup.fine_keys(x)))} for x in (one, two))
+            assert any((k, 0) in b for k, _ in a) or any((k, 0) in a for k, _ in b)
+
+
 def test_lines(spark, prose, monkeypatch):
     draw = random.Random(5)
     base = [prose(18) for _ in range(6)] + [prose(9) for _ in range(4)]
@@ -158,7 +173,7 @@ def test_repeats(spark, prose, many):
 def test_passages(spark, prose):
     passage = prose(70)
     words = passage.split()
-    words[20] = words[50] = "edited"
+    words[35] = "edited"
     texts = [
         None, "", "too short", prose(100) + " " + passage + " " + prose(50), passage + " " + prose(90), prose(120) + " " + " ".join(words), prose(200),
         prose(40) + " " + prose(45), prose(80),

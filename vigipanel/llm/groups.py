@@ -63,25 +63,41 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab")
     return pairs.join(a, "a", "left").join(b, "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    ).select("a", "b")
+    ).select(*pairs.columns)
 
 
-def linked(pairs: DataFrame, many: DataFrame, verified) -> DataFrame:
+def linked(pairs: DataFrame, many: DataFrame, verified, rounds: int = 2) -> DataFrame:
     """Verified links that join all items that links connect, without verifying every pair.
 
     ``pairs(a < b)`` are candidates, ``many(key, item)`` are the items of frequent
     keys, any two of which are candidates as well; ``verified(pairs)`` keeps the
-    true links.  First each item meets its least partner and the ends of its
-    frequent keys; afterwards only candidates whose ends are still in different
-    components are verified, until none is left.
+    true links.  In each round an item meets one partner only, the one with the
+    most candidates itself, which tends to be what a group was copied from.
+    Afterwards the candidates whose ends are still in different components are
+    verified, until none is left.
     """
-    ends = many.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high"))
-    star = many.join(ends, "key").select(
-        F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("item").alias("b")), F.struct(F.col("item").alias("a"), F.col("high").alias("b"))))
-    ).where("a < b").distinct()
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(cut_lineage(nearest.union(star).distinct()))
-    links = cut_lineage(links.union(verified(cut_lineage(_apart(pairs, components(links))))))
+    sizes = many.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = cut_lineage(
+        pairs.select(F.inline(F.array(*[F.struct(F.col(c).alias("item"), F.lit(1).cast("long").alias("n")) for c in "ab"])))
+        .union(many.join(sizes, "key").select("item", "n")).groupBy("item").agg(F.sum("n").alias("w"))
+    )
+    hubs = many.join(weight, "item").groupBy("key").agg(F.max_by("item", F.struct("w", "item")).alias("hub"))
+    star = many.join(hubs, "key").where("item <> hub").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b"))
+    weights = {c: weight.select(F.col("item").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"}
+    untried = cut_lineage(pairs.union(star).distinct().join(weights["a"], "a").join(weights["b"], "b"))
+    links, roots = pairs.select("a", "b").limit(0), None
+    for _ in range(rounds):
+        ends = untried.select(F.inline(F.array(
+            F.struct(F.col("a").alias("u"), F.col("b").alias("v"), F.col("wb").alias("w")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.col("wa").alias("w")),
+        )))
+        picked = ends.groupBy("u").agg(F.max_by("v", F.struct("w", "v")).alias("v"))
+        picked = cut_lineage(picked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+        links = cut_lineage(links.union(verified(picked)))
+        roots = components(links)
+        untried = cut_lineage(_apart(untried.join(picked, ["a", "b"], "left_anti"), roots))
+        if untried.isEmpty():
+            break
+    links = cut_lineage(links.union(verified(untried.select("a", "b"))))
     left = many.join(components(links).withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
     several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = cut_lineage(left.join(several, "key"))
@@ -95,16 +111,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the least node of the component.
 
     Alternating large-star and small-star steps: each node links its neighbours
-    to its least neighbour.  All state is an edge table; one count and one
-    checksum per turn reach the driver.
+    to its least neighbour, until only stars are left.  All state is an edge
+    table; one yes or no per turn reaches the driver.
     """
     now = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+        ends = now.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.lit(int(c == "b")).alias("below")) for c in "ab"])))
+        ends = ends.groupBy("node").agg(F.sum("below").alias("links"), F.min("below").alias("top"))
+        # done when every node below links to one node, which is below none
+        if ends.where("links > 1 OR (links = 1 AND top = 0)").isEmpty():
             break
-        before = mark
         both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).union(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()

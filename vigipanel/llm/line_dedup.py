@@ -7,6 +7,8 @@ length l is cut into edits + 1 segments.  A near line of length l to l + edits
 holds one of them unchanged, at one of a few places that its position and the
 difference in length leave open.  Segments, and those substrings, are keys of an
 equality join; candidates are verified with a banded bit-parallel edit distance.
+Lines under a key that more than ``MANY`` share meet again under finer keys,
+threes of six parts, of which near lines also share one.
 Lines connected by near links are one class, of which the first line by
 (doc_id, line number) stays; equal lines are one line from the start.
 
@@ -128,6 +130,78 @@ def _key_rows(batches):
             yield pd.DataFrame({"key": tk.signed(key), "item": names[index] | role})
 
 
+def _paths(edits: int, shift: int) -> list[tuple[int, ...]]:
+    """Places of three unchanged parts, relative to the shorter line, when all edits together are few enough."""
+    moves = range(-edits, edits + 1)
+    return [
+        (x, y, z) for x in moves for y in moves for z in moves if abs(x) + abs(y - x) + abs(z - y) + abs(shift - z) <= edits
+    ]
+
+
+def _triples(edits: int) -> list[tuple[int, int, int]]:
+    """Threes of the parts of which any ``PARTS - edits`` parts hold at least one."""
+    if edits == 1:
+        return [(0, 1, 2), (3, 4, 5)]
+    return [tuple(sorted((2 * k, 2 * k + 1, (2 * k + 2 + j) % PARTS))) for k in range(3) for j in range(2)]
+
+
+PARTS = 6
+_FINE = {e: (_triples(e), {d: _paths(e, d) for d in range(e + 1)}) for _, e in EDITS}
+
+
+def fine_keys(text: str):
+    """(key, role) from three parts of six at a time: what near lines share beyond one segment."""
+    _, _, starts, ends, sums = lines_of([text])
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    origin, total = int(starts[0]), int(ends[0] - starts[0])
+    at, size, tags, roles = [], [], [], []
+    for shift in range(EDITS[0][1] + 1):
+        length = total - shift
+        edits = int(edits_for(np.array([length]))[0]) if length > 0 else 0
+        if edits < max(shift, 1):
+            continue
+        base, rest = divmod(length, PARTS)
+        sizes = [base + (k >= PARTS - rest) for k in range(PARTS)]
+        places = [sum(sizes[:k]) for k in range(PARTS)]
+        triples, paths = _FINE[edits]
+        for number, triple in enumerate(triples):
+            for path in paths[shift]:
+                spots = [places[k] + move for k, move in zip(triple, path)]
+                if spots[0] < 0 or any(x + sizes[k] > total for x, k in zip(spots, triple)):
+                    continue
+                at.append(spots)
+                size.append([sizes[k] for k in triple])
+                tags.append(length * 16 + number)
+                roles.append(0 if shift == 0 and not any(path) else 1)
+    if not at:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at, size = np.array(at) + origin, np.array(size)
+    parts = tk.span_hashes(sums, at.ravel(), (at + size).ravel()).reshape(at.shape)
+    keys = np.array(tags, np.uint64) * np.uint64(0xA24BAED4963EE407)
+    for k in range(3):
+        keys = tk.mix(keys ^ parts[:, k])
+    return keys, np.array(roles, np.int64)
+
+
+def _fine_rows(batches):
+    for batch in batches:
+        for item, text in zip(batch["item"], batch["text"]):
+            keys, roles = fine_keys(text)
+            if len(keys):
+                yield pd.DataFrame({"key": tk.signed(keys), "item": roles | item})
+
+
+def _candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lines, and (key, item) of frequent keys, from meetings of items whose lowest bit is their role; two probes need no comparison."""
+    role_a, role_b = F.col("a").bitwiseAND(F.lit(1)), F.col("b").bitwiseAND(F.lit(1))
+    a, b = F.col("a") - role_a, F.col("b") - role_b
+    pairs = met.where(~F.col("many") & ((role_a == 0) | (role_b == 0))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    many = met.where("many").select(F.col("a").alias("key"), b.alias("item"), role_b.alias("role"))
+    useful = many.where("role = 0").select("key").distinct()
+    return cut_lineage(pairs), cut_lineage(many.join(useful, "key", "left_semi").select("key", "item").distinct())
+
+
 def within(one: list[str], two: list[str], edits: int) -> np.ndarray:
     """Which pairs are at most ``edits`` apart; each text is longer than ``edits``.
 
@@ -195,16 +269,12 @@ def classed(docs: DataFrame) -> DataFrame:
     lines = cut_lineage(docs.mapInPandas(_line_rows, "doc_id long, line_no int, line long"))
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     met = cut_lineage(meeting(docs.mapInPandas(_key_rows, "key long, item long"), MANY))
-    # the lowest bit of an item is its role; two probes need no comparison
-    role_a, role_b = F.col("a").bitwiseAND(F.lit(1)), F.col("b").bitwiseAND(F.lit(1))
-    a, b = F.col("a") - role_a, F.col("b") - role_b
-    pairs = met.where(~F.col("many") & ((role_a == 0) | (role_b == 0))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    many = met.where("many").select(F.col("a").alias("key"), b.alias("item"), role_b.alias("role"))
-    useful = many.where("role = 0").select("key").distinct()         # keys that no segment has need no comparison
-    many = cut_lineage(many.join(useful, "key", "left_semi").select("key", "item").distinct())
-    pairs = cut_lineage(pairs)
+    pairs, many = _candidates(met)
     wanted = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("item")), F.struct(F.col("b").alias("item"))))).union(many.select("item")).distinct()
     texts = _line_texts(docs, wanted, first)
+    crowded = texts.join(many.select("item").distinct(), "item", "left_semi")
+    more, many = _candidates(cut_lineage(meeting(crowded.mapInPandas(_fine_rows, "key long, item long"), MANY)))
+    pairs = cut_lineage(pairs.union(more).distinct())
     links = linked(pairs, many, lambda found: cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long")))
     roots = cut_lineage(components(links))
     hint = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
