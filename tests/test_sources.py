@@ -200,3 +200,14 @@ def test_metadata(spark, tmp_path):
 def test_newest(spark):
     listed = spark.createDataFrame([("a_1", 1), ("a_2", 3), ("b_1", 2)], "path string, s int").withColumn("modificationTime", F.timestamp_seconds("s"))
     assert {r["kind"]: r["path"] for r in files.newest(listed, F.left("path", F.lit(1))).collect()} == {"a": "a_2", "b": "b_1"}
+
+
+def test_large_and_small_digests(spark, tmp_path):
+    import hashlib
+
+    contents = {"a.bin": b"x" * (9 << 20), "b.bin": b"", "c/d.bin": "ção".encode()}
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: (r["length"], r["sha256"]) for r in files.hashes(spark, str(tmp_path)).collect()}
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
