@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigipanel.session import cut_lineage
 
@@ -51,6 +53,18 @@ def _meet(key: np.ndarray, item: np.ndarray, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "many": np.arange(len(rows)) < many.sum()})
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int = 500):
+    """Smaller Arrow batches for what is computed inside: a batch of text pairs weighs more than one of numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the texts of both ends from ``texts(item, text)``."""
     one = texts.select(F.col("item").alias("a"), F.col("text").alias("text_a"))

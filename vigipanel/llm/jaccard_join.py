@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vigipanel.llm import tokens as tk
-from vigipanel.llm.groups import components, linked, meeting, with_texts
+from vigipanel.llm.groups import components, linked, meeting, rows_per_batch, with_texts
 from vigipanel.session import cut_lineage
 
 NUM, DEN = 80, 100
@@ -166,7 +166,7 @@ def _linked(batches):
     for batch in batches:
         good = []
         for a, b, one, two in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-            if len(held) > 256:
+            if len(held) > 64:
                 held.clear()
             x = held[a] if a in held else held.setdefault(a, tk.shingles(one, SHINGLE))
             y = tk.shingles(two, SHINGLE)
@@ -194,7 +194,8 @@ def _own(batches):
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Linked pairs among ``pairs(a, b)``."""
-    return cut_lineage(with_texts(pairs, texts).mapInPandas(_linked, "a long, b long"))
+    with rows_per_batch(pairs.sparkSession):
+        return cut_lineage(with_texts(pairs, texts).mapInPandas(_linked, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +211,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts_of(docs, needed.join(first, "item").select("item", "doc_id"))
     open_sets = texts.join(frequent, "item", "left").join(first.where("short").select("item", F.lit(True).alias("short")), "item", "left").where(
         F.col("frequent").isNotNull() | F.col("short").isNotNull()).select("item", "text", "frequent")
-    further = cut_lineage(meeting(open_sets.mapInPandas(_further_keys, "key long, item long"), MANY))
+    with rows_per_batch(docs.sparkSession, 2000):
+        further = cut_lineage(meeting(open_sets.mapInPandas(_further_keys, "key long, item long"), MANY))
     pairs = cut_lineage(pairs.union(further.where("NOT many").select("a", "b")).distinct())
     many = further.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"))
     return members, linked(pairs, many, lambda found: verified(found, texts))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from vigipanel.llm import tokens as tk
-from vigipanel.llm.groups import components, linked, meeting, with_texts
+from vigipanel.llm.groups import components, linked, meeting, rows_per_batch, with_texts
 from vigipanel.session import cut_lineage
 
 EDITS = ((80, 2), (40, 1))         # characters from which on so many edits are allowed
@@ -275,7 +275,8 @@ def classed(docs: DataFrame) -> DataFrame:
     crowded = texts.join(many.select("item").distinct(), "item", "left_semi")
     more, many = _candidates(cut_lineage(meeting(crowded.mapInPandas(_fine_rows, "key long, item long"), MANY)))
     pairs = cut_lineage(pairs.union(more).distinct())
-    links = linked(pairs, many, lambda found: cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long")))
+    with rows_per_batch(docs.sparkSession, 2000):
+        links = linked(pairs, many, lambda found: cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long")))
     roots = cut_lineage(components(links))
     hint = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
     held = lines.join(hint, F.col("line") == F.col("node"), "left").select("doc_id", "line_no", "line", F.coalesce("root", "line").alias("line_class"))

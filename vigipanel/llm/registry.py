@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigipanel.llm.bound import text_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 COMPARISON: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            text_batches(spark)
             return fn(lambda table: spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
 
         QUERIES[name] = run
