@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigipanel.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
+from vigipanel.llm.bound import text_batches
 from vigipanel.session import cut_lineage
 
 REJECT_FROM = 0.5
@@ -22,12 +23,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below ``REJECT_FROM``; the model is fitted on the labelled ones among ``docs``."""
+    text_batches(spark)
     model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(model)("text") < REJECT_FROM)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has already."""
+    text_batches(spark)
     return line_dedup.deduplicated(docs)
 
 
@@ -39,12 +42,14 @@ def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate component, and all that are alone; of rows that repeat a doc_id all stay."""
+    text_batches(spark)
     found = jaccard_join.joined(docs)
     return _kept(docs.where("doc_id IS NOT NULL"), found.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    text_batches(spark)
     leaks = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
     return _kept(docs, leaks.select("doc_id").distinct(), "left_anti").select(*docs.columns)
 
