@@ -138,6 +138,39 @@ def test_jaccard(spark, prose, monkeypatch, many):
     assert jaccard_join.joined(docs.where("false")).count() == 0
 
 
+def _crowd(words, draw, replaced):
+    """One copy of a text per entry of ``replaced``, with so many words of its own."""
+    out = []
+    for k, n in enumerate(replaced):
+        copy = list(words)
+        for j, at in enumerate(draw.sample(range(len(words)), n)):
+            copy[at] = f"own{k}x{j}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_crowds(spark):
+    """A few copies with many words of their own stop at another level than the crowd that they link to."""
+    draw = random.Random(8)
+    texts = _crowd([f"w150x{k}" for k in range(150)], draw, [1] * 100 + [3] * 24)
+    own = sets(texts)
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    names = [jaccard_join.class_of(jaccard_join.tk.shingles(t)) for t in texts]
+    held = defaultdict(set)
+    for f in jaccard_join._first_keys([{"text": texts}]):
+        for key, item in zip(f["key"], f["item"]):
+            held[key].add(item)
+    frequent = {i: [k for k, items in held.items() if len(items) > 32 and i in items] for i in names}
+    further = defaultdict(set)
+    for f in jaccard_join._further_keys([{"item": names, "text": texts, "frequent": [frequent[i] for i in names]}]):
+        for key, item in zip(f["key"], f["item"]):
+            further[key].add(item)
+    keys = [x for x in held.values() if len(x) <= 32] + list(further.values())
+    assert any(a >= 100 for a, _ in linked) and not [(a, b) for a, b in linked if not any(names[a] in x and names[b] in x for x in keys)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(groups(len(texts), linked)))
+
+
 def test_needed_segments():
     for size in list(range(1, 60)) + [137, 1000, 5000]:
         for partner in range(-(-size * 80 // 100), size * 100 // 80 + 1):

@@ -14,12 +14,12 @@ its two sets is covered, so only sets that are not covered go on to the next
 level:
 
 * 0: exact segments, without frequent keys;
-* 1: the same with one-deletion neighbourhoods;
-* 2: frequent keys as well;
-* 3: every element is a key (sets with a similarity above 0 share one).
+* 1: all segments with one-deletion neighbourhoods, frequent keys as well: the
+  counterpart of a rare segment can be a frequent one;
+* 2: every element is a key (sets with a similarity above 0 share one).
 
-Frequent keys of levels 1 to 3 give pairs with their first and last item; what
-those leave in different components is compared in full, so no link is lost.
+Frequent keys of levels 1 and 2 give pairs with a hub; what those leave in
+different components is compared in full, so no link is lost.
 Equal sets are one class from the start; a class counts as one item however
 many documents it has.
 
@@ -133,7 +133,7 @@ def _key_frame(keys, items) -> pd.DataFrame:
 
 
 def _further_keys(batches):
-    """Levels 1 to 3 for sets that are not covered: (key, item); ``frequent`` holds the set's frequent level-0 keys."""
+    """Levels 1 and 2 for sets that are not covered: (key, item); ``frequent`` holds the set's frequent level-0 keys."""
     for batch in batches:
         for name, text, frequent in zip(batch["item"], batch["text"], batch["frequent"]):
             elements = tk.shingles(text, SHINGLE)
@@ -144,16 +144,13 @@ def _further_keys(batches):
                 rare = ~np.isin(tk.signed(keys), common)
                 if rare.sum() >= differ + 1:
                     continue
-                for level, use in ((1, rare), (2, np.ones(len(keys), bool))):
-                    tag = np.full(1, level, np.uint64) * np.uint64(0xA24BAED4963EE407)
-                    out.append(tk.mix(keys[use] ^ tag))
-                    several = use & (sizes > 1)
-                    each = np.repeat(several, sizes)
-                    without = np.repeat(sums, sizes) - spread
-                    out.append(tk.mix(tk.mix(without + np.repeat(salt, sizes))[each] ^ tag))
-                    if use.sum() + several.sum() >= differ + 1:
-                        break
-                else:
+                # a partner may be covered by segments whose counterparts are frequent here, so all of them are keys
+                tag = np.full(1, 1, np.uint64) * np.uint64(0xA24BAED4963EE407)
+                out.append(tk.mix(keys ^ tag))
+                several = sizes > 1
+                without = np.repeat(sums, sizes) - spread
+                out.append(tk.mix(tk.mix(without + np.repeat(salt, sizes))[np.repeat(several, sizes)] ^ tag))
+                if len(keys) + several.sum() < differ + 1:
                     out.append(tk.mix(spread + np.full(1, 3, np.uint64) * _SALT))
             if out:
                 keys = tk.signed(np.unique(np.concatenate(out)))
