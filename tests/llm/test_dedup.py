@@ -222,6 +222,16 @@ def test_passages(spark, prose):
     assert passages.passages(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("inserted", [(25, 2), (20, 1), (40, 2)])
+def test_passages_with_insertion(inserted):
+    at, n = inserted
+    one = [f"w{k}" for k in range(55)]
+    two = one[:at] + ["new", "words"][:n] + one[at:]
+    x, y = (passages.tk.signed(passages.tk.sequence_hashes(passages.tk.words(" ".join(w)), 5)) for w in (one, two))
+    assert 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))
+    assert passages.passages_of(x, y) and passages.aligned(x, y) and passages.aligned(y, x)
+
+
 def test_compact_windows():
     draw = random.Random(4)
     for n in (5, 40, 200):
