@@ -222,6 +222,24 @@ def test_passages(spark, prose):
     assert passages.passages(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [10, 100])
+def test_passages_of_groups(spark, copies):
+    """Copies that differ in one word of 70 each link to the common passage only, which is not the first of them."""
+    draw = random.Random(6)
+    words = [f"w{k}" for k in range(70)]
+    texts = [" ".join(words[:at] + [f"own{k}"] + words[at + 1:]) for k, at in enumerate(draw.randrange(22, 48) for _ in range(copies))]
+    texts.insert(copies // 2, " ".join(words))
+    places = [tuple(r) for r in passages.passages(frame(spark, texts)).select("doc_id", "class_id").collect()]
+    words = [passages.tk.sequence_hashes(passages.tk.words(t), 5) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if passages.passages_of(words[a], words[b])]
+    own = sets(texts)
+    assert all(100 * len(own[k] & own[copies // 2]) >= 80 * len(own[k] | own[copies // 2]) for k in range(len(texts)))
+    root = groups(len(texts), linked)
+    met = [a for a in range(len(texts)) if a not in {d for d, _ in places}]
+    # two of four min-hashes agree with a probability of 0.99 at a similarity of 0.87
+    assert set(root) == {0} and len(met) <= 0.04 * copies and {c for _, c in places} == {0}
+
+
 @pytest.mark.parametrize("inserted", [(25, 2), (20, 1), (40, 2)])
 def test_passages_with_insertion(inserted):
     at, n = inserted
