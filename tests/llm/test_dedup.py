@@ -103,6 +103,15 @@ def test_lines(spark, prose, monkeypatch):
     assert line_dedup.counted(docs.where("false")).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark, prose):
+    a, b, c, d, e, f = (prose(18) for _ in range(6))
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{d}\n{e}"), (None, f"{f}\n{b}"), (None, f"{d}\nx"), (3, f"{e}z")], "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in line_dedup.deduplicated(docs).collect()}
+    assert left == {(1, a), (2, c), (2, e), (None, f"{f}\n{b}"), (None, f"{d}\nx")}
+    counts = sorted((r["doc_id"] or 0, r["n_lines"], r["removed"]) for r in line_dedup.counted(docs).collect())
+    assert counts == [(0, 2, []), (0, 2, []), (1, 2, [1]), (2, 2, [0]), (2, 2, [1]), (3, 1, [0])]
+
+
 def sets(texts):
     out = []
     for t in texts:

@@ -15,16 +15,17 @@ Lines connected by near links are one class, of which the first line by
 Lines are compared without the white space around them; blank lines are left
 alone.
 
-Edge cases: null and empty texts have no lines.  Rows that repeat a doc_id count
-as one document, whose lines stay or go in all of them.  A null doc_id sorts
-first.  An empty table gives an empty result; extra columns are not looked at.
+Edge cases: null and empty texts have no lines.  Rows with one doc_id and one
+text count as one document, whose lines stay or go in all of them; rows that
+share a doc_id only, or have none, are documents of their own.  A null doc_id
+sorts first.  An empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from vigipanel.llm import tokens as tk
@@ -84,7 +85,7 @@ def _line_rows(batches):
     for batch in batches:
         for first, texts in _chunks(batch["text"]):
             row, number, starts, ends, sums = lines_of(texts)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[first + row].to_numpy(), "line_no": number.astype(np.int32), "line": _names(sums, starts, ends)})
+            yield pd.DataFrame({"row": batch["row"].iloc[first + row].to_numpy(), "doc_id": batch["doc_id"].iloc[first + row].to_numpy(), "line_no": number.astype(np.int32), "line": _names(sums, starts, ends)})
 
 
 def keys_of(sums, starts, ends):
@@ -255,19 +256,24 @@ def _near(batches):
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
-    """(item, text) of the wanted lines, taken from the document that has each first."""
-    places = cut_lineage(wanted.join(first, wanted["item"] == first["line"]).select("item", F.col("first.doc_id").alias("doc_id"), "first.line_no"))
+    """(item, text) of the wanted lines, taken from the row of ``docs(row, text)`` that has each first."""
+    places = cut_lineage(wanted.join(first, wanted["item"] == first["line"]).select("item", F.col("first.row").alias("row"), "first.line_no"))
     hint = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(hint, F.col("id").eqNullSafe(F.col("doc_id")))
+    texts = docs.select("row", "text").join(hint, "row")
     line = F.get(F.split("text", "\n"), F.col("line_no"))
     return cut_lineage(texts.select("item", F.btrim(line, F.lit(" \t\n\x0b\f\r")).alias("text")).dropDuplicates(["item"]))
 
 
+def _row() -> Column:
+    """The name of a row: a doc_id may be null or stand for several texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def classed(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (name), line_class, stays for every line that isn't blank."""
-    docs = docs.select("doc_id", "text")
-    lines = cut_lineage(docs.mapInPandas(_line_rows, "doc_id long, line_no int, line long"))
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    """row (name), doc_id, line_no, line (name), line_class, stays for every line that isn't blank."""
+    docs = docs.select("doc_id", "text", _row().alias("row"))
+    lines = cut_lineage(docs.mapInPandas(_line_rows, "row long, doc_id long, line_no int, line long"))
+    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
     met = cut_lineage(meeting(docs.mapInPandas(_key_rows, "key long, item long"), MANY))
     pairs, many = _candidates(met)
     wanted = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("item")), F.struct(F.col("b").alias("item"))))).union(many.select("item")).distinct()
@@ -279,24 +285,24 @@ def classed(docs: DataFrame) -> DataFrame:
         links = linked(pairs, many, lambda found: cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long")))
     roots = cut_lineage(components(links))
     hint = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
-    held = lines.join(hint, F.col("line") == F.col("node"), "left").select("doc_id", "line_no", "line", F.coalesce("root", "line").alias("line_class"))
+    held = lines.join(hint, F.col("line") == F.col("node"), "left").select("row", "doc_id", "line_no", "line", F.coalesce("root", "line").alias("line_class"))
     keeper = first.join(hint, F.col("line") == F.col("node"), "left").groupBy(F.coalesce("root", "line").alias("class")).agg(
         F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1").select("class", "keeper")
     return held.join(keeper, F.col("line_class") == F.col("class"), "left").select(
-        "doc_id", "line_no", "line", "line_class",
-        F.when(F.col("class").isNull(), True).otherwise(F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper"))).alias("stays"),
+        "row", "doc_id", "line_no", "line", "line_class",
+        F.when(F.col("class").isNull(), True).otherwise(F.struct("doc_id", "line_no", "row").eqNullSafe(F.col("keeper"))).alias("stays"),
     )
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: doc_id, n_lines, n_removed, removed (sorted line numbers, from 0)."""
-    lines = classed(docs).groupBy("doc_id").agg(
+    """One row per document (doc_id and text): doc_id, n_lines, n_removed, removed (sorted line numbers, from 0)."""
+    lines = classed(docs).groupBy("row").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("stays")).alias("n_removed"),
         F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("line_no")))).alias("removed"),
     )
-    ids = docs.select("doc_id").distinct().withColumnRenamed("doc_id", "id")
-    return ids.join(lines, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+    rows = docs.select("doc_id", _row().alias("row")).distinct()
+    return rows.join(lines, "row", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
 
@@ -314,8 +320,8 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; n_chars follows; documents that lose all their lines go."""
-    gone = classed(docs).where("NOT stays").groupBy("doc_id").agg(F.collect_set("line_no").alias("removed")).withColumnRenamed("doc_id", "gone_id")
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    gone = classed(docs).where("NOT stays").groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("line_no").alias("removed"))
+    rows = docs.join(gone, _row() == F.col("gone_row"), "left")
     text = _without(F.col("text"), F.col("removed"))
     rows = rows.withColumn("text", text)
     solid = F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""
