@@ -40,6 +40,14 @@ def test_slots_must_agree(spark):
     assert [r["doc_id"] for r in decontamination.contaminated(docs, benchmark).collect()] == [0]
 
 
+def test_leaks_with_a_word_more_or_less(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    texts = [words[:20] + ["more"] + words[20:], words[:20] + words[21:], words[:8] + ["far"] * 40 + words[30:], words]
+    got = {r["doc_id"]: r for r in decontamination.contaminated(frame(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    assert {k: (r["n_matched"], r["exact"]) for k, r in got.items()} == {0: (26, False), 1: (25, False), 3: (33, True)}
+
+
 def _plain_exponent(tokens, budget, entropy, repeats):
     share = np.array(tokens) / sum(tokens)
 

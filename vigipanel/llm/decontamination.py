@@ -6,7 +6,9 @@ names (capitalised inside a sentence) are typed placeholders.  Windows of
 ``WINDOW`` tokens meet by an equality join on their hashes; a re-parameterised
 question differs in its slots only, so its templates still meet.  For each
 alignment of a document with an item the slot values must map consistently: one
-value of the item always stands for one value in the document.
+value of the item always stands for one value in the document.  Inserted or
+deleted tokens split an alignment into neighbouring shifts; shifts up to
+``MOST_GAP`` tokens apart make a chain, which is tried as one besides each alone.
 
 Window hashes of the benchmark are sent to the tasks that scan the documents
 where they are at most ``BROADCAST_WINDOWS`` (8 bytes each); beyond that all
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigipanel.llm import tokens as tk
 
@@ -31,6 +33,7 @@ WINDOW = 8
 LEAST_TOKENS = 4
 LEAST_LITERAL = 4
 LEAST_COVERAGE = 0.5
+MOST_GAP = WINDOW
 BROADCAST_WINDOWS = 2_000_000
 
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles g kg mg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years eur usd euro euros dollar dollars cent cents percent degrees kmh mph watt watts volt volts".split()
@@ -140,21 +143,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = LEAST_
         found = windows(source, sizes)
     met = found.distinct().join(items, ["form", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
     met = cut_lineage(met.select(F.col("id").alias("doc_id"), "item_id", "shift", "item_at", "slots", "item_slots"))
-    held = met.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_matched"))
-    values = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).groupBy(
-        "doc_id", "item_id", "shift", F.col("v.item_slots").alias("value"),
+    # the shifts of a pair in order: a wider gap begins a new chain
+    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    shifts = met.select("doc_id", "item_id", "shift").distinct().withColumn("begins", F.coalesce(F.col("shift") - F.lag("shift").over(order) > MOST_GAP, F.lit(True)))
+    shifts = shifts.withColumn("chain", F.sum(F.col("begins").cast("long")).over(order))
+    several = shifts.groupBy("doc_id", "item_id", "chain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    chains = shifts.join(several, ["doc_id", "item_id", "chain"]).select("doc_id", "item_id", "shift", "chain")
+    met = met.withColumn("chained", F.lit(False)).union(
+        met.join(chains, ["doc_id", "item_id", "shift"]).select("doc_id", "item_id", F.col("chain").alias("shift"), "item_at", "slots", "item_slots", F.lit(True)))
+    alignment = ["doc_id", "item_id", "chained", "shift"]
+    held = met.groupBy(*alignment).agg(F.countDistinct("item_at").alias("n_matched"))
+    values = met.select(*alignment, F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).groupBy(
+        *alignment, F.col("v.item_slots").alias("value"),
     ).agg(F.min("v.slots").alias("low"), F.max("v.slots").alias("high"))
-    mapped = values.groupBy("doc_id", "item_id", "shift").agg(
+    mapped = values.groupBy(*alignment).agg(
         F.max(F.col("low") != F.col("high")).alias("clash"), F.count_if(F.col("low") != F.col("value")).alias("n_changed"),
     )
-    scored = held.join(mapped, ["doc_id", "item_id", "shift"], "left").join(lengths.select("item_id", "n_windows"), "item_id").select(
-        "doc_id", "item_id", "n_matched", "n_windows", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"),
+    scored = held.join(mapped, alignment, "left").join(lengths.select("item_id", "n_windows"), "item_id").select(
+        "doc_id", "item_id", "chained", "n_matched", "n_windows", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"),
         F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"), F.coalesce("clash", F.lit(False)).alias("clash"),
     ).where(~F.col("clash") & (F.col("coverage") >= coverage))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("kept"), "n_windows", "coverage")).alias("b"))
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("n_changed")).alias("kept"), (~F.col("chained")).alias("whole"), "n_windows", "coverage")).alias("b"))
     return best.select(
         "doc_id", "item_id", "b.n_matched", "b.n_windows", "b.coverage", (-F.col("b.kept")).alias("n_changed"),
-        ((F.col("b.coverage") == 1) & (F.col("b.kept") == 0)).alias("exact"),
+        (F.col("b.whole") & (F.col("b.coverage") == 1) & (F.col("b.kept") == 0)).alias("exact"),
     )
 
 
