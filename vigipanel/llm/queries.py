@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vigipanel.llm import decontamination, jaccard_join, license_index, line_dedup, mixing, passages, quality_rules, repeats, toxicity, url_rules
+from vigipanel.llm import (
+    collocations, decontamination, jaccard_join, license_index, line_dedup, mixing, passages, quality_rules, repeats, toxicity, url_rules, whitening,
+)
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
 __all__ = ["QUERIES", "COMPARISON"]
@@ -81,6 +83,34 @@ FROM d LEFT JOIN x USING (r)
 """
 
 
+COLLOCATION_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) FROM w
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+candidate AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE size >= 2 AND f >= 10),
+cut AS (SELECT *, unnest(range(1, size)) AS k FROM candidate),
+part AS (SELECT *, list_aggregate(p[1:k], 'string_agg', ' ') AS first, list_aggregate(p[k+1:size], 'string_agg', ' ') AS second FROM cut),
+score AS (
+  SELECT part.lang, part.phrase, part.size, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM part JOIN f x ON x.lang = part.lang AND x.phrase = first JOIN f y ON y.lang = part.lang AND y.phrase = second
+), worst AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS phrase FROM candidate WHERE size = 3) GROUP BY ALL
+), kept AS (
+  SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 @query("op3_quality_rules", QUALITY_SQL)
 def _(table):
     return quality_rules.judged(table("documents")).drop("text")
@@ -132,3 +162,13 @@ def _(table):
 @query("op4_compact_windows")
 def _(table):
     return passages.passages(table("documents"))
+
+
+@query("op11_phrase_collocations", COLLOCATION_SQL)
+def _(table):
+    return collocations.collocations(table("documents"))
+
+
+@query("op13_embedding_whitening")
+def _(table):
+    return whitening.whitened(table("embeddings"))

@@ -43,6 +43,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def powers(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base of all polynomials here."""
+    return _powers(_STEP, n)
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers(_INVERSE, n)
+
+
 def as_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
