@@ -39,9 +39,10 @@ from pyspark.sql.window import Window
 from vigipanel.llm import tokens as tk
 from vigipanel.session import cut_lineage
 
-LEAST, TOP, LONGEST = 10, 2000, 3
+LEAST, TOP = 10, 2000
 SCALE, COVERED = 1_000_000, 50          # a longer phrase with half of the occurrences replaces a shorter one
 BLOCK = 1 << 21
+BITS = 64
 MOST_BITS = 1 << 28
 BITS_PER_ENTRY = 16
 _EXACT = "decimal(38,0)"
@@ -55,8 +56,8 @@ _GAP[[0x20, 0x09]] = True
 class Block:
     """The words of some pieces of one language, and the fingerprints of their n-grams."""
 
-    def __init__(self, data: np.ndarray, lang: str):
-        self.data = data
+    def __init__(self, data: np.ndarray, lang: str, bits: int):
+        self.data, self.mask = data, np.uint64((1 << bits) - 1)
         self.starts, self.ends = tk.spans(~_GAP[data])
         self.words = tk.span_hashes(tk.running(data), self.starts, self.ends)
         self.piece = np.cumsum(_END[data])[self.starts] if len(self.starts) else self.starts
@@ -71,11 +72,11 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.piece[:n] == self.piece[size - 1:])
         raw = (self.sums[at + size] - self.sums[at]) * tk.inverse_powers(len(self.sums))[at]
-        return at, kept_bits(tk.mix(raw + self.salt * np.uint64(2 * size + 1)))
+        return at, tk.mix(raw + self.salt * np.uint64(2 * size + 1)) & self.mask
 
     def same_words(self) -> np.ndarray:
         """A number per word, equal where the bytes are equal: by hash, then compared with the first of that hash."""
-        _, first, number = np.unique(kept_bits(self.words), return_index=True, return_inverse=True)
+        _, first, number = np.unique(self.words & self.mask, return_index=True, return_inverse=True)
         lengths = self.ends - self.starts
         of = first[number]
         good = lengths == lengths[of]
@@ -95,37 +96,32 @@ class Block:
         return self.data[self.starts[k]:self.ends[k]].tobytes().decode("utf-8", "replace")
 
 
-def kept_bits(prints: np.ndarray) -> np.ndarray:
-    """The bits of a fingerprint that are used: all."""
-    return prints
-
-
-def blocks(batch: pd.DataFrame) -> Iterator[tuple[str, Block]]:
+def blocks(batch: pd.DataFrame, bits: int, size: int) -> Iterator[tuple[str, Block]]:
     """The texts of a batch by language, in blocks cut between pieces."""
     texts = batch["text"].where(batch["text"].notna(), "")
     for lang, own in texts.groupby(batch["lang"].where(batch["lang"].notna(), "und"), sort=False):
-        held, size = [], 0
+        held, n = [], 0
         for text in own:
             held.append(text)
-            size += len(text)
-            if size >= BLOCK:
-                yield from _cut(held, lang)
-                held, size = [], 0
-        if size:
-            yield from _cut(held, lang)
+            n += len(text)
+            if n >= size:
+                yield from _cut(held, lang, bits, size)
+                held, n = [], 0
+        if n:
+            yield from _cut(held, lang, bits, size)
 
 
-def _cut(texts: list[str], lang: str) -> Iterator[tuple[str, Block]]:
+def _cut(texts: list[str], lang: str, bits: int, size: int) -> Iterator[tuple[str, Block]]:
     data = tk.lowered(tk.as_bytes("\n".join(texts)))
-    if len(data) <= 2 * BLOCK:
-        yield lang, Block(data, lang)
+    if len(data) <= 2 * size:
+        yield lang, Block(data, lang, bits)
         return
     ends = np.flatnonzero(_END[data])
     start = 0
     while start < len(data):
-        k = int(np.searchsorted(ends, start + BLOCK))
+        k = int(np.searchsorted(ends, start + size))
         stop = int(ends[k]) + 1 if k < len(ends) else len(data)
-        yield lang, Block(data[start:stop], lang)
+        yield lang, Block(data[start:stop], lang, bits)
         start = stop
 
 
@@ -157,13 +153,16 @@ def bit_table(found: DataFrame):
     return found.sparkSession.sparkContext.broadcast(bits)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, size, f): all words and phrases that occur ``least`` times, and words in total as size 0."""
+def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = BITS, block_size: int = BLOCK) -> DataFrame:
+    """(lang, phrase, size, f): all words and phrases that occur ``least`` times, and words in total as size 0.
+
+    Fewer ``bits`` of a fingerprint make collisions likelier and change nothing else.
+    """
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def short(batches):
         for batch in batches:
-            for _, block in blocks(batch):
+            for _, block in blocks(batch, bits, block_size):
                 for size in (1, 2):
                     yield _counted(block.prints(size)[1])
 
@@ -179,14 +178,14 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def long(batches):
         for batch in batches:
-            for _, block in blocks(batch):
+            for _, block in blocks(batch, bits, block_size):
                 yield _counted(triples_of(block)[1])
 
     more = bit_table(frequent(texts, long, least))
 
     def spelled(batches):
         for batch in batches:
-            for lang, block in blocks(batch):
+            for lang, block in blocks(batch, bits, block_size):
                 yield from _spelled(lang, block, triples_of(block), few.value, more.value)
 
     found = texts.mapInPandas(spelled, "lang string, phrase string, size int, f long")
@@ -209,6 +208,8 @@ def _spelled(lang: str, block: Block, triples, few: np.ndarray, more: np.ndarray
         for k in range(size):
             differ |= same[at + k] != same[of + k]
         n = n - np.bincount(number[differ], minlength=len(n))
+        if not len(at):
+            continue
         places = np.concatenate((at[first], at[differ]))          # collisions speak for themselves
         phrases = [" ".join(map(block.word, range(p, p + size))) for p in places.tolist()]
         yield pd.DataFrame({"lang": lang, "phrase": phrases, "size": size, "f": np.concatenate((n, np.ones(int(differ.sum()), n.dtype)))})
@@ -240,7 +241,10 @@ def scored(counts: DataFrame, least: int = LEAST) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    counts = phrase_counts(docs, least)
+    return ranked(phrase_counts(docs, least), least, top)
+
+
+def ranked(counts: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = scored(counts, least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vigipanel.llm import (
-    collocations, decontamination, jaccard_join, license_index, line_dedup, mixing, passages, quality_rules, repeats, toxicity, url_rules, whitening,
+    collocations, decontamination, jaccard_join, license_index, line_dedup, minhash_pairs, mixing, passages, quality_rules, repeats, toxicity, url_rules, whitening,
 )
 from vigipanel.llm.registry import COMPARISON, QUERIES, query
 
@@ -169,6 +169,11 @@ def _(table):
     return collocations.collocations(table("documents"))
 
 
+@query("op12_minhash_near_dedup")
+def _(table):
+    return minhash_pairs.near_copies(table("documents"))
+
+
 @query("op13_embedding_whitening")
 def _(table):
     return whitening.whitened(table("embeddings"))

@@ -59,7 +59,7 @@ def whole_vectors(table: DataFrame) -> DataFrame:
 def _padded(column: pd.Series, d: int) -> np.ndarray:
     lengths = column.str.len().to_numpy()
     if (lengths == d).all():
-        return np.concatenate(column.to_numpy()).reshape(-1, d)
+        return np.concatenate(column.to_numpy()).reshape(len(column), d)
     out = np.zeros((len(column), d), np.int64)
     for k, row in enumerate(column):
         out[k, :len(row)] = row
@@ -106,6 +106,8 @@ class Fit:
 def fit_list(vectors: DataFrame) -> Fit:
     """Each distinct x once, written; sums by dimension as exact decimals."""
     longest = vectors.agg(F.max(F.size("x"))).first()[0] or 0
+    if not longest:
+        return Fit(vectors, 0, [])
     zero = F.lit(0).cast("long")
     padded = F.when(F.size("x") == longest, F.col("x")).otherwise(F.slice(F.concat("x", F.array_repeat(zero, longest)), 1, longest))
     rows = cut_lineage(vectors.select(padded.alias("x")).distinct())
