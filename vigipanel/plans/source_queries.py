@@ -26,6 +26,10 @@ def _artefacts(v, content: bool = False):
     return texts.select("path", F.octet_length("text").cast("long").alias("length"), *([F.encode("text", "UTF-8").alias("content")] if content else []))
 
 
+def fv_literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 ARTEFACT = """artefact AS (SELECT 'documents/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages)"""
 
 
@@ -86,18 +90,24 @@ def file_shape(v):
     """Rows and header width of an exported table, over all its part files."""
     path = fresh_path(v.spark, "shape")
     sinks.export_csv(v.annual, path)
-    shaped = files.with_shape(files.listing(v.spark, path, "*.csv", content=True))
+    shaped = files.with_shape(v.spark, path, files.listing(v.spark, path))
     return whole(shaped.where(F.col("length") > 0).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns")))
 
 
-@query("file_control")
+@query("file_control", f"""
+WITH part AS (SELECT c_custkey // 200 AS folder, c_custkey, c_custkey || ',"' || c_name || chr(10) || 'of nation ' || c_nationkey || '",' || c_mktsegment AS line FROM customer),
+file AS (SELECT folder, count(*) AS n, 'c_custkey,label,c_mktsegment' || chr(10) || string_agg(line, chr(10) ORDER BY c_custkey) || chr(10) AS content FROM part GROUP BY 1)
+SELECT 'raw/ripsa/list=' || folder AS arquivo, 'raw' AS camada, {fv_literal("RIPSA/SES-RJ")} AS fonte, CAST(n AS BIGINT) AS quantidade_linhas, CAST(3 AS BIGINT) AS quantidade_colunas,
+  sha256(content) AS hash_sha256, '' AS arquivo_origem, {fv_literal(fv.FILE_STATUS)} AS status_validacao FROM file""")
 def file_control(v):
+    """The control table of a tree of files: two hundred customers each, one field of which spans two lines."""
     path = fresh_path(v.spark, "control")
-    sinks.export_csv(v.population, f"{path}/raw/ripsa")
-    sinks.export_csv(v.annual, f"{path}/processed/dengue")
-    return files.file_control(v.spark, path, "1").where(F.col("arquivo").endswith(".csv")).select(
-        "camada", "fonte", "quantidade_linhas", "quantidade_colunas", "hash_sha256", "arquivo_origem", "status_validacao"
-    )
+    label = F.concat("c_name", F.lit("\nof nation "), "c_nationkey")
+    rows = v.table("customer").select(F.floor(F.col("c_custkey") / 200).alias("list"), "c_custkey", label.alias("label"), "c_mktsegment")
+    rows.repartition("list").sortWithinPartitions("list", "c_custkey").write.partitionBy("list").option("header", True).csv(f"{path}/raw/ripsa")
+    return whole(files.file_control(v.spark, path, "1").select(
+        F.regexp_replace("arquivo", "/[^/]*$", "").alias("arquivo"), "camada", "fonte", "quantidade_linhas", "quantidade_colunas", "hash_sha256", "arquivo_origem", "status_validacao",
+    ))
 
 
 @query("csv_contract", "SELECT code, year, CAST(population AS BIGINT) AS population FROM population")
@@ -151,8 +161,7 @@ def encoding_fallback(v):
     for rest, encoding in ((0, "ISO-8859-1"), (1, "UTF-8")):
         wide.where(F.col("key") % 2 == rest).drop("key").write.option("header", True).option("sep", ";").option(
             "encoding", encoding).csv(f"{path}/e{rest}")
-    listed = files.listing(v.spark, path, "*.csv", content=True).where(F.col("length") > 0)
-    return whole(files.population_series(files.decoded_lines(listed), v.area, YEARS))
+    return whole(files.population_series(files.decoded_csv(v.spark, path, pattern="*.csv"), v.area, YEARS))
 
 
 @query("paged_json", """
