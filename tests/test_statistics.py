@@ -195,3 +195,18 @@ def test_null_groups_stay(spark):
     row = assoc.correlations(pairs, ["k"]).first()
     assert row["k"] is None and row["observations"] == 5 and row["spearman_rho"] == 1.0
     assert assoc.leave_one_out(pairs, ["k"], ["id"]).count() == 5
+
+
+def test_chain_of_categories(spark):
+    """Areas that share one round with the next area only: sweeping means in turn would take hundreds of turns here."""
+    rng = np.random.default_rng(12)
+    rows = [(spec, f"a{k:02d}", f"a{k:02d}", f"t{t:02d}", float(rng.normal()), float(rng.normal() + k * k + 1e4 * (spec == "t"))) for spec in "st" for k in range(9) for t in (k, k + 1)]
+    df = spark.createDataFrame(rows, "spec string, code string, c1 string, c2 string, x double, y double")
+    got = {(r["spec"], r["c1"], r["c2"]): (r["x"], r["y"]) for r in reg.absorbed(df, ["spec"], ["x", "y"]).collect()}
+    for spec in "st":
+        own = [r for r in rows if r[0] == spec]
+        design = np.array([[float(r[2] == f"a{k:02d}") for k in range(9)] + [float(r[3] == f"t{k:02d}") for k in range(10)] for r in own])
+        for at in (0, 1):
+            v = np.array([r[4 + at] for r in own])
+            left = v - design @ np.linalg.lstsq(design, v, rcond=None)[0]
+            assert np.allclose([got[(spec, r[2], r[3])][at] for r in own], left, atol=1e-8 * np.abs(v).max())

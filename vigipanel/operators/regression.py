@@ -4,15 +4,16 @@ The published models are least squares of an outcome on a constant, one
 standardised indicator and dummies.  The coefficient of interest, its
 cluster-robust error, R2 and the Breusch-Pagan statistic depend on the dummies
 only through what is left of a variable after they are swept out
-(Frisch-Waugh-Lovell), so no design matrix is built: variables are demeaned by
-category in turn until nothing moves.  All specifications are rows of one long
-table and run in the same jobs; nothing but one number per sweep reaches the
-driver.
+(Frisch-Waugh-Lovell), so no design matrix is built: the dummies' normal
+equations are solved by conjugate gradients.  Their matrix is the table of how
+often two categories meet, their state a few numbers per category; rows are read
+once before and once after.  All specifications are rows of one long table and
+run in the same jobs; nothing but one number per turn reaches the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.functions.indicators import chi2_upper_p, t_two_sided_p
@@ -21,8 +22,8 @@ from vigipanel.session import cut_lineage
 
 SAMPLE = ["indicator", "lag"]
 SPEC = ["indicator", "lag", "transform", "adjustment"]
-_TOLERANCE = 1e-11
-_MAX_SWEEPS = 200
+_TOLERANCE = 1e-12        # of the residual, relative to the column
+_ROUNDING, _PATIENCE = 1e-8, 100
 
 
 def standardised_samples(panel: DataFrame, indicators: dict[str, str], lags: int = 3) -> DataFrame:
@@ -62,33 +63,77 @@ def specifications(samples: DataFrame, transforms=fv.TRANSFORMS, adjustments=fv.
     ).select(*SAMPLE, "outlier_rule", "code", "x", "o.*")
 
 
-def _sweep(df: DataFrame, spec: list[str], category: str, columns: list[str]) -> DataFrame:
-    """Subtract category means; the means are aggregated before any row moves."""
-    means = df.groupBy(*spec, category).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    out = df.join(means, [*spec, category])
-    for c in columns:
-        out = out.withColumn(c, F.col(c) - F.col(f"_m_{c}"))
-    out = out.withColumn("_move", F.greatest("_move", *[F.abs(f"_m_{c}") for c in columns]))
-    return out.drop(*[f"_m_{c}" for c in columns])
+def _both_sides(rows: DataFrame, spec: list[str], **columns: Column) -> DataFrame:
+    """Sums of ``columns`` by category, both categorisations in one table (``side``, ``level``)."""
+    each = [F.struct(F.lit(side).alias("side"), F.col(c).alias("level"), *[v.alias(name) for name, v in columns.items()]) for side, c in ((1, "c1"), (2, "c2"))]
+    return rows.select(*spec, F.inline(F.array(*each))).groupBy(*spec, "side", "level").agg(*[F.sum(name).alias(name) for name in columns])
 
 
-def absorbed(df: DataFrame, spec: list[str], columns: list[str]) -> DataFrame:
-    """Columns with both categories swept out; one pair of sweeps per turn.
+def _of_side(state: DataFrame, spec: list[str], side: int, columns: dict[str, str]) -> DataFrame:
+    return state.where(F.col("side") == side).select(*spec, F.col("level").alias(f"c{side}"), *[F.col(c).alias(name) for c, name in columns.items()])
+
 
-    A balanced panel needs one turn, and a second one that finds nothing left.
+def dummy_effects(df: DataFrame, spec: list[str], columns: list[str]) -> DataFrame:
+    """Least-squares effects of both categories on each column: spec, side, level and one ``a_`` column each.
+
+    Conjugate gradients on D'D a = D'y, preconditioned by the sizes of the
+    categories.  D'D has the sizes on its diagonal and counts of (c1, c2) beside
+    it, so a turn joins those counts with one number per category and adds up.  A
+    balanced panel is done after two or three turns, a chain of categories after
+    at most as many as there are.  It ends when the residual of every
+    specification is down to ``_TOLERANCE`` of its column, or can fall no more.
     """
-    scale = df.agg(*[F.max(F.abs(c)) for c in columns]).first()
-    limit = _TOLERANCE * max([1.0, *[v for v in scale if v is not None]])
-    state = df
-    for _ in range(_MAX_SWEEPS):
-        state = state.withColumn("_move", F.lit(0.0))
-        for category in ("c1", "c2"):
-            state = _sweep(state, spec, category, columns)
-        state = cut_lineage(state)
-        moved = state.agg(F.max("_move")).first()[0]
-        if moved is None or moved <= limit:
-            return state.drop("_move")
-    raise ValueError(f"dummies not swept out after {_MAX_SWEEPS} turns: last move {moved}")
+    cells = cut_lineage(df.groupBy(*spec, "c1", "c2").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(f"b_{c}") for c in columns], *[F.sum(F.col(c) * F.col(c)).alias(f"yy_{c}") for c in columns]))
+    scale = cut_lineage(cells.groupBy(*spec).agg(*[F.sum(f"yy_{c}").alias(f"yy_{c}") for c in columns]))
+    begin = _both_sides(cells, spec, n=F.col("n"), **{f"r_{c}": F.col(f"b_{c}") for c in columns})
+    zero = F.lit(0.0)
+    state = cut_lineage(begin.select("*", *[zero.alias(f"a_{c}") for c in columns], *[(F.col(f"r_{c}") / F.col("n")).alias(f"p_{c}") for c in columns]))
+    key = [*spec, "side", "level"]
+    least, still = float("inf"), 0
+    while True:
+        # the residual in the norm of the preconditioner, as a part of the column's own size
+        rr = state.groupBy(*spec).agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("n")).alias(f"rr_{c}") for c in columns])
+        rr = cut_lineage(rr.join(scale, spec).select(*spec, *[
+            F.when(F.col(f"rr_{c}") > F.lit(_TOLERANCE ** 2) * F.col(f"yy_{c}"), F.col(f"rr_{c}")).otherwise(0.0).alias(f"rr_{c}") for c in columns
+        ], F.greatest(zero, *[F.try_divide(F.col(f"rr_{c}"), F.col(f"yy_{c}")) for c in columns]).alias("part")))
+        worst = rr.agg(F.max("part")).first()[0]
+        if worst is None or worst <= _TOLERANCE ** 2:
+            break
+        still = 0 if worst < least else still + 1
+        least = min(least, worst)
+        if still >= _PATIENCE:
+            if least <= _ROUNDING ** 2:
+                break
+            raise ValueError(f"dummies not swept out: the residual stays at {worst ** 0.5:.3g} of the column")
+        met = cells
+        for side in (1, 2):
+            met = met.join(_of_side(state, spec, side, {f"p_{c}": f"p{side}_{c}" for c in columns}), [*spec, f"c{side}"])
+        product = _both_sides(met, spec, **{f"q_{c}": F.col("n") * (F.col(f"p1_{c}") + F.col(f"p2_{c}")) for c in columns})
+        state = cut_lineage(state.join(product, key))
+        pq = state.groupBy(*spec).agg(*[F.sum(F.col(f"p_{c}") * F.col(f"q_{c}")).alias(f"pq_{c}") for c in columns])
+        step = rr.join(pq, spec).select(*spec, *[F.coalesce(F.try_divide(F.col(f"rr_{c}"), F.col(f"pq_{c}")), zero).alias(f"step_{c}") for c in columns])
+        moved = state.join(step, spec).select(
+            *key, "n", *[f"p_{c}" for c in columns],
+            *[(F.col(f"a_{c}") + F.col(f"step_{c}") * F.col(f"p_{c}")).alias(f"a_{c}") for c in columns],
+            *[(F.col(f"r_{c}") - F.col(f"step_{c}") * F.col(f"q_{c}")).alias(f"r_{c}") for c in columns],
+        )
+        after = moved.groupBy(*spec).agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("n")).alias(f"new_{c}") for c in columns])
+        turn = after.join(rr, spec).select(*spec, *[F.coalesce(F.try_divide(F.col(f"new_{c}"), F.col(f"rr_{c}")), zero).alias(f"turn_{c}") for c in columns])
+        state = cut_lineage(moved.join(turn, spec).select(
+            *key, "n", *[f"a_{c}" for c in columns], *[f"r_{c}" for c in columns],
+            *[(F.col(f"r_{c}") / F.col("n") + F.col(f"turn_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in columns],
+        ))
+    return state.select(*key, *[f"a_{c}" for c in columns])
+
+
+def absorbed(df: DataFrame, spec: list[str], columns: list[str]) -> DataFrame:
+    """Columns with both categories swept out."""
+    effects = dummy_effects(df, spec, columns)
+    for side in (1, 2):
+        df = df.join(_of_side(effects, spec, side, {f"a_{c}": f"_a{side}_{c}" for c in columns}), [*spec, f"c{side}"])
+    rest = {c: F.col(c) - F.col(f"_a1_{c}") - F.col(f"_a2_{c}") for c in columns}
+    return cut_lineage(df.withColumns(rest).drop(*[f"_a{side}_{c}" for side in (1, 2) for c in columns]))
 
 
 def clustered_models(rows: DataFrame, spec: list[str] = SPEC, cluster: str = "code") -> DataFrame:
