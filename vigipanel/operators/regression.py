@@ -94,9 +94,9 @@ def dummy_effects(df: DataFrame, spec: list[str], columns: list[str]) -> DataFra
     while True:
         # the residual in the norm of the preconditioner, as a part of the column's own size
         rr = state.groupBy(*spec).agg(*[F.sum(F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("n")).alias(f"rr_{c}") for c in columns])
-        rr = cut_lineage(rr.join(scale, spec).select(*spec, *[
+        rr = rr.join(scale, spec).select(*spec, *[
             F.when(F.col(f"rr_{c}") > F.lit(_TOLERANCE ** 2) * F.col(f"yy_{c}"), F.col(f"rr_{c}")).otherwise(0.0).alias(f"rr_{c}") for c in columns
-        ], F.greatest(zero, *[F.try_divide(F.col(f"rr_{c}"), F.col(f"yy_{c}")) for c in columns]).alias("part")))
+        ], F.greatest(zero, *[F.try_divide(F.col(f"rr_{c}"), F.col(f"yy_{c}")) for c in columns]).alias("part"))
         worst = rr.agg(F.max("part")).first()[0]
         if worst is None or worst <= _TOLERANCE ** 2:
             break

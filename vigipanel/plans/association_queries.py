@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigipanel import fixed_values as fv
 from vigipanel.functions import values as val
 from vigipanel.operators import association as assoc, regression as reg, summary
+from vigipanel.plans.comparison_models import BP_P, T_P, model_sql, t_tail
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import whole
 
@@ -60,17 +61,9 @@ def lag_associations(v):
     return whole(assoc.lag_associations(v.panel, RULES).drop("pearson_p", "spearman_p"))
 
 
-def _tail(r: str, power: str) -> str:
-    """Two-sided tail as an integral of cos(theta)**power from asin(|r|) to pi/2, Simpson's rule."""
-    a, h = f"asin(abs({r}))", f"((pi() / 2 - asin(abs({r}))) / 2000)"
-    beta = f"exp(lgamma(({power}) / 2.0 + 1) - lgamma(0.5) - lgamma((({power}) + 1) / 2.0))"
-    return (f"2 * {beta} * {h} / 3 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
-            f" * pow(abs(cos({a} + i * {h})), {power})) FROM (SELECT unnest(generate_series(0, 2000)) AS i))")
-
-
 @query("association_pvalues", LAGGED + f"""
 , c AS (SELECT indicator, lag, outlier_rule, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS s FROM ranked GROUP BY 1, 2, 3)
-SELECT indicator, lag, outlier_rule, n AS observations, round({_tail('r', '(n - 3)')}, 6) + 0.0 AS pearson_p, round({_tail('s', '(n - 3)')}, 6) + 0.0 AS spearman_p FROM c""")
+SELECT indicator, lag, outlier_rule, n AS observations, round({t_tail('r', '(n - 3)')}, 6) + 0.0 AS pearson_p, round({t_tail('s', '(n - 3)')}, 6) + 0.0 AS spearman_p FROM c""")
 def association_pvalues(v):
     return whole(assoc.lag_associations(v.panel, RULES).select(
         "indicator", "lag", "outlier_rule", "observations", "pearson_p", "spearman_p"
@@ -130,7 +123,7 @@ e AS (SELECT d.lag, d.transform, d.code, d.dx, d.dy - b.beta * d.dx AS e FROM d
 m AS (SELECT lag, transform, sum(s * s) AS meat, sum(q) AS rss FROM (
   SELECT lag, transform, code, sum(dx * e) AS s, sum(e * e) AS q FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT lag, transform, n AS observations, g AS clusters, round(beta, 6) + 0.0 AS coefficient, round(se, 6) + 0.0 AS cluster_error,
-  round(r2, 6) + 0.0 AS r_squared, round({_tail("(beta / sqrt((g - 1) * se * se + beta * beta))", "(g - 2)")}, 6) + 0.0 AS p_value
+  round(r2, 6) + 0.0 AS r_squared, round({t_tail("(beta / sqrt((g - 1) * se * se + beta * beta))", "(g - 2)")}, 6) + 0.0 AS p_value
 FROM (SELECT b.*, sqrt(CAST(b.g AS DOUBLE) / (b.g - 1) * (b.n - 1) / (b.n - b.k) * m.meat) / b.xx AS se, 1 - m.rss / b.tss AS r2
   FROM b JOIN m ON m.lag = b.lag AND m.transform = b.transform)"""
 
@@ -153,11 +146,14 @@ def ols_plain(v):
     return _models(v, "bruto", 3)
 
 
-@query("ols_time", _closed_form(
-    ", ".join(_TWO.format(v=c, a="year", b="month") for c in "xy"),
-    "2 + count(DISTINCT year) - 1 + count(DISTINCT month) - 1", "0, 1, 2"))
+MODEL = f"""lag, transform, n AS observations, g AS clusters, round(beta, 6) + 0.0 AS coefficient, round(se, 6) + 0.0 AS cluster_error,
+  round(r2, 6) + 0.0 AS r_squared, {T_P} AS p_value"""
+
+
+# the last rounds lack the outcome three months on, so the sample of lag 3 is unbalanced
+@query("ols_time", model_sql(MODEL, "indicator = 'ib' AND outlier_rule = 'inclui_sinalizados'", fv.TRANSFORMS, ("tempo",)))
 def ols_time(v):
-    return _models(v, "tempo", 2)
+    return _models(v, "tempo", 3)
 
 
 @query("ols_two_way", _closed_form(
@@ -167,20 +163,23 @@ def ols_two_way(v):
     return _models(v, "municipio_rodada", 3)
 
 
-@query("model_grid")
+PUBLISHED = "outlier_rule IN ('nao_aplicavel', 'exclui_ib_maior_100')"
+
+
+@query("model_grid", model_sql(f"""indicator, lag, transform, adjustment, n AS observations, g AS clusters, round(beta, 6) + 0.0 AS coefficient, round(se, 6) + 0.0 AS cluster_error,
+  round(beta / se, 6) + 0.0 AS t_statistic, {T_P} AS p_value, round(r2, 6) + 0.0 AS r_squared, round(bp, 6) + 0.0 AS bp_statistic, {BP_P} AS bp_p,
+  CASE indicator WHEN 'iip' THEN '{fv.OUTLIER_NOT_APPLICABLE}' ELSE '{fv.OUTLIER_EXCLUDED}' END AS outlier_rule, '{fv.COEFFICIENT_NOTE}' AS note""", PUBLISHED, fv.TRANSFORMS, fv.ADJUSTMENTS))
 def model_grid(v):
+    """All 48 published models."""
     return whole(reg.model_grid(v.panel, MODEL_RULES))
 
 
-@query("breusch_pagan", """
-WITH s AS (SELECT lag, x, y, avg(x) OVER w AS mx FROM panel_pairs WHERE indicator = 'iip' AND outlier_rule = 'nao_aplicavel' WINDOW w AS (PARTITION BY lag)),
-f AS (SELECT lag, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s GROUP BY 1),
-e AS (SELECT s.lag, s.x, pow(s.y - f.a - f.b * s.x, 2) AS e2 FROM s JOIN f ON f.lag = s.lag)
-SELECT lag, count(*) AS observations, round(count(*) * pow(corr(e2, x), 2), 6) + 0.0 AS bp_statistic FROM e GROUP BY 1""")
+@query("breusch_pagan", model_sql(f"indicator, lag, transform, adjustment, n AS observations, round(bp, 6) + 0.0 AS bp_statistic, {BP_P} AS bp_p", PUBLISHED, fv.TRANSFORMS, ("bruto", "tempo")))
 def breusch_pagan(v):
-    samples = reg.standardised_samples(v.panel, {"iip": fv.OUTLIER_NOT_APPLICABLE})
-    rows = reg.specifications(samples, transforms=("original",), adjustments=("bruto",)).drop("outlier_rule")
-    return whole(reg.clustered_models(rows).select("lag", "observations", "bp_statistic"))
+    """Both indicators, all lags, both transforms, plain and with time dummies."""
+    samples = reg.standardised_samples(v.panel, MODEL_RULES)
+    rows = reg.specifications(samples, adjustments=("bruto", "tempo")).drop("outlier_rule")
+    return whole(reg.clustered_models(rows).select("indicator", "lag", "transform", "adjustment", "observations", "bp_statistic", "bp_p"))
 
 
 @query("largest_absolute", """
