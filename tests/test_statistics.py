@@ -210,3 +210,45 @@ def test_chain_of_categories(spark):
             v = np.array([r[4 + at] for r in own])
             left = v - design @ np.linalg.lstsq(design, v, rcond=None)[0]
             assert np.allclose([got[(spec, r[2], r[3])][at] for r in own], left, atol=1e-8 * np.abs(v).max())
+
+
+def _plain_touch(p, q):
+    """2, 1 or 0 as in the join, in whole numbers."""
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = *p, *q
+
+    def side(ox, oy, px, py, x, y):
+        v = (px - ox) * (y - oy) - (py - oy) * (x - ox)
+        return (v > 0) - (v < 0)
+
+    def within(px, py, qx, qy, x, y):
+        return min(px, qx) <= x <= max(px, qx) and min(py, qy) <= y <= max(py, qy)
+
+    s = side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy), side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)
+    if s[0] == s[1] == 0:
+        k = 0 if ax != bx else 1
+        low, high = max(min(p[0][k], p[1][k]), min(q[0][k], q[1][k])), min(max(p[0][k], p[1][k]), max(q[0][k], q[1][k]))
+        return 2 if high > low else 1 if high == low else 0
+    on = [s[0] == 0 and within(ax, ay, bx, by, cx, cy), s[1] == 0 and within(ax, ay, bx, by, dx, dy), s[2] == 0 and within(cx, cy, dx, dy, ax, ay), s[3] == 0 and within(cx, cy, dx, dy, bx, by)]
+    return 1 if any(on) or (s[0] * s[1] < 0 and s[2] * s[3] < 0) else 0
+
+
+def test_contacts_of_any_polygons(spark):
+    """T-junctions, touching corners, crossings, long sides beside many short ones, against all pairs in whole numbers."""
+    import random
+
+    draw = random.Random(6)
+    shapes = {"long": [(-100, -5), (300, -5), (300, 0), (-100, 0)], "T1": [(0, 0), (4, 0), (4, 3), (0, 3)], "T2": [(4, 1), (9, 1), (9, 2), (4, 2)], "P": [(9, 2), (12, 2), (12, 9)], "far": [(1000, 1000), (1001, 1000), (1000, 1001)]}
+    for k in range(60):
+        x, y, size = draw.randint(-20, 40), draw.randint(0, 40), draw.choice([1, 2, 3, 8])
+        corners = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+        shapes[f"s{k}"] = [c for c in corners if len(corners) == 4 or draw.random() < 0.9] if draw.random() < 0.6 else draw.sample(corners, 3)
+    rows = [(code, 0, i, float(x), float(y)) for code, ring in shapes.items() for i, (x, y) in enumerate(ring)]
+    got = {(r["src"], r["dst"]): r["contact"] for r in neighbours.contiguity(spark.createDataFrame(rows, "code string, ring int, seq int, x double, y double")).collect()}
+    want = {}
+    for a, one in shapes.items():
+        for b, two in shapes.items():
+            if a != b:
+                best = max(_plain_touch((one[i - 1], one[i]), (two[j - 1], two[j])) for i in range(len(one)) for j in range(len(two)))
+                if best:
+                    want[(a, b)] = {2: fv.CONTACT_EDGE, 1: fv.CONTACT_POINT}[best]
+    assert got == want and want[("T1", "T2")] == want[("long", "T1")] == fv.CONTACT_EDGE and want[("T2", "P")] == fv.CONTACT_POINT

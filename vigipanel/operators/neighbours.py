@@ -42,48 +42,83 @@ def centroids(rings: DataFrame) -> DataFrame:
     )
 
 
-def _vertex_key(digits: int):
-    return F.round("x", digits).alias("kx"), F.round("y", digits).alias("ky")
+def boundary_segments(rings: DataFrame) -> DataFrame:
+    """``code, ax, ay, bx, by``: the sides of all rings, without those of no length."""
+    order = Window.partitionBy("code", "ring").orderBy("seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = rings.select(
+        "code", F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay"),
+        F.coalesce(F.lead("x").over(order), F.first("x").over(whole)).cast("double").alias("bx"),
+        F.coalesce(F.lead("y").over(order), F.first("y").over(whole)).cast("double").alias("by"),
+    )
+    return sides.where("ax <> bx OR ay <> by")
+
+
+def _cells(tolerance: float, level):
+    """All cells of a level (side 2 ** level) that the box of a segment meets: one to three each way."""
+    side = F.pow(F.lit(2.0), level)
+
+    def span(one: str, two: str):
+        low = F.floor((F.least(one, two) - tolerance) / side)
+        return F.sequence(low, F.floor((F.greatest(one, two) + tolerance) / side))
+
+    return F.flatten(F.transform(span("ax", "bx"), lambda gx: F.transform(span("ay", "by"), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
+
+
+def _touch(tolerance: float):
+    """How segments p and q touch: 2 along a part of positive length, 1 in a point, 0 not at all."""
+    p = {k: F.col(f"p.{k}") for k in ("ax", "ay", "bx", "by")}
+    q = {k: F.col(f"q.{k}") for k in ("ax", "ay", "bx", "by")}
+
+    def direction(s):
+        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+        length = F.sqrt(dx * dx + dy * dy)
+        return dx / length, dy / length, length
 
+    def placed(s, x, y):
+        """Where a point lies along a segment and how far beside it (signed)."""
+        ux, uy, _ = direction(s)
+        return (x - s["ax"]) * ux + (y - s["ay"]) * uy, (x - s["ax"]) * uy - (y - s["ay"]) * ux
 
-def contiguity(rings: DataFrame, digits: int = 9) -> DataFrame:
+    (t1, d1), (t2, d2) = placed(p, q["ax"], q["ay"]), placed(p, q["bx"], q["by"])
+    (u1, e1), (u2, e2) = placed(q, p["ax"], p["ay"]), placed(q, p["bx"], p["by"])
+    length_p, length_q = direction(p)[2], direction(q)[2]
+    common = F.least(F.greatest(t1, t2), length_p) - F.greatest(F.least(t1, t2), F.lit(0.0))
+    along = (F.abs(d1) <= tolerance) & (F.abs(d2) <= tolerance) & (common > tolerance)
+
+    def on(t, d, length):
+        return (F.abs(d) <= tolerance) & (t >= -tolerance) & (t <= length + tolerance)
+
+    point = on(t1, d1, length_p) | on(t2, d2, length_p) | on(u1, e1, length_q) | on(u2, e2, length_q) | ((d1 * d2 < 0) & (e1 * e2 < 0))
+    return F.when(along, 2).when(point, 1).otherwise(0)
+
+
+def contiguity(rings: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Directed contacts with their type and row-normalised weights.
 
-    Two polygons touch where they share a vertex; they share an edge where they
-    share an undirected segment.  Both are equality joins on rounded
-    coordinates, so the mesh must be clean (no vertex in the middle of a
-    neighbour's edge).
+    Two polygons touch where their boundaries meet; they share an edge where the
+    boundaries run together for more than ``tolerance``, be it along whole sides
+    or a part of one.  Segments meet in square cells: each stands in the cells of
+    the level as coarse as itself, and looks into those of every coarser level
+    that occurs, so a cell holds few segments of its own however uneven the
+    detail is, and a pair is tested a bounded number of times.
     """
-    rings = cut_lineage(rings)
-    vertices = rings.select("code", *_vertex_key(digits)).distinct()
-    touching = (
-        vertices.alias("a").join(vertices.alias("b"), ["kx", "ky"])
-        .where(F.col("a.code") != F.col("b.code"))
-        .select(F.col("a.code").alias("src"), F.col("b.code").alias("dst")).distinct()
-    )
-    order = Window.partitionBy("code", "ring").orderBy("seq")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = rings.select(
-        "code", F.struct(*_vertex_key(digits)).alias("p"),
-        F.struct(
-            F.round(F.coalesce(F.lead("x").over(order), F.first("x").over(whole)), digits).alias("kx"),
-            F.round(F.coalesce(F.lead("y").over(order), F.first("y").over(whole)), digits).alias("ky"),
-        ).alias("q"),
-    )
-    segments = ends.where(F.col("p") != F.col("q")).select(
-        "code", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")
-    ).distinct()
-    sharing = (
-        segments.alias("a").join(segments.alias("b"), ["p", "q"])
-        .where(F.col("a.code") != F.col("b.code"))
-        .select(F.col("a.code").alias("src"), F.col("b.code").alias("dst")).distinct()
-        .withColumn("_edge", F.lit(True))
-    )
-    typed = touching.join(sharing, ["src", "dst"], "left").select(
-        "src", "dst",
-        F.when(F.col("_edge"), fv.CONTACT_EDGE).otherwise(fv.CONTACT_POINT).alias("contact"),
-    )
-    return row_normalised(typed, fv.QUEEN)
+    sides = boundary_segments(rings)
+    level = F.ceil(F.log2(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).cast("int")
+    sides = cut_lineage(sides.withColumn("level", level))
+    levels = sorted(r[0] for r in sides.select("level").distinct().collect())        # as many as there are binary orders of lengths
+    segment = F.struct("ax", "ay", "bx", "by")
+    stand = sides.select("code", segment.alias("p"), "level", F.explode(_cells(tolerance, F.col("level"))).alias("cell"))
+    coarser = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("level"))
+    look = sides.select("code", segment.alias("q"), "ax", "ay", "bx", "by", F.explode(coarser).alias("level"))
+    look = look.select(F.col("code").alias("other"), "q", "level", F.explode(_cells(tolerance, F.col("level"))).alias("cell"))
+    met = stand.join(look, ["level", "cell"]).where("code <> other").select("code", "other", _touch(tolerance).alias("touch")).where("touch > 0")
+    found = met.groupBy("code", "other").agg(F.max("touch").alias("touch"))
+    both = found.select(F.inline(F.array(
+        F.struct(F.col("code").alias("src"), F.col("other").alias("dst"), "touch"), F.struct(F.col("other").alias("src"), F.col("code").alias("dst"), "touch"),
+    ))).groupBy("src", "dst").agg(F.max("touch").alias("touch"))
+    typed = both.select("src", "dst", F.when(F.col("touch") == 2, fv.CONTACT_EDGE).otherwise(fv.CONTACT_POINT).alias("contact"))
+    return row_normalised(cut_lineage(typed), fv.QUEEN)
 
 
 def row_normalised(edges: DataFrame, rule: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.operators import neighbours, spatial
@@ -33,6 +33,19 @@ def contiguity_rook(v):
     return whole(neighbours.edge_contacts_only(neighbours.contiguity(v.customer_mesh)))
 
 
+@query("contiguity_bricks", """
+WITH b AS (SELECT code, x + CASE WHEN y % 2 = 1 THEN 0.5 ELSE 0 END AS x, y FROM mesh)
+SELECT a.code AS src, o.code AS dst, CASE WHEN a.y = o.y OR abs(a.x - o.x) < 1 THEN 'rook' ELSE 'queen_point' END AS contact,
+  count(*) OVER (PARTITION BY a.code) AS neighbours, CAST(1 AS BIGINT) AS binary_weight, round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY a.code), 6) + 0.0 AS weight,
+  'contiguidade_rainha' AS rule
+FROM b a JOIN b o ON o.y BETWEEN a.y - 1 AND a.y + 1 AND o.x BETWEEN a.x - 1 AND a.x + 1 AND a.code <> o.code""")
+def contiguity_bricks(v):
+    """Every second row shifted by half a side: contacts along a part of an edge, with no common vertex on one side."""
+    shift = F.when(F.floor("y0") % 2 == 1, 0.5).otherwise(0.0)
+    base = v.customer_mesh.withColumn("y0", F.min("y").over(Window.partitionBy("code")))
+    return whole(neighbours.contiguity(base.withColumn("x", F.col("x") + shift).drop("y0")))
+
+
 @query("neighbour_counts", """
 SELECT src, count(*) AS neighbours, count(*) FILTER (WHERE contact = 'rook') AS by_edge, round(sum(weight), 6) + 0.0 AS weight_sum FROM mesh_edge GROUP BY 1""")
 def neighbour_counts(v):
