@@ -118,12 +118,51 @@ def test_moran_is_reproducible(spark):
     assert np.isclose(local["a"]["local_i"], z[0] * (w @ z)[0] / np.mean(z**2)) and 0 < local["a"]["p_value"] <= 1
 
 
+def _plain_bijection(n, seed, year, perm):
+    from vigipanel.operators.bijection import FACTORS, MERSENNE, PRIME, ROUNDS, TERMS
+
+    beyond, a = min((-(-n // a) * a - n, -a) for a in range(max(2, int(np.ceil(np.sqrt(n) / 2))), max(2, int(np.sqrt(n))) + 1))
+    a, b = -a, -(-n // -a)
+    u = (seed * 48271 + year * 69621 + perm * 16807) % MERSENNE
+    k = (u * u % PRIME * 1103515245 + perm) % PRIME
+
+    def once(p):
+        half = [p // b, p % b]
+        for r in range(ROUNDS):
+            times, plus = 1 + (k * FACTORS[r] + TERMS[r]) % (PRIME - 1), (k * FACTORS[r + ROUNDS] + TERMS[r + ROUNDS]) % PRIME
+            half[r % 2] = (half[r % 2] + (half[1 - r % 2] * times + plus) % PRIME) % (a, b)[r % 2]
+        return half[0] * b + half[1]
+
+    out = []
+    for p in range(n):
+        p = once(p)
+        while p >= n:
+            p = once(p)
+        out.append(p)
+    return out
+
+
 def test_permutations_deal_every_value_once(spark):
-    values = spark.createDataFrame([(2020, f"c{i:03d}", float(i)) for i in range(50)], "year int, code string, value double")
-    rows = spatial.permuted(values, 3, 7, False).collect()
-    for perm in (1, 2, 3):
-        dealt = sorted(r["z"] for r in rows if r["perm"] == perm)
-        assert np.allclose(dealt, np.arange(50) - 24.5)
+    """Years of different sizes, small primes among them (positions beyond n walk on); the plan sorts nothing by permutation."""
+    sizes = {2020: 50, 2021: 7, 2022: 2, 2023: 53, 2024: 1, -3: 23}
+    values = spark.createDataFrame([(y, f"c{i:03d}", float(i * i)) for y, n in sizes.items() for i in range(n)], "year int, code string, value double")
+    rows = {(r["year"], r["code"]): r["dealt"] for r in spatial.dealt_values(values, 5, 7, True).collect()}
+    for year, n in sizes.items():
+        z = np.arange(n) ** 2 - (np.arange(n) ** 2).mean()
+        for perm in range(1, 6):
+            to = _plain_bijection(n, 7 + year, year, perm)
+            assert sorted(to) == list(range(n))
+            assert np.allclose([rows[(year, f"c{t:03d}")][perm - 1] for t in to], z)
+
+
+def test_permutations_are_even():
+    """Each position goes everywhere about as often, and neighbours part: 600 permutations of 25 areas."""
+    deals = np.array([_plain_bijection(25, 20240729, 2024, p) for p in range(1, 601)])
+    for position in range(25):
+        seen = np.bincount(deals[:, position], minlength=25)
+        assert ((seen - 24) ** 2 / 24).sum() < 60          # chi-square of 24 degrees: 1 in 10,000 beyond 59
+    step = np.bincount((deals[:, 1] - deals[:, 0]) % 25, minlength=25)[1:]
+    assert ((step - 25) ** 2 / 25).sum() < 58
 
 
 def test_constant_values_are_reported(spark):

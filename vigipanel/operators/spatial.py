@@ -4,25 +4,22 @@
 dst, weight`` (weights of a source sum to one).  The weight matrix is never
 built: everything is a join with the edge table.
 
-Permutations are orders of the areas by ``md5(seed|year|permutation|code)``:
-they depend on nothing but their inputs, any engine can repeat them, and the
-order inside one permutation is found by digest prefix, so no task sorts a
-whole permutation.  p-values agree with a pseudo-random generator in
-distribution, not bit for bit.
+Permutations are keyed bijections of the areas' positions in code order
+(``bijection``): an area finds in its own row where each permutation deals its
+value, so nothing is sorted, and any engine can repeat them.  p-values agree with
+a pseudo-random generator in distribution, not bit for bit.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.functions.indicators import quadrant, significant
+from vigipanel.operators import bijection
 from vigipanel.operators.ranking import row_positions
 from vigipanel.session import cut_lineage
 
-_RANGE = 4096        # areas of one range of a permutation, about
 _PART = 32           # neighbours whose arrays are added up at once
 _DIGITS = 12         # simulated and observed values are compared at this precision
 
@@ -62,42 +59,32 @@ def observed_coefficients(values: DataFrame, edges: DataFrame) -> DataFrame:
     return _global_coefficient(spatial_lag(values, edges)).drop("factor")
 
 
-def permuted(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
-    """Rows ``year, perm, code, z``: the centred values dealt out anew."""
-    z = centred(values)
-    placed = row_positions(z.select("year", "code", "z", "n", "zz"), ["year"], ["code"])
-    areas = z.groupBy("year").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 1
-    digits = max(1, math.ceil(math.log(areas / _RANGE, 16)))
-    the_seed = F.lit(seed) + F.col("year") if seed_plus_year else F.lit(seed)
-    keyed = (
-        z.select("year", "code", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-        .withColumn("digest", F.md5(F.concat_ws("|", the_seed.cast("string"), "year", "perm", "code").cast("binary")))
-        .withColumn("prefix", F.substring("digest", 1, digits))
-    )
-    before = Window.partitionBy("year", "perm").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("year", "perm", "prefix").agg(F.count(F.lit(1)).alias("_c")).select(
-        "year", "perm", "prefix", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o")
-    )
-    inside = Window.partitionBy("year", "perm", "prefix").orderBy("digest", "code")
-    ordered = (
-        keyed.withColumn("_r", F.row_number().over(inside)).join(offsets, ["year", "perm", "prefix"])
-        .select("year", "perm", "code", (F.col("_o") + F.col("_r")).alias("position"))
-    )
-    dealt = ordered.join(placed.select("year", "position", "z", "n", "zz"), ["year", "position"])
-    return cut_lineage(dealt.drop("position"))
+def dealt_values(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
+    """Rows ``year, code, dealt``: the centred values that each permutation deals to an area, as one array.
 
-
-def _permuted_lags(deals: DataFrame, edges: DataFrame) -> DataFrame:
+    The one exchange takes dealt values to their areas, each as long as there
+    are permutations; the order of a permutation is never built.
+    """
+    z = centred(values)
+    placed = cut_lineage(row_positions(z.select("year", "code", "z", F.col("n").cast("long").alias("n")), ["year"], ["code"]).select(
+        "year", "code", "z", "n", (F.col("position") - 1).cast("long").alias("position")))
+    cells = placed.groupBy("year").agg(F.max("n").alias("n")).select("year", bijection.sides(F.col("n")).alias("cells"))     # one row per year
+    the_seed = F.lit(seed).cast("long") + (F.col("year") if seed_plus_year else F.lit(0))
+    keyed = placed.join(F.broadcast(cells), "year").select(
+        "year", "position", "z", "n", "cells", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))).alias("perm"),
+    ).withColumn("key", bijection.key(the_seed, F.col("year").cast("long"), F.col("perm")))
+    to = bijection.dealt(keyed).groupBy("year", F.col("target").alias("position")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda e: e["z"]).alias("dealt"))
+    return cut_lineage(placed.select("year", "code", "position").join(to, ["year", "position"]).select("year", "code", "dealt"))
+
+
+def _permuted_lags(packed: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows ``rule, year, code, dealt, lags``: own dealt values and the weighted sums of the neighbours', by permutation.
 
     The dealt values of an area travel as one array (as long as there are
     permutations); the neighbours' arrays are added up element by element, in
     parts of about ``_PART`` neighbours first, so no array list grows with a degree.
     """
-    packed = deals.groupBy("year", "code").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda e: e["z"]).alias("dealt")
-    )
-    packed = cut_lineage(packed)
     degrees = edges.groupBy("rule", "src").agg(F.count(F.lit(1)).alias("degree"))
     parted = edges.join(degrees, ["rule", "src"]).withColumn(
         "part", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(_PART)))
@@ -135,7 +122,7 @@ def moran_global(values: DataFrame, edges: DataFrame, permutations: int = fv.PER
     """
     values, edges = _complete(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     observed = _global_coefficient(spatial_lag(values, edges))
-    lags = _permuted_lags(permuted(values, permutations, seed, seed_plus_year), edges)
+    lags = _permuted_lags(dealt_values(values, permutations, seed, seed_plus_year), edges)
     terms = lags.select("rule", "year", F.posexplode(F.zip_with("dealt", "lags", lambda z, lag: z * lag)).alias("perm", "term"))
     simulated = terms.groupBy("rule", "year", "perm").agg(F.sum("term").alias("total"))
     counted = (
@@ -163,7 +150,7 @@ def moran_local(values: DataFrame, edges: DataFrame, permutations: int = fv.PERM
         "local_i", F.try_divide(F.col("z") * F.col("lag"), variance)
     )
     limits = observed.select("rule", "year", "code", "local_i", variance.alias("_var"))
-    hits = _permuted_lags(permuted(values, permutations, seed, False), edges).join(limits, ["rule", "year", "code"]).select(
+    hits = _permuted_lags(dealt_values(values, permutations, seed, False), edges).join(limits, ["rule", "year", "code"]).select(
         "rule", "year", "code", F.size(F.filter(
             F.zip_with("dealt", "lags", lambda z, lag: z * lag), lambda t: _extreme(F.try_divide(t, F.col("_var")), F.col("local_i")),
         )).alias("_hits"),

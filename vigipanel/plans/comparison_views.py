@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from vigipanel.plans.comparison_bijection import bijection_walk, dealt_by
+
 VIEWS = {
     "area": """
 SELECT '33' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || CAST(n_nationkey % 10 AS VARCHAR) AS code,
@@ -173,16 +175,10 @@ FROM centred c JOIN squares s ON s.year = c.year JOIN all_edges e ON e.src = c.c
 GROUP BY ALL""",
     "observed_global": """
 SELECT rule, year, count(*) AS areas, max(n) * sum(z * lag) / (count(*) * max(zz)) AS moran_i FROM lagged GROUP BY 1, 2""",
-    "deal_global": """
-SELECT o.year, o.perm, o.code, c.z, c.n FROM (
-  SELECT year, perm, code, row_number() OVER (PARTITION BY year, perm ORDER BY md5('20240729|' || year || '|' || perm || '|' || code), code) AS position
-  FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)) o
-JOIN centred c ON c.year = o.year AND c.position = o.position""",
-    "deal_yearly": """
-SELECT o.year, o.perm, o.code, c.z, c.n FROM (
-  SELECT year, perm, code, row_number() OVER (PARTITION BY year, perm ORDER BY md5((20240729 + year) || '|' || year || '|' || perm || '|' || code), code) AS position
-  FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)) o
-JOIN centred c ON c.year = o.year AND c.position = o.position""",
+    "deal_global_walk": bijection_walk("SELECT year, perm, code, z, n, position - 1 AS p, 20240729 AS seed FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)", "deal_global_walk"),
+    "deal_global": dealt_by("deal_global_walk"),
+    "deal_yearly_walk": bijection_walk("SELECT year, perm, code, z, n, position - 1 AS p, 20240729 + year AS seed FROM centred, (SELECT unnest(generate_series(1, 999)) AS perm)", "deal_yearly_walk"),
+    "deal_yearly": dealt_by("deal_yearly_walk"),
     "cumulative": """
 SELECT m.*, CAST(datediff('month', DATE '1995-01-01', m.month) AS BIGINT) AS day, CAST(p.population AS DOUBLE) AS population,
        1.0 + (a.key % 5) / 10.0 AS basic_reproduction,
@@ -198,8 +194,8 @@ UNION ALL SELECT 'intervention', code, name, day, population - sum_alt, CAST(dis
 
 
 def _needed(text: str, found: list[str]) -> None:
-    for name in VIEWS:
-        if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b|,\s*{name}\b(?!\s*[(=<>])", text, re.I):
+    for name in VIEWS:          # a recursive view needs itself, which is no other view
+        if name not in found and VIEWS[name] is not text and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b|,\s*{name}\b(?!\s*[(=<>])", text, re.I):
             _needed(VIEWS[name], found)
             found.append(name)
 
@@ -213,8 +209,8 @@ def with_views(sql: str) -> str:
     ordered = [n for n in VIEWS if n in found]
     views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in ordered)
     body = sql.strip()
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {views},\n{body[15:]}"
-    if body[:5].upper() == "WITH ":
-        return f"WITH {views},\n{body[5:]}"
-    return f"WITH {views}\n{body}"
+    # RECURSIVE allows recursive views and changes nothing for others
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"WITH RECURSIVE {views},\n{body[len(start):]}"
+    return f"WITH RECURSIVE {views}\n{body}"

@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.operators import neighbours, spatial
+from vigipanel.plans.comparison_bijection import bijection_walk, dealt_by
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import whole
 
@@ -83,9 +84,9 @@ def centroids(v):
 @query("moran_customers", """
 WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 c AS (SELECT m.code, CAST(coalesce(o.n, 0) AS DOUBLE) AS value FROM mesh m LEFT JOIN o ON lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') = m.code),
-z AS (SELECT code, value - avg(value) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY code) AS position FROM c),
-d AS (SELECT q.perm, q.code, z.z, z.n FROM (SELECT perm, code, row_number() OVER (PARTITION BY perm ORDER BY md5('20240729|2000|' || perm || '|' || code), code) AS position
-  FROM z, (SELECT unnest(generate_series(1, 999)) AS perm)) q JOIN z ON z.position = q.position UNION ALL SELECT 0, code, z, n FROM z),
+z AS (SELECT CAST(2000 AS BIGINT) AS year, code, value - avg(value) OVER () AS z, count(*) OVER () AS n, row_number() OVER (ORDER BY code) AS position FROM c),
+walk AS (""" + bijection_walk("SELECT year, perm, code, z, n, position - 1 AS p, 20240729 AS seed FROM z, (SELECT unnest(generate_series(1, 999)) AS perm)", "walk") + """),
+d AS (SELECT perm, code, z, n FROM (""" + dealt_by("walk", "z") + """) UNION ALL SELECT 0, code, z, n FROM z),
 l AS (SELECT s.perm, s.code, s.z, s.n, sum(e.weight * t.z) AS lag FROM d s JOIN mesh_edge e ON e.src = s.code JOIN d t ON t.code = e.dst AND t.perm = s.perm GROUP BY ALL),
 i AS (SELECT perm, count(*) AS areas, max(n) * sum(z * lag) / (count(*) * sum(z * z)) AS i FROM l GROUP BY 1)
 SELECT CAST(2000 AS BIGINT) AS year, max(areas) AS areas, round(max(CASE WHEN perm = 0 THEN i END), 6) + 0.0 AS moran_i,
