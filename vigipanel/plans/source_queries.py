@@ -13,7 +13,7 @@ from vigipanel.operators import cells, quality as dq, series, summary
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, MEASURES, whole
 from vigipanel.session import fresh_path
-from vigipanel.sinks import tables as sinks
+from vigipanel.sinks import tables as sinks, versions
 from vigipanel.sources import documents, files, tables as src
 
 YEARS = list(range(FIRST_YEAR, LAST_YEAR + 1))
@@ -332,7 +332,8 @@ def publish_aggregates(v):
 
 
 @query("append_run_guard", """
-WITH d AS (SELECT count(DISTINCT day) AS n FROM run_rows) SELECT 'first' AS attempt, n AS appended FROM d UNION ALL SELECT 'repeated', CAST(0 AS BIGINT) FROM d""")
+SELECT 'base' AS execution_id, CAST(day AS DOUBLE) AS tempo, round(sum(susceptible), 6) + 0.0 AS susceptible, round(sum(infected), 6) + 0.0 AS infected, round(sum(removed), 6) + 0.0 AS removed,
+  round(sum(population), 6) + 0.0 AS population, CAST(1 AS BIGINT) AS stored FROM run_rows WHERE execution_id = 'base' GROUP BY day""")
 def append_run_guard(v):
     """The run of all areas together is stored once and refused the second time."""
     path = fresh_path(v.spark, "runs")
@@ -347,9 +348,30 @@ def append_run_guard(v):
         F.try_divide(F.col("basic_reproduction_number") * F.col("susceptible"), F.col("population")).alias("effective_reproduction_number"),
         "population", F.lit("1").alias("model_version"),
     )
-    first = sinks.append_run(run, path)
+    sinks.append_run(run, path)
     try:
-        second = sinks.append_run(run, path)
+        sinks.append_run(run, path)
     except dq.QualityError:
-        second = 0
-    return v.spark.createDataFrame([("first", first), ("repeated", second)], "attempt string, appended long")
+        pass
+    kept = v.spark.read.parquet(path)
+    return whole(kept.groupBy("execution_id", "tempo", "susceptible", "infected", "removed", "population").agg(F.count(F.lit(1)).alias("stored")))
+
+
+@query("tables_together", """
+SELECT 'annual' AS name, code, year AS period, probable_cases AS cases, CAST(1 AS BIGINT) AS version FROM annual
+UNION ALL SELECT 'monthly', code, CAST(year(month) * 100 + month(month) AS BIGINT), probable_cases, CAST(1 AS BIGINT) FROM monthly""")
+def tables_together(v):
+    """Two tables published as one version; a second version of which one table fails its gate moves neither."""
+    folder = fresh_path(v.spark, "set")
+    offered = {"annual": v.annual, "monthly": v.monthly}
+    versions.publish_set(offered, folder, [lambda t: dq.unique_key(t["annual"], ["code", "year"]), lambda t: dq.unique_key(t["monthly"], ["code", "month"])])
+    try:
+        doubled = {"annual": v.annual.limit(0), "monthly": v.monthly.unionByName(v.monthly)}
+        versions.publish_set(doubled, folder, [lambda t: dq.unique_key(t["monthly"], ["code", "month"])])
+    except dq.QualityError:
+        pass
+    held = versions.read_set(v.spark, folder)
+    at = F.lit(versions.current_version(v.spark, folder)).cast("long").alias("version")
+    month = F.year("month") * 100 + F.month("month")
+    return whole(held["annual"].select(F.lit("annual").alias("name"), "code", F.col("year").alias("period"), F.col("probable_cases").alias("cases"), at).unionByName(
+        held["monthly"].select(F.lit("monthly").alias("name"), "code", month.alias("period"), F.col("probable_cases").alias("cases"), at)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigipanel import fixed_values as fv
 from vigipanel.operators import quality
 from vigipanel.session import cut_lineage, fresh_path
+from vigipanel.sinks.versions import write_once
 
 
 def stamped(df: DataFrame) -> DataFrame:
@@ -74,7 +75,11 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_run(run: DataFrame, path: str) -> int:
-    """Append one complete run; refuses bad payloads and an id already stored."""
+    """Append one complete run; refuses bad payloads and an id already stored.
+
+    Each run is a partition folder of its own that is made visible by one rename,
+    so of two writers of the same id one is refused, also if both came at once.
+    """
     quality.enforce(quality.required_columns(run, [n for n, _ in fv.RUN_COLUMNS]))
     typed = cut_lineage(run.select(*[F.col(n).cast(t).alias(n) for n, t in fv.RUN_COLUMNS]))
     quality.enforce(quality.run_payload(typed))
@@ -82,12 +87,9 @@ def append_run(run: DataFrame, path: str) -> int:
     for name, _ in fv.RUN_COLUMNS:
         nulls = F.col(name).isNull() if nulls is None else nulls | F.col(name).isNull()
     quality.enforce(quality.violations(typed.where(nulls), "run_null", F.col("tempo").cast("string"), "null value"))
-    stored = existing(run.sparkSession, path)
-    if stored is not None:
-        ids = typed.select("execution_id").distinct()
-        repeated = stored.join(ids, "execution_id", "left_semi").select("execution_id").limit(1)
-        quality.enforce(quality.violations(repeated, "run_stored", F.col("execution_id"), "already stored"))
-    stamped(typed).write.mode("append").parquet(path)
+    key = typed.select("execution_id").first()[0]          # the gate above has found exactly one
+    if not write_once(stamped(typed), path, "run_key", key):
+        raise quality.QualityError(f"run_stored: {key} is already stored")
     return typed.count()
 
 
@@ -156,9 +158,4 @@ def append_metadata(spark: SparkSession, folder: str, table: str, values: dict)
 def insert_version(spark: SparkSession, path: str, version: str) -> bool:
     """Insert a schema version once; false when it was there."""
     row = spark.createDataFrame([(version,)], "version string").withColumn("applied_at", F.current_timestamp())
-    stored = existing(spark, path)
-    fresh = row if stored is None else row.join(stored.select("version"), "version", "left_anti")
-    if not fresh.take(1):
-        return False
-    row.write.mode("append").parquet(path)
-    return True
+    return write_once(row, path, "version_key", version)
