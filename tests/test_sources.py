@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigipanel import fixed_values as fv
-from vigipanel.operators import cells, quality as dq
+from vigipanel.operators import cells, quality as dq, series
 from vigipanel.sinks import tables as sinks
 from vigipanel.sources import documents, files, tables as src
-from vigipanel.streaming.records import ingest_new_files
+from vigipanel.streaming.records import count_new_files, counts_so_far, ingest_new_files
 
 HEADER = ",".join(("ID_MUNICIP", "NM_PACIENT", *fv.SAFE_COLUMNS))
 
@@ -45,6 +45,26 @@ def test_stream_reads_each_file_once(spark, areas, tmp_path):
     assert fact.count() == 3 and {r["base_year"] for r in fact.collect()} == {2020, 2021}
 
 
+def test_counts_of_batches_add_up(spark, areas, tmp_path):
+    """Files in three arrivals, the last batch replayed after its commit is lost: the series equal those of one batch run."""
+    inbox, target, mark = tmp_path / "in", str(tmp_path / "out"), tmp_path / "mark"
+    inbox.mkdir()
+    population = spark.createDataFrame([(c, y, 1000) for c in ("3300100", "3300159") for y in (2020, 2021)], "code string, year int, population long")
+    for k in range(3):
+        lines = [_line("330010", f"2020-0{k + 1}-05"), _line("330015", "2021-02-03"), _line("330015", "bad date"), _line("355030")] + [_line("330010")] * k
+        (inbox / f"rec_202{k % 2}_{k}.csv").write_bytes("\n".join([HEADER, *lines]).encode("latin-1"))
+        count_new_files(spark, str(inbox), areas, target, str(mark)).awaitTermination()
+    for lost in (mark / "commits").glob("*2*"):
+        lost.unlink()
+    count_new_files(spark, str(inbox), areas, target, str(mark)).awaitTermination()
+    counts = counts_so_far(spark, target)
+    records = series.typed_records(src.staged_records(src.record_scan(spark, str(inbox), areas)), first_text_dates=True)
+    assert counts.agg({"records": "sum"}).first()[0] == records.count() == 12 and counts.count() < 12
+    for made in (lambda r: series.monthly_series(r, areas, 2020, 2021), lambda r: series.weekly_series(r, areas, 2020, 2021), lambda r: series.annual_incidence(r, areas, population, 2020, 2021)):
+        one, two = made(counts), made(records)
+        assert one.dtypes == two.dtypes and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_encoding_fallback(spark, areas, tmp_path):
     text = '"Município";2020;2021\n"330010 Angra dos Reis";100;101\n"330015 Aperibé";50;-\nTotal;1;2\n'
     (tmp_path / "a.csv").write_bytes(text.encode("latin-1"))

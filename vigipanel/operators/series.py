@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigipanel import fixed_values as fv
 from vigipanel.functions import indicators as ind, records as rec
@@ -50,13 +50,33 @@ def in_period(records: DataFrame, first_year: int, last_year: int) -> DataFrame:
     )
 
 
-def _class_counts():
+def _how_many(records: DataFrame, condition) -> Column:
+    """Records that meet a condition; a row of ``day_counts`` stands for many."""
+    if "records" not in records.columns:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col("records"))), F.lit(0).cast("long"))
+
+
+def _class_counts(records: DataFrame):
     return [
-        F.count_if("probable").alias("probable_cases"),
-        F.count_if("discarded").alias("discarded_cases"),
+        _how_many(records, F.col("probable")).alias("probable_cases"),
+        _how_many(records, F.col("discarded")).alias("discarded_cases"),
     ]
 
 
+DAY_KEYS = ["code", "symptom_date", "symptom_week", "class_label", "probable", "discarded"]
+
+
+def day_counts(records: DataFrame) -> DataFrame:
+    """Records by area, day, week text and class: what the annual, monthly and weekly series need of them.
+
+    Counts of parts of the records add up to those of all: counts of counts are
+    allowed, and each series takes them in place of the records.
+    """
+    many = F.sum("records") if "records" in records.columns else F.count(F.lit(1))
+    return records.groupBy(*DAY_KEYS).agg(many.alias("records"))
+
+
 def _zero_filled(*names: str):
     return [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in names]
 
@@ -69,9 +89,9 @@ def annual_incidence(records: DataFrame, areas: DataFrame, population: DataFrame
         in_period(records, first_year, last_year)
         .groupBy("code", F.year("symptom_date").alias("year"))
         .agg(
-            *_class_counts(),
-            F.count_if(label.isin(*CONFIRMED_LABELS)).alias("classified_cases"),
-            F.count_if(F.col("probable") & (label == fv.UNLABELLED_CLASS)).alias("unlabelled_cases"),
+            *_class_counts(records),
+            _how_many(records, label.isin(*CONFIRMED_LABELS)).alias("classified_cases"),
+            _how_many(records, F.col("probable") & (label == fv.UNLABELLED_CLASS)).alias("unlabelled_cases"),
         )
     )
     cells = population.where(F.col("year").between(first_year, last_year)).join(
@@ -103,7 +123,7 @@ def monthly_series(records: DataFrame, areas: DataFrame, first_year: int, last_y
     counts = (
         in_period(records, first_year, last_year)
         .groupBy("code", rec.month_of("symptom_date").alias("month"))
-        .agg(*_class_counts())
+        .agg(*_class_counts(records))
     )
     return (
         month_grid(areas, first_year, last_year)
@@ -124,7 +144,7 @@ def weekly_series(records: DataFrame, areas: DataFrame, first_year: int, last_ye
     """
     valid = records.where(rec.valid_week("symptom_week", first_year, last_year))
     # both the calendar and the grid need the counts: records are read once
-    counts = cut_lineage(valid.groupBy("code", F.col("symptom_week").alias("week")).agg(*_class_counts()))
+    counts = cut_lineage(valid.groupBy("code", F.col("symptom_week").alias("week")).agg(*_class_counts(records)))
     observed = (
         counts.select("week").distinct()
         .withColumn("_year", rec.week_year("week"))
@@ -159,7 +179,7 @@ def record_coverage(records: DataFrame, first_year: int, last_year: int) -> Data
         F.count_distinct("code").alias("areas"),
         F.count("symptom_date").alias("valid_symptom_dates"),
         F.count("notification_date").alias("valid_notification_dates"),
-        *_class_counts(),
+        *_class_counts(records),
         F.count_if(F.col("class_label") == fv.UNLABELLED_CLASS).alias("unlabelled_records"),
         F.count_if(outside).alias("symptoms_outside_period"),
         F.median("delay_days").alias("median_delay_days"),
