@@ -11,6 +11,7 @@ from vigipanel.plans.comparison_models import BP_P, T_P, model_sql, t_tail
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import whole
 
+GROUP = "indicator, lag, outlier_rule"
 RULES = {"iip": (fv.OUTLIER_NOT_APPLICABLE,), "ib": (fv.OUTLIER_INCLUDED, fv.OUTLIER_EXCLUDED)}
 MODEL_RULES = {"iip": fv.OUTLIER_NOT_APPLICABLE, "ib": fv.OUTLIER_EXCLUDED}
 BALANCED_RULES = {"ib": fv.OUTLIER_INCLUDED}
@@ -70,23 +71,32 @@ def association_pvalues(v):
     ))
 
 
-@query("leave_one_out", """
-WITH pairs AS (SELECT indicator, code || '|' || reference_date AS id, x, y FROM panel_pairs WHERE lag = 0 AND outlier_rule <> 'exclui_ib_maior_100'),
-removed AS (SELECT r.indicator, r.id AS gone, p.id, p.x, p.y FROM pairs r JOIN pairs p ON p.indicator = r.indicator AND p.id <> r.id),
-ranked AS (SELECT *, rank() OVER (PARTITION BY indicator, gone ORDER BY x) + (count(*) OVER (PARTITION BY indicator, gone, x) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY indicator, gone ORDER BY y) + (count(*) OVER (PARTITION BY indicator, gone, y) - 1) / 2.0 AS ry FROM removed),
-without_one AS (SELECT indicator, gone AS id, corr(x, y) AS p, corr(rx, ry) AS s FROM ranked GROUP BY 1, 2),
-full_rank AS (SELECT *, rank() OVER (PARTITION BY indicator ORDER BY x) + (count(*) OVER (PARTITION BY indicator, x) - 1) / 2.0 AS rx,
-  rank() OVER (PARTITION BY indicator ORDER BY y) + (count(*) OVER (PARTITION BY indicator, y) - 1) / 2.0 AS ry FROM pairs),
-base AS (SELECT indicator, corr(x, y) AS bp, corr(rx, ry) AS bs FROM full_rank GROUP BY 1)
-SELECT indicator, id, round(bp, 6) + 0.0 AS pearson_base, round(p, 6) + 0.0 AS pearson_without, round(bs, 6) + 0.0 AS spearman_base, round(s, 6) + 0.0 AS spearman_without,
+@query("leave_one_out", f"""
+WITH pairs AS (SELECT {GROUP}, code || '|' || reference_date AS id, x, y FROM panel_pairs),
+removed AS (SELECT r.indicator, r.lag, r.outlier_rule, r.id AS gone, p.id, p.x, p.y FROM pairs r JOIN pairs p ON p.indicator = r.indicator AND p.lag = r.lag AND p.outlier_rule = r.outlier_rule AND p.id <> r.id),
+ranked AS (SELECT *, rank() OVER (PARTITION BY {GROUP}, gone ORDER BY x) + (count(*) OVER (PARTITION BY {GROUP}, gone, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY {GROUP}, gone ORDER BY y) + (count(*) OVER (PARTITION BY {GROUP}, gone, y) - 1) / 2.0 AS ry FROM removed),
+without_one AS (SELECT {GROUP}, gone AS id, corr(x, y) AS p, corr(rx, ry) AS s FROM ranked GROUP BY ALL),
+full_rank AS (SELECT *, rank() OVER (PARTITION BY {GROUP} ORDER BY x) + (count(*) OVER (PARTITION BY {GROUP}, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY {GROUP} ORDER BY y) + (count(*) OVER (PARTITION BY {GROUP}, y) - 1) / 2.0 AS ry FROM pairs),
+base AS (SELECT {GROUP}, corr(x, y) AS bp, corr(rx, ry) AS bs FROM full_rank GROUP BY ALL)
+SELECT {GROUP}, id, round(bp, 6) + 0.0 AS pearson_base, round(p, 6) + 0.0 AS pearson_without, round(bs, 6) + 0.0 AS spearman_base, round(s, 6) + 0.0 AS spearman_without,
   round(p - bp, 6) + 0.0 AS delta_pearson, round(s - bs, 6) + 0.0 AS delta_spearman, round(greatest(abs(p - bp), abs(s - bs)), 6) + 0.0 AS largest_influence
-FROM without_one JOIN base USING (indicator)""")
+FROM without_one JOIN base USING ({GROUP})""")
 def leave_one_out(v):
-    pairs = assoc.lagged_pairs(v.panel, {"iip": RULES["iip"], "ib": (fv.OUTLIER_INCLUDED,)}, 0).withColumn(
-        "id", F.concat_ws("|", "code", "reference_date")
-    )
-    return whole(assoc.leave_one_out(pairs, ["indicator"], ["id"]))
+    """Every sample of the panel: both indicators, all lags, all outlier rules."""
+    pairs = assoc.lagged_pairs(v.panel, RULES).withColumn("id", F.concat_ws("|", "code", "reference_date"))
+    return whole(assoc.leave_one_out(pairs, ["indicator", "lag", "outlier_rule"], ["id"]))
+
+
+@query("leave_one_out_yearly", CROSS + """,
+removed AS (SELECT r.year, r.indicator, r.id AS gone, p.id, p.x, p.y FROM pairs r JOIN pairs p ON p.year = r.year AND p.indicator = r.indicator AND p.id <> r.id),
+ranked AS (SELECT *, rank() OVER (PARTITION BY year, indicator, gone ORDER BY x) + (count(*) OVER (PARTITION BY year, indicator, gone, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY year, indicator, gone ORDER BY y) + (count(*) OVER (PARTITION BY year, indicator, gone, y) - 1) / 2.0 AS ry FROM removed)
+SELECT year, indicator, gone AS id, round(corr(x, y), 6) + 0.0 AS pearson_without, round(corr(rx, ry), 6) + 0.0 AS spearman_without FROM ranked GROUP BY 1, 2, 3""")
+def leave_one_out_yearly(v):
+    """The yearly cross-section of incidence against service coverage, without each area in turn."""
+    return whole(assoc.leave_one_out(_cross_section(v), ["year", "indicator"], ["id"]).select("year", "indicator", "id", "pearson_without", "spearman_without"))
 
 
 @query("linear_fit_residuals", CROSS + """,

@@ -158,13 +158,13 @@ def dq_graph(v):
 
 
 @query("dq_run_payload", """
-WITH r AS (SELECT execution_id, day FROM run_rows WHERE code = '3300077')
+WITH r AS (SELECT execution_id, code || '|' || day AS tempo FROM run_rows)
 SELECT 'run_id' AS rule, 'execution_id' AS key, 'distinct=' || count(DISTINCT execution_id) AS detail FROM r HAVING count(DISTINCT execution_id) <> 1
-UNION ALL SELECT 'run_time', CAST(day AS VARCHAR), 'rows=' || count(*) FROM r GROUP BY day HAVING count(*) > 1""")
+UNION ALL SELECT 'run_time', tempo, 'rows=' || count(*) FROM r GROUP BY tempo HAVING count(*) > 1""")
 def dq_run_payload(v):
-    """Two runs in one payload: two ids, every time twice."""
-    both = v.runs("base").unionByName(v.runs("intervention")).where(F.col("code") == "3300077")
-    return dq.run_payload(both.withColumnRenamed("day", "tempo"))
+    """Two runs of all areas in one payload: two ids, every area's times twice."""
+    both = v.runs("base").unionByName(v.runs("intervention"))
+    return dq.run_payload(both.withColumn("tempo", F.concat_ws("|", "code", F.col("day").cast("string"))))
 
 
 @query("dq_credentials", r"""
