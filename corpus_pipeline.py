@@ -2,13 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.  Null doc_ids pass the first two stages and end at the
-third, which needs ids.
+columns of documents, whatever their names.  A row is known by its doc_id and
+text together, so texts that share a doc_id, or have none, are judged one by one;
+rows that repeat both stay or go together.  Null, empty and blank texts are no
+one's copy and hold no item: they pass every stage.  Of several copies the one
+with the least doc_id stays.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigipanel.llm import decontamination, jaccard_join, line_dedup, mixing, toxicity
 from vigipanel.llm.bound import text_batches
@@ -34,24 +37,40 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs)
 
 
-def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` whose doc_id is (or isn't) among ``ids``; the ids are broadcast only where they are few."""
-    ids = cut_lineage(ids)
-    return docs.join(F.broadcast(ids) if ids.count() <= jaccard_join.BROADCAST_IDS else ids, "doc_id", how)
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The texts under the names of their rows, for operators that take ids."""
+    return docs.select(_row().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose names are in ``gone(row)``; the names are broadcast only where they are few."""
+    gone = cut_lineage(gone)
+    hint = F.broadcast(gone) if gone.count() <= jaccard_join.BROADCAST_IDS else gone
+    held = docs.select(F.struct("*").alias("doc"), _row().alias("row")).join(hint, "row", "left_anti")
+    return held.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate component, and all that are alone; of rows that repeat a doc_id all stay."""
+    """The first document of each near-duplicate component, and all that are alone."""
     text_batches(spark)
-    found = jaccard_join.joined(docs)
-    return _kept(docs.where("doc_id IS NOT NULL"), found.where("doc_id <> component_id").select("doc_id").distinct(), "left_anti").select(*docs.columns)
+    found = jaccard_join.joined(_named(docs)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    ids = docs.select(_row().alias("row"), "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    members = cut_lineage(found.join(ids, "row").select("row", "component", order.alias("place")))
+    first = members.groupBy("component").agg(F.min("place.row").alias("low"), F.max("place.row").alias("high"), F.min("place").alias("first")).where("low < high")
+    gone = members.join(first.select("component", "first"), "component").where(F.col("row") != F.col("first.row")).select("row")
+    return _without(docs, gone)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     text_batches(spark)
-    leaks = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return _kept(docs, leaks.select("doc_id").distinct(), "left_anti").select(*docs.columns)
+    leaks = decontamination.contaminated(_named(docs), _table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaks.select(F.col("doc_id").alias("row")).distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,3 +150,35 @@ def test_pipeline(spark):
     out = p.run(spark, SMALL)
     assert out.count() > 50 and out.where("copies < 1").isEmpty()
     docs.unpersist()
+
+
+def test_stages_keep_what_is_not_their_own(spark, prose, tmp_path):
+    """Shared and missing doc_ids, repeated rows, empty texts, clashing columns: nothing unrelated goes."""
+    import corpus_pipeline as pipe
+
+    spark.createDataFrame([(1, prose(40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    one, two, three = prose(60), prose(60), prose(60)
+    texts = [(1, one), (2, one + " more"), (2, two), (None, three), (None, three + " again"), (None, two + " x"), (5, None), (6, ""), (7, " \n"), (8, prose(30)), (8, prose(30))]
+    texts.append(texts[-1])
+    rows = [(i, t, "en", "s", None if t is None else len(t), "a", 1, None, 2) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, removed string, gone_row long, row string, item long")
+    kept = pipe.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    left = [(1, one), (2, two), (5, None), (6, ""), (7, " \n"), texts[-3], texts[-2], texts[-1]]
+    assert [x for x in got if x[1] not in (three, three + " again")] == sorted(left, key=repr) and len(got) == len(left) + 1
+    item = spark.read.parquet(str(tmp_path / "benchmark.parquet")).first()["text"]
+    leaky = docs.union(spark.createDataFrame([(2, item, "en", "s", 1, "a", 1, None, 2)], docs.schema))
+    assert sorted(map(repr, pipe.drop_leaks(spark, leaky, str(tmp_path)).collect())) == sorted(map(repr, docs.collect()))
+    lines = pipe.drop_lines(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns and {r["doc_id"] for r in lines.where("doc_id >= 5").collect()} == {5, 6, 7, 8}
+    for stage in (pipe.drop_lines, pipe.drop_near_copies, pipe.drop_leaks):
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_lines_of_repeated_rows_count_once(spark):
+    from vigipanel.llm import line_dedup
+
+    table = spark.createDataFrame([(1, "first line\nsecond line")] * 2 + [(2, "second line\nthird")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["removed"]) for r in line_dedup.counted(table).collect()}
+    assert got == {1: (2, 0, []), 2: (2, 1, [0])}

@@ -297,9 +297,9 @@ def classed(docs: DataFrame) -> DataFrame:
 def counted(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id and text): doc_id, n_lines, n_removed, removed (sorted line numbers, from 0)."""
     lines = classed(docs).groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("stays")).alias("n_removed"),
+        F.size(F.collect_set("line_no")).cast("long").alias("n_lines"),         # a repeated row has its lines once
         F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("line_no")))).alias("removed"),
-    )
+    ).withColumn("n_removed", F.size("removed").cast("long"))
     rows = docs.select("doc_id", _row().alias("row")).distinct()
     return rows.join(lines, "row", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -320,12 +320,12 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; n_chars follows; documents that lose all their lines go."""
-    gone = classed(docs).where("NOT stays").groupBy(F.col("row").alias("gone_row")).agg(F.collect_set("line_no").alias("removed"))
-    rows = docs.join(gone, _row() == F.col("gone_row"), "left")
-    text = _without(F.col("text"), F.col("removed"))
-    rows = rows.withColumn("text", text)
-    solid = F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""
-    rows = rows.where(F.col("removed").isNull() | solid)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    gone = classed(docs).where("NOT stays").groupBy("row").agg(F.collect_set("line_no").alias("removed"))
+    # the columns of docs travel in one struct, so none of them can clash with these names
+    rows = docs.select(F.struct("*").alias("doc"), _row().alias("row")).join(gone, "row", "left")
+    rows = rows.withColumn("text", _without(F.col("doc.text"), F.col("removed")))
+    rows = rows.where(F.col("removed").isNull() | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
+    out = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("removed").isNull(), out["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[column.alias(name) for name, column in out.items()])
