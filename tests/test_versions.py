@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 from vigipanel.operators import quality as dq
-from vigipanel.sinks import tables as sinks, versions
+from vigipanel.sinks import lookup, tables as sinks, versions
 
 
 def test_one_of_two_writers(spark, tmp_path):
@@ -54,3 +54,27 @@ def test_set_of_tables(spark, tmp_path):
         versions.publish_set({"a": table((5, "x"))}, folder, based_on=1)
     with pytest.raises(dq.QualityError):
         versions.publish_set({}, folder)
+
+
+def _rows_scanned(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    """100,000 rows in row groups of 1,000: a sorted key meets one group, a scattered one those that hold it, an absent one none."""
+    path = str(tmp_path / "t")
+    rows = spark.range(100_000).selectExpr("id", "concat('a', lpad(id div 20, 6, '0')) AS code", "pmod(xxhash64(id), 1000003) AS other")
+    lookup.write_lookup(rows, path, ["code", "id"], ["other"], rows_per_group=1000, files=4)
+    held = spark.read.parquet(path)
+    code = held.where("code = 'a001234'")
+    assert code.count() == 20 and _rows_scanned(code) <= 2000
+    span = held.where("code >= 'a001000' AND code < 'a001100'")
+    assert span.count() == 2000 and _rows_scanned(span) <= 4000
+    wanted = rows.where("id = 777").first()["other"]
+    scattered = held.where(f"other = {wanted}")
+    n = scattered.count()
+    assert n >= 1 and _rows_scanned(scattered) <= 1000 * (n + 5)
+    absent = held.where("code = 'a001234x'")
+    assert absent.count() == 0 and _rows_scanned(absent) <= 1000

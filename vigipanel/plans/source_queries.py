@@ -13,7 +13,7 @@ from vigipanel.operators import cells, quality as dq, series, summary
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, MEASURES, whole
 from vigipanel.session import fresh_path
-from vigipanel.sinks import tables as sinks, versions
+from vigipanel.sinks import lookup, tables as sinks, versions
 from vigipanel.sources import documents, files, tables as src
 
 YEARS = list(range(FIRST_YEAR, LAST_YEAR + 1))
@@ -319,6 +319,19 @@ def stage_and_replace(v):
     return whole(loaded.drop("_ingested_at"))
 
 
+@query("indexed_lookup", """
+SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) + 0.0 AS o_totalprice FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders) OR o_custkey IN (SELECT min(o_custkey) FROM orders)""")
+def indexed_lookup(v):
+    """Orders laid out by their key, found by the key and by the scattered customer."""
+    path = fresh_path(v.spark, "lookup")
+    orders = v.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    lookup.write_lookup(orders, path, ["o_orderkey"], ["o_custkey"])
+    last, customer = orders.agg(F.max("o_orderkey"), F.min("o_custkey")).first()
+    held = v.spark.read.parquet(path)
+    by_key = held.where(F.col("o_orderkey") == last)
+    return whole(by_key.unionByName(held.where((F.col("o_custkey") == customer) & (F.col("o_orderkey") != last))))
+
+
 @query("publish_aggregates", """
 SELECT 'annual' AS name, count(*) AS rows FROM annual UNION ALL SELECT 'monthly', count(*) FROM monthly UNION ALL SELECT 'area', count(*) FROM area""")
 def publish_aggregates(v):
