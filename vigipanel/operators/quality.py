@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.functions import indicators as ind
 from vigipanel.functions.text import clean_text
 from vigipanel.session import cut_lineage
 
@@ -140,6 +141,13 @@ def sign(df: DataFrame, column: str, key: Column, positive: bool = False, rule:
     return violations(df.where(bad), rule, key, F.concat(F.lit(f"{column}="), F.coalesce(value.cast("string"), F.lit("null"))))
 
 
+def incidence_domain(df: DataFrame, cases: str, population: str, key: Column, rule: str = "incidence_domain") -> DataFrame:
+    """Rows for which an incidence is not defined: negative or missing cases, no positive population."""
+    fine = F.coalesce(ind.incidence_domain(cases, population), F.lit(False))
+    return violations(df.where(~fine), rule, key, F.concat_ws(
+        ",", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in (cases, population)]))
+
+
 def code_prefix(df: DataFrame, column: str, prefix: str, rule: str = "code_prefix") -> DataFrame:
     codes = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     bad = ~F.coalesce(F.col("_v").startswith(prefix), F.lit(False))

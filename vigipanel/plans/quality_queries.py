@@ -129,6 +129,16 @@ def dq_sign(v):
     )
 
 
+@query("dq_incidence_domain", """
+WITH a AS (SELECT code, year, CASE WHEN year = 1996 THEN NULL ELSE probable_cases - 5 END AS cases, CAST(population AS BIGINT) - 60000 AS people FROM annual)
+SELECT 'incidence_domain' AS rule, code || '|' || year AS key, 'cases=' || coalesce(CAST(cases AS VARCHAR), 'null') || ',people=' || people AS detail FROM a
+WHERE cases IS NULL OR cases < 0 OR people <= 0""")
+def dq_incidence_domain(v):
+    """Cases lowered and lost in one year, populations lowered: rows without a defined incidence."""
+    spoiled = v.annual.select("code", "year", F.when(F.col("year") != 1996, F.col("probable_cases") - 5).alias("cases"), (F.col("population").cast("long") - 60000).alias("people"))
+    return dq.incidence_domain(spoiled, "cases", "people", F.concat_ws("|", "code", F.col("year").cast("string")))
+
+
 @query("dq_prefix", """
 SELECT 'code_prefix' AS rule, residence AS key, 'rows=' || count(*) AS detail FROM (
   SELECT CASE WHEN s_suppkey % 10 = 3 THEN '99' ELSE '33' END || lpad(CAST(s_nationkey AS VARCHAR), 4, '0') AS residence FROM supplier)

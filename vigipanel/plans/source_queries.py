@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigipanel import fixed_values as fv
+from vigipanel.functions import values as val
 from vigipanel.operators import cells, quality as dq, series, summary
 from vigipanel.plans.registry import query
 from vigipanel.plans.views import FIRST_YEAR, LAST_YEAR, MEASURES, whole
@@ -214,6 +215,21 @@ def name_attributes(v):
     return whole(named.groupBy("name").agg(F.count(F.lit(1)).alias("areas")).select("name", year, month, "areas"))
 
 
+@query("source_attributes", """
+WITH f AS (SELECT indicator, value, CASE year % 3 WHEN 0 THEN 'sinisa_residuos_solidos_' WHEN 1 THEN 'sinisa_aguas_pluviais_' ELSE 'snis_prestadores_' END || year || '.csv' AS name FROM area_indicator)
+SELECT name, indicator, CASE WHEN starts_with(name, 'sinisa_') THEN 'SINISA' ELSE 'SNIS' END AS system,
+  CASE WHEN contains(name, 'residuos_solidos') THEN 'residuos_solidos' WHEN contains(name, 'aguas_pluviais') THEN 'aguas_pluviais'
+       WHEN indicator IN ('IN049', 'IN055') THEN 'abastecimento_agua' ELSE 'esgotamento_sanitario' END AS component,
+  CASE WHEN value IS NULL THEN 'ausente' ELSE 'observado' END AS status, count(*) AS rows FROM f GROUP BY ALL""")
+def source_attributes(v):
+    """System and component from the names of source files, and the status of sources that only give numbers."""
+    start = F.when(F.col("year") % 3 == 0, "sinisa_residuos_solidos_").when(F.col("year") % 3 == 1, "sinisa_aguas_pluviais_").otherwise("snis_prestadores_")
+    named = v.area_indicators.select(F.concat(start, F.col("year").cast("string"), F.lit(".csv")).alias("name"), "indicator", "value")
+    return whole(named.groupBy(
+        "name", "indicator", src.system_of_name("name").alias("system"), src.component_of_name("name", "indicator").alias("component"), val.numeric_status("value").alias("status"),
+    ).agg(F.count(F.lit(1)).alias("rows")))
+
+
 SHEET_LAYOUT = cells.Layout(
     component=fv.WATER, year=FIRST_YEAR, state_col=2, code_col=0, name_col=1, name_offset=-3, formula_offset=-2,
     unit_offset=-1, family_offset=-4, family_merged=True, provider_name_col=3, pattern=fv.LEGACY_CODE_PATTERN,

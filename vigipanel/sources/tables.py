@@ -21,11 +21,6 @@ def typed_csv(spark: SparkSession, paths, schema: str | StructType, delimiter: s
     )
 
 
-def typed_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    frame = spark.read.parquet(path)
-    return frame.select(*columns) if columns else frame
-
-
 def record_scan(spark: SparkSession, paths, areas: DataFrame, year: int | None = None) -> DataFrame:
     """National record files (Latin-1, all text) cut to the areas and to safe columns.
 
