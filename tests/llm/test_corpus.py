@@ -121,7 +121,7 @@ def test_toxicity(spark, prose):
 
 
 def test_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline(spark):

@@ -169,12 +169,11 @@ def test_crowds(spark):
     for f in jaccard_join._first_keys([{"text": texts}]):
         for key, item in zip(f["key"], f["item"]):
             held[key].add(item)
-    frequent = {i: [k for k, items in held.items() if len(items) > 32 and i in items] for i in names}
     further = defaultdict(set)
-    for f in jaccard_join._further_keys([{"item": names, "text": texts, "frequent": [frequent[i] for i in names]}]):
+    for f in jaccard_join._further_keys([{"item": names, "text": texts}]):
         for key, item in zip(f["key"], f["item"]):
             further[key].add(item)
-    keys = [x for x in held.values() if len(x) <= 32] + list(further.values())
+    keys = list(held.values()) + list(further.values())
     assert any(a >= 100 for a, _ in linked) and not [(a, b) for a, b in linked if not any(names[a] in x and names[b] in x for x in keys)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(frame(spark, texts)).collect()}
     assert got == dict(enumerate(groups(len(texts), linked)))

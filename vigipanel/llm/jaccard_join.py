@@ -6,28 +6,32 @@ similarity of at least ``NUM`` / ``DEN`` differ in at most H elements, so of
 H + 1 segments one is the same in both (pigeonhole).  Every non-empty segment is
 a key; equal keys make candidates, which are verified on the whole sets.
 
-Keys shared by more than ``MANY`` sets are no good as keys, and empty segments
-are none.  How much each segment counts is allotted by that cost: a segment left
-out counts 0, an exact one 1, one with its one-deletion neighbourhood 2, and a
-set is covered once its segments count H + 1.  A pair is found as soon as one of
-its two sets is covered, so only sets that are not covered go on to the next
-level:
-
-* 0: exact segments, without frequent keys;
-* 1: all segments with one-deletion neighbourhoods, frequent keys as well: the
-  counterpart of a rare segment can be a frequent one;
-* 2: every element is a key (sets with a similarity above 0 share one).
-
-Frequent keys of levels 1 and 2 give pairs with a hub; what those leave in
-different components is compared in full, so no link is lost.
+How much each segment counts is allotted by its cost: an exact one counts 1 and
+costs one key, one with its one-deletion neighbourhood counts 2 and costs as many
+keys as it has elements, an empty one is no key.  A set is covered once its
+segments count H + 1, and a pair is found as soon as one of its two sets is
+covered:
+
+* 0: exact segments, which cover all but sets with many empty segments;
+* 1: for those, all segments with one-deletion neighbourhoods;
+* 2: for those whom that does not cover either, every element is a key (sets with
+  a similarity above 0 share one).
+
+Keys of up to ``MANY`` sets give pairs; in larger ones all meet a hub, and a few
+more hubs while a key holds several components (``hubs.linked``).  What is left
+apart then is not compared pair by pair but joined exactly on the rare elements
+of the sets, so no link is lost.  Before whole sets are compared, the sizes and
+one byte per segment are: sets that differ in more segments than the elements in
+which they may differ are not linked.
 Equal sets are one class from the start; a class counts as one item however
 many documents it has.
 
 Edge cases: null, empty or blank texts have an empty set, 0 shingles and are
 linked with nothing; fewer than five words are one shingle.  Rows that repeat a
-doc_id are compared each by its own text and give one row each.  Documents with
-a null doc_id are left out.  An empty table gives an empty
-result; extra columns are not looked at.
+doc_id are compared each by its own text and give one row each.  A row with a
+null doc_id takes part; its component is the least doc_id that it reaches, null
+if there is none.  An empty table gives an empty result; extra columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -35,14 +39,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 from vigipanel.llm import tokens as tk
-from vigipanel.llm.groups import components, linked, meeting, rows_per_batch, with_texts
+from vigipanel.llm.groups import components
+from vigipanel.llm.hubs import linked, once, sharing
+from vigipanel.llm.minhash_pairs import _rare_pairs as rare_pairs, confirmed
 from vigipanel.session import cut_lineage
 
 NUM, DEN = 80, 100
 SHINGLE = 5
-MANY = 32
+MANY = 2
+SEEN = 200_000                     # classes that a task remembers, to give the keys of equal sets once
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,34 +99,52 @@ def class_of(elements: np.ndarray) -> int:
     return int(tk.mix(total)[0] >> np.uint64(1))
 
 
+def _bytes_of(keys: np.ndarray, held: np.ndarray, segments: int) -> bytes:
+    """One byte per segment, the same where the segment is the same."""
+    out = np.zeros(segments, np.uint8)
+    out[held] = (keys >> np.uint64(56)).astype(np.uint8)
+    return out.tobytes()
+
+
 def _members(batches):
-    """doc_id, size and class of each set, and whether its non-empty segments alone leave it uncovered."""
+    """Each set's size, class and band, a byte per segment for its own band and the next, and whether its exact segments leave it uncovered."""
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for text in batch["text"]:
             elements = tk.shingles(text, SHINGLE)
-            n = len(elements)
-            spread = tk.mix(elements + _SALT)
-            short = any(
-                np.count_nonzero(np.bincount((spread % np.uint64(segments)).astype(np.int64))) < differ + 1 for _, segments, differ in (schemes(n) if n else [])
-            )
-            out.append((doc_id, n, class_of(elements) if n else None, short))
-        ids, sizes, items, short = zip(*out) if out else ((), (), (), ())
+            if not len(elements):
+                out.append((0, None, None, False, None, None))
+                continue
+            short, signs, bands = False, [], schemes(len(elements))
+            for band, segments, differ in bands:
+                keys, spread, starts, *_ = segment_keys(elements, band, segments)
+                signs.append(_bytes_of(keys, (spread[starts] % np.uint64(segments)).astype(np.int64), segments))
+                short |= len(keys) < differ + 1
+            out.append((len(elements), class_of(elements), bands[0][0], short, *signs))
+        n, items, bands, short, own, later = zip(*out) if out else ((),) * 6
         # a column of 63-bit integers with nulls must not pass through floats
-        yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "item": pd.array(items, dtype="Int64"), "short": np.array(short, bool)})
+        yield pd.DataFrame({
+            "doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "n": np.array(n, np.int64), "item": pd.array(items, dtype="Int64"),
+            "band": pd.array(bands, dtype="Int32"), "short": np.array(short, bool), "own": list(own), "next": list(later),
+        })
 
 
 def _first_keys(batches):
-    """Level 0: (key, item) per non-empty segment."""
+    """Level 0: (key, item) per non-empty segment; equal sets of a task once, as far as it remembers them."""
+    seen: set[int] = set()
     for batch in batches:
         keys, items, held = [], [], 0
         for text in batch["text"]:
             elements = tk.shingles(text, SHINGLE)
-            if not len(elements):
+            name = class_of(elements) if len(elements) else None
+            if name is None or name in seen:
                 continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(name)
             own = [tk.signed(segment_keys(elements, band, segments)[0]) for band, segments, _ in schemes(len(elements))]
             keys.extend(own)
-            items.append((class_of(elements), sum(map(len, own))))
+            items.append((name, sum(map(len, own))))
             held += items[-1][1]
             if held > 200_000:
                 yield _key_frame(keys, items)
@@ -133,18 +159,15 @@ def _key_frame(keys, items) -> pd.DataFrame:
 
 
 def _further_keys(batches):
-    """Levels 1 and 2 for sets that are not covered: (key, item); ``frequent`` holds the set's frequent level-0 keys."""
+    """Levels 1 and 2 for sets that their exact segments do not cover: (key, item)."""
     for batch in batches:
-        for name, text, frequent in zip(batch["item"], batch["text"], batch["frequent"]):
+        for name, text in zip(batch["item"], batch["text"]):
             elements = tk.shingles(text, SHINGLE)
-            common = np.array([] if frequent is None else frequent, np.int64)
             out = []
             for band, segments, differ in schemes(len(elements)):
                 keys, spread, starts, sizes, sums, salt = segment_keys(elements, band, segments)
-                rare = ~np.isin(tk.signed(keys), common)
-                if rare.sum() >= differ + 1:
+                if len(keys) >= differ + 1:
                     continue
-                # a partner may be covered by segments whose counterparts are frequent here, so all of them are keys
                 tag = np.full(1, 1, np.uint64) * np.uint64(0xA24BAED4963EE407)
                 out.append(tk.mix(keys ^ tag))
                 several = sizes > 1
@@ -157,70 +180,67 @@ def _further_keys(batches):
                 yield pd.DataFrame({"key": keys, "item": name})
 
 
-def _linked(batches):
-    """Pairs of texts to those that are linked."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        good = []
-        for a, b, one, two in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-            if len(held) > 64:
-                held.clear()
-            x = held[a] if a in held else held.setdefault(a, tk.shingles(one, SHINGLE))
-            y = tk.shingles(two, SHINGLE)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(item, text) for ``wanted(item, doc_id)``, written once; ids are broadcast only up to ``BROADCAST_IDS``."""
-    wanted = cut_lineage(wanted)
-    n = wanted.count()
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id").select("item", "text")
-    texts = cut_lineage(texts)
-    if texts.count() == n:
-        return texts
-    # a repeated doc_id brought other texts along
-    return cut_lineage(texts.mapInPandas(_own, texts.schema).dropDuplicates(["item"]))
-
-
-def _own(batches):
+def _sets(batches):
+    """(item, elements) from the texts that were fetched for an item; another text of the same row name is left out."""
     for batch in batches:
-        yield batch[[bool(len(x)) and class_of(x) == k for k, x in zip(batch["item"], (tk.shingles(t, SHINGLE) for t in batch["text"]))]]
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Linked pairs among ``pairs(a, b)``."""
-    with rows_per_batch(pairs.sparkSession):
-        return cut_lineage(with_texts(pairs, texts).mapInPandas(_linked, "a long, b long"))
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, item) and the linked pairs of classes (a, b) that connect all linked classes."""
-    docs = docs.where(F.col("doc_id").isNotNull())
-    members = cut_lineage(docs.select("doc_id", "text").mapInPandas(_members, "doc_id long, n long, item long, short boolean"))
-    met = cut_lineage(meeting(docs.select("text").mapInPandas(_first_keys, "key long, item long"), MANY))
-    first = members.where("item IS NOT NULL").groupBy("item").agg(F.min(F.struct("doc_id", "short")).alias("m")).select("item", "m.doc_id", "m.short")
-    frequent = met.where("many").groupBy(F.col("b").alias("item")).agg(F.collect_list("a").alias("frequent"))     # at most a set's segments
-    pairs = met.where("NOT many").select("a", "b")
-    needed = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("item")), F.struct(F.col("b").alias("item"))))).union(
-        frequent.select("item")).union(first.where("short").select("item")).distinct()
-    texts = texts_of(docs, needed.join(first, "item").select("item", "doc_id"))
-    open_sets = texts.join(frequent, "item", "left").join(first.where("short").select("item", F.lit(True).alias("short")), "item", "left").where(
-        F.col("frequent").isNotNull() | F.col("short").isNotNull()).select("item", "text", "frequent")
-    with rows_per_batch(docs.sparkSession, 2000):
-        further = cut_lineage(meeting(open_sets.mapInPandas(_further_keys, "key long, item long"), MANY))
-    pairs = cut_lineage(pairs.union(further.where("NOT many").select("a", "b")).distinct())
-    many = further.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"))
-    return members, linked(pairs, many, lambda found: verified(found, texts))
+        sets = [tk.shingles(text, SHINGLE) for text in batch["text"]]
+        good = [len(x) > 0 and class_of(x) == item for x, item in zip(sets, batch["item"])]
+        yield pd.DataFrame({"item": batch["item"][good], "elements": [tk.signed(x) for x, fits in zip(sets, good) if fits]})
+
+
+@F.pandas_udf(IntegerType())
+def _differing(one: pd.Series, two: pd.Series) -> pd.Series:
+    """In how many segments two sets differ, at least."""
+    return pd.Series([np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) for x, y in zip(one, two)], dtype="int32")
+
+
+def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` without those whose sizes or segments rule a link out; ``signs(item, n, band, own, next)``."""
+    one, two = (signs.select(F.col("item").alias(c), F.struct("n", "band", "own", "next").alias(f"s{c}")) for c in "ab")
+    met = pairs.join(one, "a").join(two, "b").where(
+        (DEN * F.least("sa.n", "sb.n") >= NUM * F.greatest("sa.n", "sb.n")) & (F.abs(F.col("sa.band") - F.col("sb.band")) <= 1))
+    band = F.greatest("sa.band", "sb.band")
+    sign = [F.when(F.col(f"s{c}.band") == band, F.col(f"s{c}.own")).otherwise(F.col(f"s{c}.next")) for c in "ab"]
+    return met.where(_differing(*sign) <= F.floor((DEN - NUM) * (F.col("sa.n") + F.col("sb.n")) / (DEN + NUM))).select("a", "b")
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, item), classes (item, low, copies) and the linked pairs of classes (a, b) that connect all linked ones."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    members = cut_lineage(own.mapInPandas(_members, "doc_id long, row long, n long, item long, band int, short boolean, own binary, next binary"))
+    items = members.where("item IS NOT NULL").groupBy("item").agg(
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n", "band", "short", "own", "next")).alias("m"))
+    items = cut_lineage(items.select("item", "low", "copies", "m.*"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        rows = cut_lineage(wanted.select("item", "row"))
+        hint = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+        return own.select("row", "text").join(hint, "row").select("item", "text")
+
+    met = cut_lineage(sharing(own.select("text").mapInPandas(_first_keys, "key long, item long"), MANY).union(
+        sharing(texts_of(items.where("short")).mapInPandas(_further_keys, "key long, item long"), MANY)))
+    pairs = cut_lineage(met.where("NOT many").select("a", "b").distinct())
+    many = cut_lineage(once(met.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"))))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).union(many.select("item")).distinct()
+    signs = cut_lineage(items.join(needed, "item").select("item", "row", "n", "band", "own", "next"))
+    sets = cut_lineage(texts_of(signs).mapInPandas(_sets, "item long, elements array<long>").dropDuplicates(["item"]))
+
+    def verified(found: DataFrame) -> DataFrame:
+        return confirmed(cut_lineage(possible(found, signs)), sets)
+
+    links, left = linked(pairs, many, verified)
+    if not left.isEmpty():
+        links = links.union(verified(rare_pairs(cut_lineage(left.select("item", "root").distinct()), sets)))
+    return members, items, links
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id of the component)."""
-    members, links = classes(docs)
-    roots = components(links)
-    held = cut_lineage(members.join(roots.withColumnRenamed("node", "item"), "item", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "item").alias("class"),
-    ))
-    least = held.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return held.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    members, items, links = classes(docs)
+    roots = components(links).withColumnRenamed("node", "item")
+    grouped = items.join(roots, "item", "left").where("copies > 1 OR root IS NOT NULL").select("item", "low", F.coalesce("root", "item").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = cut_lineage(grouped.join(least, "root").select("item", F.struct("component_id").alias("group")))
+    out = members.select("doc_id", F.col("n").alias("n_shingles"), "item").join(named, "item", "left")
+    component = F.when(F.col("group").isNotNull(), F.col("group.component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
