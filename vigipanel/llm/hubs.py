@@ -12,66 +12,82 @@ from vigipanel.session import cut_lineage
 ROUNDS = 3
 
 
+BUFFER = 100_000
+
+
 def sharing(rows: DataFrame, limit: int = 2) -> DataFrame:
     """Which items of ``rows(key long, item long)`` share a key.
 
     Keys with 2 to ``limit`` distinct items give their pairs as (a < b, false);
-    keys with more give each item once, as (key, item, true).  Each task reads
-    its rows in key order and holds ``limit`` items at most, however many a key has.
+    keys with more give each item once, as (key, item, true).  ``bit`` is the
+    lowest bit of the key and n how many keys of a task gave the row.  Each task
+    reads its rows in key order and holds ``BUFFER`` rows and ``limit`` items
+    more or less, however many a key has.
     """
 
     def run(batches):
-        held = np.zeros((0, 2), np.int64)          # rows of the last key, while there are few
+        key = item = np.zeros(0, np.int64)         # rows of the last key, while there are few
         over, last = None, None                    # the last key if it has more than limit items; the last row
-        for batch in batches:
-            now = batch[["key", "item"]].to_numpy(np.int64)
-            new = np.ones(len(now), bool)
-            new[1:] = (now[1:] != now[:-1]).any(axis=1)
-            if len(now) and last is not None:
-                new[0] = tuple(now[0]) != last
-            now = now[new]
-            if not len(now):
-                continue
-            last = tuple(now[-1])
-            more = np.searchsorted(now[:, 0], over, "right") if over is not None else 0
-            out, now = [_crowd(now[:more])], now[more:]
-            if len(now):
-                now = np.concatenate((held, now))
-                cut = int(np.searchsorted(now[:, 0], now[-1, 0]))
-                out.append(_met(now[:cut], limit))
-                held, over = now[cut:], None
-                if len(held) > limit:
-                    out.append(_crowd(held))
-                    held, over = held[:0], held[0, 0]
+        for k, i in _buffered(batches):
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+            new[0] = (k[0], i[0]) != last
+            last = (k[-1], i[-1])
+            k, i = k[new], i[new]
+            more = int(np.searchsorted(k, over, "right")) if over is not None else 0
+            out = [_crowd(k[:more], i[:more])]
+            k, i = np.concatenate((key, k[more:])), np.concatenate((item, i[more:]))
+            if len(k):
+                cut = int(np.searchsorted(k, k[-1]))
+                out.append(_met(k[:cut], i[:cut], limit))
+                key, item, over = k[cut:], i[cut:], None
+                if len(key) > limit:
+                    out.append(_crowd(key, item))
+                    key, item, over = key[:0], item[:0], key[0]
             yield pd.concat(out)
-        yield _met(held, limit)
+        yield _met(key, item, limit)
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "item")
-    return ordered.mapInPandas(run, "a long, b long, many boolean")
+    return ordered.mapInPandas(run, "a long, b long, many boolean, bit int, n long")
+
+
+def _buffered(batches):
+    """The rows of several batches as (keys, items)."""
+    keys, items, size = [], [], 0
+    for batch in batches:
+        keys.append(batch["key"].to_numpy())
+        items.append(batch["item"].to_numpy())
+        size += len(batch)
+        if size >= BUFFER:
+            yield np.concatenate(keys), np.concatenate(items)
+            keys, items, size = [], [], 0
+    if size:
+        yield np.concatenate(keys), np.concatenate(items)
 
 
-def _crowd(rows: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "many": np.ones(len(rows), bool)})
+def _crowd(key: np.ndarray, item: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": key, "b": item, "many": np.ones(len(key), bool), "bit": (key & 1).astype(np.int32), "n": np.ones(len(key), np.int64)})
 
 
-def _met(rows: np.ndarray, limit: int) -> pd.DataFrame:
+def _met(key: np.ndarray, item: np.ndarray, limit: int) -> pd.DataFrame:
     """Whole keys, each row once."""
-    key, item = rows[:, 0], rows[:, 1]
     start = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     many = np.repeat(size > limit, size)
     k, i = key[~many], item[~many]
-    pairs = [np.stack((i[:-d], i[d:]), 1)[k[:-d] == k[d:]] for d in range(1, limit)] if len(k) else []
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return pd.concat((_crowd(rows[many]), _crowd(pairs).assign(many=False)))
+    pairs = [np.stack((i[:-d], i[d:], k[d:] & 1), 1)[k[:-d] == k[d:]] for d in range(1, limit)]
+    pairs, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    few = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "many": np.zeros(len(n), bool), "bit": pairs[:, 2].astype(np.int32), "n": n.astype(np.int64)})
+    return pd.concat((_crowd(key[many], item[many]), few))
 
 
-def once(many: DataFrame) -> DataFrame:
-    """``many(key, item)`` without the keys that hold the same items as another."""
+def once(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``many(key, item)`` without the keys that hold the same items as another, and (key, n) how many each stands for."""
     held = many.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64("item", F.lit(1))).alias("y"),
-    ).groupBy("c", "x", "y").agg(F.min("key").alias("key"))
-    return many.join(held.select("key"), "key", "left_semi")
+    ).groupBy("c", "x", "y", F.col("key").bitwiseAND(1).alias("bit")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    held = cut_lineage(held.where("c > 1").select("key", "n"))
+    return cut_lineage(many.join(held, "key", "left_semi")), held
 
 
 def apart(many: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -20,7 +20,9 @@ covered:
 Keys of up to ``MANY`` sets give pairs; in larger ones all meet a hub, and a few
 more hubs while a key holds several components (``hubs.linked``).  What is left
 apart then is not compared pair by pair but joined exactly on the rare elements
-of the sets, so no link is lost.  Before whole sets are compared, the sizes and
+of the sets, so no link is lost.  As there are more segments than H + 1, linked
+sets agree in several: a set that shares fewer of its keys of a band with any
+others, at first or among the keys left apart, has no link there (``needed``).  Before whole sets are compared, the sizes and
 one byte per segment are: sets that differ in more segments than the elements in
 which they may differ are not linked.
 Equal sets are one class from the start; a class counts as one item however
@@ -81,6 +83,11 @@ def schemes(size: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def banded(keys: np.ndarray, band: int) -> np.ndarray:
+    """Keys whose lowest bit tells a set's own band from the next one."""
+    return keys >> np.uint64(1) << np.uint64(1) | np.full(1, band % 2, np.uint64)
+
+
 def segment_keys(elements: np.ndarray, band: int, segments: int):
     """Per non-empty segment its key, and order, starts and sizes of the elements by segment."""
     spread = tk.mix(elements + _SALT)
@@ -90,7 +97,7 @@ def segment_keys(elements: np.ndarray, band: int, segments: int):
     starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
     sums = np.add.reduceat(spread[order], starts)
     salt = held[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(1, band + 1, np.uint64) * _SALT
-    return tk.mix(sums + salt), spread[order], starts, np.diff(np.append(starts, len(held))), sums, salt
+    return banded(tk.mix(sums + salt), band), spread[order], starts, np.diff(np.append(starts, len(held))), sums, salt
 
 
 def class_of(elements: np.ndarray) -> int:
@@ -107,25 +114,25 @@ def _bytes_of(keys: np.ndarray, held: np.ndarray, segments: int) -> bytes:
 
 
 def _members(batches):
-    """Each set's size, class and band, a byte per segment for its own band and the next, and whether its exact segments leave it uncovered."""
+    """Each set's size, class and band; for that band and the next: in how many non-empty segments a linked set agrees (0 or less: not covered), and a byte per segment."""
     for batch in batches:
         out = []
         for text in batch["text"]:
             elements = tk.shingles(text, SHINGLE)
             if not len(elements):
-                out.append((0, None, None, False, None, None))
+                out.append((0, None, None, None, None, None, None))
                 continue
-            short, signs, bands = False, [], schemes(len(elements))
+            needs, signs, bands = [], [], schemes(len(elements))
             for band, segments, differ in bands:
                 keys, spread, starts, *_ = segment_keys(elements, band, segments)
                 signs.append(_bytes_of(keys, (spread[starts] % np.uint64(segments)).astype(np.int64), segments))
-                short |= len(keys) < differ + 1
-            out.append((len(elements), class_of(elements), bands[0][0], short, *signs))
-        n, items, bands, short, own, later = zip(*out) if out else ((),) * 6
+                needs.append(len(keys) - differ)
+            out.append((len(elements), class_of(elements), bands[0][0], *needs, *signs))
+        n, items, bands, need, need_next, own, later = zip(*out) if out else ((),) * 7
         # a column of 63-bit integers with nulls must not pass through floats
         yield pd.DataFrame({
             "doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "n": np.array(n, np.int64), "item": pd.array(items, dtype="Int64"),
-            "band": pd.array(bands, dtype="Int32"), "short": np.array(short, bool), "own": list(own), "next": list(later),
+            "band": pd.array(bands, dtype="Int32"), "need": pd.array(need, dtype="Int32"), "need_next": pd.array(need_next, dtype="Int32"), "own": list(own), "next": list(later),
         })
 
 
@@ -163,11 +170,12 @@ def _further_keys(batches):
     for batch in batches:
         for name, text in zip(batch["item"], batch["text"]):
             elements = tk.shingles(text, SHINGLE)
-            out = []
+            found = []
             for band, segments, differ in schemes(len(elements)):
                 keys, spread, starts, sizes, sums, salt = segment_keys(elements, band, segments)
                 if len(keys) >= differ + 1:
                     continue
+                out = []
                 tag = np.full(1, 1, np.uint64) * np.uint64(0xA24BAED4963EE407)
                 out.append(tk.mix(keys ^ tag))
                 several = sizes > 1
@@ -175,8 +183,9 @@ def _further_keys(batches):
                 out.append(tk.mix(tk.mix(without + np.repeat(salt, sizes))[np.repeat(several, sizes)] ^ tag))
                 if len(keys) + several.sum() < differ + 1:
                     out.append(tk.mix(spread + np.full(1, 3, np.uint64) * _SALT))
-            if out:
-                keys = tk.signed(np.unique(np.concatenate(out)))
+                found.append(banded(np.concatenate(out), band))
+            if found:
+                keys = tk.signed(np.unique(np.concatenate(found)))
                 yield pd.DataFrame({"key": keys, "item": name})
 
 
@@ -204,12 +213,18 @@ def possible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return met.where(_differing(*sign) <= F.floor((DEN - NUM) * (F.col("sa.n") + F.col("sb.n")) / (DEN + NUM))).select("a", "b")
 
 
+def needed(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """(item, bit) of the sets that share enough keys of a band to be linked there: ``shared(item, bit, n)``, ``needs(item, bit, need)``."""
+    held = shared.groupBy("item", "bit").agg(F.sum("n").alias("n"))
+    return held.join(needs, ["item", "bit"]).where("n >= need").select("item", "bit")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, n, item), classes (item, low, copies) and the linked pairs of classes (a, b) that connect all linked ones."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    members = cut_lineage(own.mapInPandas(_members, "doc_id long, row long, n long, item long, band int, short boolean, own binary, next binary"))
+    members = cut_lineage(own.mapInPandas(_members, "doc_id long, row long, n long, item long, band int, need int, need_next int, own binary, next binary"))
     items = members.where("item IS NOT NULL").groupBy("item").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n", "band", "short", "own", "next")).alias("m"))
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "n", "band", "need", "need_next", "own", "next")).alias("m"))
     items = cut_lineage(items.select("item", "low", "copies", "m.*"))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -218,11 +233,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return own.select("row", "text").join(hint, "row").select("item", "text")
 
     met = cut_lineage(sharing(own.select("text").mapInPandas(_first_keys, "key long, item long"), MANY).union(
-        sharing(texts_of(items.where("short")).mapInPandas(_further_keys, "key long, item long"), MANY)))
-    pairs = cut_lineage(met.where("NOT many").select("a", "b").distinct())
-    many = cut_lineage(once(met.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"))))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).union(many.select("item")).distinct()
-    signs = cut_lineage(items.join(needed, "item").select("item", "row", "n", "band", "own", "next"))
+        sharing(texts_of(items.where("need <= 0 OR need_next <= 0")).mapInPandas(_further_keys, "key long, item long"), MANY)))
+    needs = items.select("item", F.inline(F.array(
+        F.struct((F.col("band") % 2).alias("bit"), F.col("need")), F.struct((1 - F.col("band") % 2).alias("bit"), F.col("need_next").alias("need")))))
+    pairs, many = met.where("NOT many"), met.where("many").select(F.col("a").alias("key"), F.col("b").alias("item"), "bit")
+    shared = many.select("item", "bit", F.lit(1).cast("long").alias("n")).union(pairs.select(F.explode(F.array("a", "b")).alias("item"), "bit", "n"))
+    fit = cut_lineage(needed(shared, needs))
+    fits = {c: fit.select(F.col("item").alias(c), "bit") for c in "ab"}
+    pairs = cut_lineage(pairs.join(fits["a"], ["a", "bit"], "left_semi").join(fits["b"], ["b", "bit"], "left_semi").select("a", "b").distinct())
+    many, stands = once(cut_lineage(many.join(fit, ["item", "bit"], "left_semi").select("key", "item")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("item")).union(many.select("item")).distinct()
+    signs = cut_lineage(items.join(wanted, "item").select("item", "row", "n", "band", "own", "next"))
     sets = cut_lineage(texts_of(signs).mapInPandas(_sets, "item long, elements array<long>").dropDuplicates(["item"]))
 
     def verified(found: DataFrame) -> DataFrame:
@@ -230,7 +251,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     links, left = linked(pairs, many, verified)
     if not left.isEmpty():
-        links = links.union(verified(rare_pairs(cut_lineage(left.select("item", "root").distinct()), sets)))
+        fit = needed(left.join(stands, "key").select("item", F.col("key").bitwiseAND(1).cast("int").alias("bit"), "n"), needs)
+        open_ = cut_lineage(left.select("item", "root").distinct().join(fit.select("item").distinct(), "item"))
+        links = links.union(verified(rare_pairs(open_, sets)))
     return members, items, links
 
 
