@@ -8,7 +8,9 @@ holds one of them unchanged, at one of a few places that its position and the
 difference in length leave open.  Segments, and those substrings, are keys of an
 equality join; candidates are verified with a banded bit-parallel edit distance.
 Lines under a key that more than ``MANY`` share meet again under finer keys,
-threes of six parts, of which near lines also share one.
+threes of six parts, of which near lines also share one.  A key of two lines is a
+pair; the lines of a larger one meet hubs first (``hubs.linked``), and only those
+that are in different classes after that meet each other.
 Lines connected by near links are one class, of which the first line by
 (doc_id, line number) stays; equal lines are one line from the start.
 
@@ -29,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from vigipanel.llm import tokens as tk
-from vigipanel.llm.groups import components, linked, meeting, rows_per_batch, with_texts
+from vigipanel.llm.groups import components, rows_per_batch, with_texts
+from vigipanel.llm.hubs import linked, once, sharing
 from vigipanel.session import cut_lineage
 
 EDITS = ((80, 2), (40, 1))         # characters from which on so many edits are allowed
@@ -274,15 +277,23 @@ def classed(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", _row().alias("row"))
     lines = cut_lineage(docs.mapInPandas(_line_rows, "row long, doc_id long, line_no int, line long"))
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-    met = cut_lineage(meeting(docs.mapInPandas(_key_rows, "key long, item long"), MANY))
-    pairs, many = _candidates(met)
+    pairs, many = _candidates(cut_lineage(sharing(docs.mapInPandas(_key_rows, "key long, item long"))))
     wanted = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("item")), F.struct(F.col("b").alias("item"))))).union(many.select("item")).distinct()
     texts = _line_texts(docs, wanted, first)
-    crowded = texts.join(many.select("item").distinct(), "item", "left_semi")
-    more, many = _candidates(cut_lineage(meeting(crowded.mapInPandas(_fine_rows, "key long, item long"), MANY)))
+    large = cut_lineage(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MANY).select("key"))
+    crowded = texts.join(many.join(large, "key", "left_semi").select("item").distinct(), "item", "left_semi")
+    more, fine = _candidates(cut_lineage(sharing(crowded.mapInPandas(_fine_rows, "key long, item long"))))
     pairs = cut_lineage(pairs.union(more).distinct())
+    many, _ = once(many.join(large, "key", "left_anti").union(fine))
+
+    def verified(found: DataFrame) -> DataFrame:
+        return cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long"))
+
     with rows_per_batch(docs.sparkSession, 2000):
-        links = linked(pairs, many, lambda found: cut_lineage(with_texts(found, texts).mapInPandas(_near, "a long, b long")))
+        links, left = linked(pairs, many, verified)
+        one, two = (left.select("key", F.col("item").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        rest = one.join(two, "key").where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.union(verified(rest.distinct()))
     roots = cut_lineage(components(links))
     hint = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
     held = lines.join(hint, F.col("line") == F.col("node"), "left").select("row", "doc_id", "line_no", "line", F.coalesce("root", "line").alias("line_class"))
