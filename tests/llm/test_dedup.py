@@ -270,3 +270,10 @@ def test_compact_windows():
             if right - left + 1 >= 6:
                 want.add((c, left, right))
         assert got == want
+
+
+def test_jaccard_without_ids(spark, prose):
+    a, b = prose(60), prose(60)
+    docs = spark.createDataFrame([(None, a), (7, a + " more"), (None, b), (None, b + " x"), (9, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.joined(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 7), (7, 7), (9, 9)]
