@@ -291,3 +291,18 @@ def test_contacts_of_any_polygons(spark):
                 if best:
                     want[(a, b)] = {2: fv.CONTACT_EDGE, 1: fv.CONTACT_POINT}[best]
     assert got == want and want[("T1", "T2")] == want[("long", "T1")] == fv.CONTACT_EDGE and want[("T2", "P")] == fv.CONTACT_POINT
+
+
+def test_each_pair_of_sides_meets_once(spark):
+    """On a mesh of whole numbers, where corners lie on the borders of cells, every side meets only those it touches."""
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    rows = [(f"{x:02d}{y:02d}", 0, i, float(x + dx), float(y + dy)) for x in range(12) for y in range(12) for i, (dx, dy) in enumerate(corners)]
+    rings = spark.createDataFrame(rows + rows[:40], "code string, ring int, seq int, x double, y double")      # some rows twice
+    met = neighbours.met_sides(rings).select("one", "two", *[f"{s}.{k}" for s in "pq" for k in ("ax", "ay", "bx", "by")]).toDF(*"abcdefghij").collect()
+    sides = [(code, (x, y), (x + 1, y)) for code, _, i, x, y in rows if i == 0] + [(code, (x, y), (x, y - 1)) for code, _, i, x, y in rows if i == 3]
+    sides += [(code, (x, y), (x, y + 1)) for code, _, i, x, y in rows if i == 1] + [(code, (x, y), (x - 1, y)) for code, _, i, x, y in rows if i == 2]
+    want = {frozenset([p, q]) for p in sides for q in sides if p[0] < q[0] and _plain_touch(p[1:], q[1:])}
+    got = [frozenset([(r[0], (r[2], r[3]), (r[4], r[5])), (r[1], (r[6], r[7]), (r[8], r[9]))]) for r in met]
+    swapped = [frozenset([(r[1], (r[2], r[3]), (r[4], r[5])), (r[0], (r[6], r[7]), (r[8], r[9]))]) for r in met]
+    assert len(met) == len(want) and {g if g in want else s for g, s in zip(got, swapped)} == want
+    assert neighbours.contiguity(rings).count() == 2 * (11 * 12 * 2 + 11 * 11 * 2)

@@ -9,6 +9,7 @@ from vigipanel.session import cut_lineage
 
 LEVELS = (6, 12, 20, 28, 36, 44, 52)     # tried as the finest until no cell is crowded
 _CROWDED = 64
+_GRID_START = 0.3819660112501051     # where in a cell the origin lies
 _BROADCAST_LEVELS = 5     # at most 4**6 / 3 cells on levels 0..5
 
 
@@ -47,50 +48,102 @@ def boundary_segments(rings: DataFrame) -> DataFrame:
     order = Window.partitionBy("code", "ring").orderBy("seq")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sides = rings.select(
-        "code", F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay"),
+        "code", "ring", F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay"),
         F.coalesce(F.lead("x").over(order), F.first("x").over(whole)).cast("double").alias("bx"),
         F.coalesce(F.lead("y").over(order), F.first("y").over(whole)).cast("double").alias("by"),
     )
-    return sides.where("ax <> bx OR ay <> by")
+    # repeated sides of a ring meet nothing more; the rows of a ring already lie together
+    return sides.where("ax <> bx OR ay <> by").select("code", "ring", "ax", "ay", "bx", "by").distinct().drop("ring")
 
 
-def _cells(tolerance: float, level):
-    """All cells of a level (side 2 ** level) that the box of a segment meets: one to three each way."""
+def _spans(tolerance: float, level):
+    """The cells of a level (side 2 ** level) that the box of a segment meets, one to three each way: first and last column and row.
+
+    The grid starts off the round numbers on which drawn corners like to lie.
+    """
     side = F.pow(F.lit(2.0), level)
 
-    def span(one: str, two: str):
-        low = F.floor((F.least(one, two) - tolerance) / side)
-        return F.sequence(low, F.floor((F.greatest(one, two) + tolerance) / side))
+    def cell(at):
+        return F.floor(at / side + F.lit(_GRID_START))
+
+    return [
+        edge.alias(name) for one, two, names in (("ax", "bx", ("x0", "x1")), ("ay", "by", ("y0", "y1")))
+        for edge, name in ((cell(F.least(one, two) - tolerance), names[0]), (cell(F.greatest(one, two) + tolerance), names[1]))
+    ]
+
+
+def _in_cells(segments: DataFrame, tolerance: float, code: str, name: str) -> DataFrame:
+    """``code``, the segment as ``name`` with its first cell, and ``level, gx, gy``: one row per cell of the level."""
+    spans = segments.select("*", *_spans(tolerance, F.col("level")))
+    held = spans.select(
+        F.col("code").alias(code), F.struct("ax", "ay", "bx", "by", "ux", "uy", "length", "own", "x0", "y0").alias(name),
+        "level", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("gx"),
+    )
+    return held.select(code, name, "level", "gx", F.explode(F.sequence("y0", "y1")).alias("gy"))
+
 
-    return F.flatten(F.transform(span("ax", "bx"), lambda gx: F.transform(span("ay", "by"), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
+def _near(tolerance: float):
+    """Whether the boxes of segments p and q come close enough to touch, with room for rounding."""
+    room = F.lit(4 * tolerance) + F.lit(1e-9) * (F.col("p.length") + F.col("q.length"))
 
+    def apart(one: str, two: str):
+        low, high = [lambda s, f=f: f(F.col(f"{s}.{one}"), F.col(f"{s}.{two}")) for f in (F.least, F.greatest)]
+        return F.greatest(low("p"), low("q")) - F.least(high("p"), high("q"))
 
-def _touch(tolerance: float):
-    """How segments p and q touch: 2 along a part of positive length, 1 in a point, 0 not at all."""
-    p = {k: F.col(f"p.{k}") for k in ("ax", "ay", "bx", "by")}
-    q = {k: F.col(f"q.{k}") for k in ("ax", "ay", "bx", "by")}
+    return (apart("ax", "bx") <= room) & (apart("ay", "by") <= room)
 
-    def direction(s):
-        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-        length = F.sqrt(dx * dx + dy * dy)
-        return dx / length, dy / length, length
 
-    def placed(s, x, y):
+def _with_touch(pairs: DataFrame, tolerance: float) -> DataFrame:
+    """``one, two, touch`` of segments p and q: 2 along a part of positive length, 1 in a point, 0 not at all."""
+    def placed(s: str, x: str, y: str, names: tuple[str, str]):
         """Where a point lies along a segment and how far beside it (signed)."""
-        ux, uy, _ = direction(s)
-        return (x - s["ax"]) * ux + (y - s["ay"]) * uy, (x - s["ax"]) * uy - (y - s["ay"]) * ux
+        dx, dy = F.col(x) - F.col(f"{s}.ax"), F.col(y) - F.col(f"{s}.ay")
+        ux, uy = F.col(f"{s}.ux"), F.col(f"{s}.uy")
+        return (dx * ux + dy * uy).alias(names[0]), (dx * uy - dy * ux).alias(names[1])
+
+    # columns of their own, so that each is computed once
+    at = pairs.select(
+        "one", "two", F.col("p.length").alias("lp"), F.col("q.length").alias("lq"),
+        *placed("p", "q.ax", "q.ay", ("t1", "d1")), *placed("p", "q.bx", "q.by", ("t2", "d2")),
+        *placed("q", "p.ax", "p.ay", ("u1", "e1")), *placed("q", "p.bx", "p.by", ("u2", "e2")),
+    )
 
-    (t1, d1), (t2, d2) = placed(p, q["ax"], q["ay"]), placed(p, q["bx"], q["by"])
-    (u1, e1), (u2, e2) = placed(q, p["ax"], p["ay"]), placed(q, p["bx"], p["by"])
-    length_p, length_q = direction(p)[2], direction(q)[2]
-    common = F.least(F.greatest(t1, t2), length_p) - F.greatest(F.least(t1, t2), F.lit(0.0))
-    along = (F.abs(d1) <= tolerance) & (F.abs(d2) <= tolerance) & (common > tolerance)
+    def along(t1, t2, d1, d2, length):
+        common = F.least(F.greatest(t1, t2), length) - F.greatest(F.least(t1, t2), F.lit(0.0))
+        return (F.abs(d1) <= tolerance) & (F.abs(d2) <= tolerance) & (common > tolerance)
 
     def on(t, d, length):
-        return (F.abs(d) <= tolerance) & (t >= -tolerance) & (t <= length + tolerance)
+        return (F.abs(d) <= tolerance) & (F.col(t) >= -tolerance) & (F.col(t) <= F.col(length) + tolerance)
+
+    point = on("t1", "d1", "lp") | on("t2", "d2", "lp") | on("u1", "e1", "lq") | on("u2", "e2", "lq") | (
+        (F.col("d1") * F.col("d2") < 0) & (F.col("e1") * F.col("e2") < 0))
+    run = along("t1", "t2", "d1", "d2", F.col("lp")) | along("u1", "u2", "e1", "e2", F.col("lq"))
+    return at.select("one", "two", F.when(run, 2).when(point, 1).otherwise(0).alias("touch"))
 
-    point = on(t1, d1, length_p) | on(t2, d2, length_p) | on(u1, e1, length_q) | on(u2, e2, length_q) | ((d1 * d2 < 0) & (e1 * e2 < 0))
-    return F.when(along, 2).when(point, 1).otherwise(0)
+
+def met_sides(rings: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``one, two, p, q``: the sides p and q of two polygons that may touch, each pair of sides once.
+
+    Segments meet in square cells: each stands in the cells of the level as
+    coarse as itself, and looks into those of every coarser level that occurs,
+    so a cell holds few segments of its own however uneven the detail is.  Of all
+    cells that two segments share only the first brings them together, and two
+    of one level meet in one order only.
+    """
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    sides = boundary_segments(rings).withColumn("length", F.sqrt(dx * dx + dy * dy)).withColumns({
+        "ux": dx / F.col("length"), "uy": dy / F.col("length"),
+        "own": F.ceil(F.log2(F.greatest(F.abs(dx), F.abs(dy)))).cast("int"),
+    })
+    sides = cut_lineage(sides)
+    levels = sorted(r[0] for r in sides.select("own").distinct().collect())        # as many as there are binary orders of lengths
+    coarser = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("own"))
+    stand = _in_cells(sides.withColumn("level", F.col("own")), tolerance, "code", "p")
+    look = _in_cells(sides.withColumn("level", F.explode(coarser)), tolerance, "other", "q")
+    first_cell = (F.col("gx") == F.greatest("p.x0", "q.x0")) & (F.col("gy") == F.greatest("p.y0", "q.y0"))
+    once = F.when(F.col("p.own") == F.col("q.own"), F.col("code") < F.col("other")).otherwise(F.col("code") != F.col("other"))
+    met = stand.join(look, ["level", "gx", "gy"]).where(first_cell & once & _near(tolerance))
+    return met.select(F.least("code", "other").alias("one"), F.greatest("code", "other").alias("two"), "p", "q")
 
 
 def contiguity(rings: DataFrame, tolerance: float = 1e-9) -> DataFrame:
@@ -98,25 +151,13 @@ def contiguity(rings: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
     Two polygons touch where their boundaries meet; they share an edge where the
     boundaries run together for more than ``tolerance``, be it along whole sides
-    or a part of one.  Segments meet in square cells: each stands in the cells of
-    the level as coarse as itself, and looks into those of every coarser level
-    that occurs, so a cell holds few segments of its own however uneven the
-    detail is, and a pair is tested a bounded number of times.
+    or a part of one.
     """
-    sides = boundary_segments(rings)
-    level = F.ceil(F.log2(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).cast("int")
-    sides = cut_lineage(sides.withColumn("level", level))
-    levels = sorted(r[0] for r in sides.select("level").distinct().collect())        # as many as there are binary orders of lengths
-    segment = F.struct("ax", "ay", "bx", "by")
-    stand = sides.select("code", segment.alias("p"), "level", F.explode(_cells(tolerance, F.col("level"))).alias("cell"))
-    coarser = F.filter(F.array(*[F.lit(k) for k in levels]), lambda k: k >= F.col("level"))
-    look = sides.select("code", segment.alias("q"), "ax", "ay", "bx", "by", F.explode(coarser).alias("level"))
-    look = look.select(F.col("code").alias("other"), "q", "level", F.explode(_cells(tolerance, F.col("level"))).alias("cell"))
-    met = stand.join(look, ["level", "cell"]).where("code <> other").select("code", "other", _touch(tolerance).alias("touch")).where("touch > 0")
-    found = met.groupBy("code", "other").agg(F.max("touch").alias("touch"))
+    pairs = met_sides(rings, tolerance)
+    found = _with_touch(pairs, tolerance).groupBy("one", "two").agg(F.max("touch").alias("touch")).where("touch > 0")
     both = found.select(F.inline(F.array(
-        F.struct(F.col("code").alias("src"), F.col("other").alias("dst"), "touch"), F.struct(F.col("other").alias("src"), F.col("code").alias("dst"), "touch"),
-    ))).groupBy("src", "dst").agg(F.max("touch").alias("touch"))
+        F.struct(F.col("one").alias("src"), F.col("two").alias("dst"), "touch"), F.struct(F.col("two").alias("src"), F.col("one").alias("dst"), "touch"),
+    )))
     typed = both.select("src", "dst", F.when(F.col("touch") == 2, fv.CONTACT_EDGE).otherwise(fv.CONTACT_POINT).alias("contact"))
     return row_normalised(cut_lineage(typed), fv.QUEEN)
 
