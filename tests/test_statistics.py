@@ -306,3 +306,35 @@ def test_each_pair_of_sides_meets_once(spark):
     swapped = [frozenset([(r[1], (r[2], r[3]), (r[4], r[5])), (r[0], (r[6], r[7]), (r[8], r[9]))]) for r in met]
     assert len(met) == len(want) and {g if g in want else s for g, s in zip(got, swapped)} == want
     assert neighbours.contiguity(rings).count() == 2 * (11 * 12 * 2 + 11 * 11 * 2)
+
+
+def test_blocks_add_up_to_the_whole_matrix(spark, monkeypatch):
+    """Many blocks of a few areas, two rules, areas without neighbours and a hub, against the dense matrix."""
+    monkeypatch.setattr(spatial, "_CELLS", 40)
+    monkeypatch.setattr(spatial, "_DEALT", 60)
+    rng = np.random.default_rng(4)
+    n, permutations = 31, 19
+    codes = [f"c{i:02d}" for i in range(n)]
+    value = rng.integers(0, 9, n).astype(float)
+    edges, want = [], {}
+    for rule in "qr":
+        links = {(0, j) for j in range(1, 25)} | {(int(a), int(b)) for a, b in rng.integers(0, 28, (60, 2)) if a != b}
+        w = np.zeros((n, n))
+        for a, b in links:
+            w[a, b] = 1 / sum(s == a for s, _ in links)
+        edges += [(rule, codes[a], codes[b], float(w[a, b])) for a, b in links]
+        z = value - value.mean()
+        own, hits, local_hits = n * (z @ w @ z) / (w.sum() * (z @ z)), 0, np.zeros(n)
+        for perm in range(1, permutations + 1):
+            dealt = np.empty(n)
+            dealt[_plain_bijection(n, 7, 2020, perm)] = z
+            hits += round(abs(n * (dealt @ w @ dealt) / (w.sum() * (z @ z))), 12) >= round(abs(own), 12)
+            local_hits += np.abs(dealt * (w @ dealt) / (z @ z / n)).round(12) >= np.abs(z * (w @ z) / (z @ z / n)).round(12)
+        want[rule] = (own, (hits + 1) / (permutations + 1), (local_hits + 1) / (permutations + 1), w.any(axis=1))
+    values = spark.createDataFrame([(2020, c, float(v)) for c, v in zip(codes, value)], "year int, code string, value double")
+    graph = spark.createDataFrame(edges, "rule string, src string, dst string, weight double")
+    for r in spatial.moran_global(values, graph, permutations, 7).collect():
+        assert np.isclose(r["moran_i"], want[r["rule"]][0]) and np.isclose(r["p_value"], want[r["rule"]][1])
+    local = {(r["rule"], r["code"]): r["p_value"] for r in spatial.moran_local(values, graph, permutations, 7).collect()}
+    assert set(local) == {(rule, codes[i]) for rule in "qr" for i in np.flatnonzero(want[rule][3])}
+    assert all(np.isclose(p, want[rule][2][codes.index(code)]) for (rule, code), p in local.items())

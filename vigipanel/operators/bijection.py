@@ -10,7 +10,8 @@ bits, so any engine with whole numbers can repeat it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, functions as F
 
 # fixed values: two primes and the powers of two multipliers modulo the first
 MERSENNE, PRIME = (1 << 31) - 1, 4294967291
@@ -36,39 +37,30 @@ def sides(n: Column) -> Column:
     return F.array_min(F.transform(tried, cells))
 
 
-def key(seed: Column, group: Column, permutation: Column) -> Column:
-    """A whole number that stands for one permutation."""
-    start = F.pmod(seed * 48271 + group * 69621 + permutation * 16807, F.lit(MERSENNE))
-    return (start * start % PRIME * 1103515245 + permutation) % PRIME
+def keys(seed: int, group: int, permutations: np.ndarray) -> np.ndarray:
+    """A whole number that stands for each permutation."""
+    start = (seed * 48271 + group * 69621 + permutations.astype(np.int64) * 16807) % MERSENNE
+    return (start * start % PRIME * 1103515245 + permutations) % PRIME
 
 
-def _moved(half: Column, other: Column, side: Column, k: Column, factors, terms) -> Column:
-    times = 1 + (k * factors[0] + terms[0]) % (PRIME - 1)
-    plus = (k * factors[1] + terms[1]) % PRIME
-    return (half + (other * times + plus) % PRIME) % side
-
-
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``target``; they hold ``position`` and ``n`` (long), ``cells`` (from ``sides``) and ``key``."""
-    a, b, k = F.col("cells.a"), F.col("cells.b"), F.col("key")
-    out = rows.withColumns({"_l": _whole(F.col("position"), b), "_r": F.col("position") % b})
+def _through(place: np.ndarray, a: int, b: int, key: np.ndarray) -> np.ndarray:
+    """The network once for each place; ``key`` is a column of keys or one key per place."""
+    key = key.astype(np.uint64)
+    half, sides = list(np.divmod(place, np.uint64(b))), (np.uint64(a), np.uint64(b))
+    prime = np.uint64(PRIME)
     for r in range(ROUNDS):
-        half, other, side = ("_l", "_r", a) if r % 2 == 0 else ("_r", "_l", b)
-        out = out.withColumn(half, _moved(F.col(half), F.col(other), side, k, (FACTORS[r], FACTORS[r + ROUNDS]), (TERMS[r], TERMS[r + ROUNDS])))
-    rounds = F.array(*[F.struct(F.lit(r).alias("r"), *[F.lit(v).cast("long").alias(name) for name, v in (
-        ("f", FACTORS[r]), ("g", FACTORS[r + ROUNDS]), ("t", TERMS[r]), ("u", TERMS[r + ROUNDS]))]) for r in range(ROUNDS)])
-
-    def through(place: Column) -> Column:
-        """The same network for one number, evaluated only where a position walks on."""
-        def step(s: Column, c: Column) -> Column:
-            keys = ((c["f"], c["g"]), (c["t"], c["u"]))
-            return F.when(c["r"] % 2 == 0, F.struct(_moved(s["l"], s["r"], a, k, *keys).alias("l"), s["r"].alias("r"))).otherwise(
-                F.struct(s["l"].alias("l"), _moved(s["r"], s["l"], b, k, *keys).alias("r")))
-
-        return F.aggregate(rounds, F.struct(_whole(place, b).alias("l"), (place % b).alias("r")), step, lambda s: s["l"] * b + s["r"])
-
-    landed, n = F.col("_l") * b + F.col("_r"), F.col("n")
-    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.col("cells.beyond"), F.lit(1).cast("long")))
-    walked = F.aggregate(steps, landed, lambda place, _: F.when(place < n, place).otherwise(through(place)))
-    # never null: a null check of a join on it would be pushed below the rounds, with all of them unfolded into it
-    return out.withColumn("target", F.coalesce(F.when(landed < n, landed).otherwise(walked), F.lit(-1).cast("long"))).drop("_l", "_r")
+        times = np.uint64(1) + (key * np.uint64(FACTORS[r]) + np.uint64(TERMS[r])) % np.uint64(PRIME - 1)
+        plus = (key * np.uint64(FACTORS[r + ROUNDS]) + np.uint64(TERMS[r + ROUNDS])) % prime
+        half[r % 2] = (half[r % 2] + (half[1 - r % 2] * times + plus) % prime) % sides[r % 2]
+    return half[0] * np.uint64(b) + half[1]
+
+
+def dealt(positions: np.ndarray, n: int, a: int, b: int, key: np.ndarray) -> np.ndarray:
+    """Where each permutation (row) deals each position (column), of ``n`` positions in ``a`` times ``b`` cells."""
+    place = np.broadcast_to(positions.astype(np.uint64), (len(key), len(positions)))
+    place = _through(place, a, b, key[:, None])
+    while True:
+        row, column = np.nonzero(place >= np.uint64(n))
+        if not len(row):
+            return place.astype(np.int64)
+        place[row, column] = _through(place[row, column], a, b, key[row])

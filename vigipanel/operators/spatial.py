@@ -5,13 +5,16 @@ dst, weight`` (weights of a source sum to one).  The weight matrix is never
 built: everything is a join with the edge table.
 
 Permutations are keyed bijections of the areas' positions in code order
-(``bijection``): an area finds in its own row where each permutation deals its
-value, so nothing is sorted, and any engine can repeat them.  p-values agree with
+(``bijection``): an area finds from its own position where each permutation deals
+its value, so nothing is sorted, and any engine can repeat them.  Dealt values and
+their sums travel as blocks, matrices of a few areas by all permutations.  p-values agree with
 a pseudo-random generator in distribution, not bit for bit.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vigipanel import fixed_values as fv
@@ -20,7 +23,9 @@ from vigipanel.operators import bijection
 from vigipanel.operators.ranking import row_positions
 from vigipanel.session import cut_lineage
 
-_PART = 32           # neighbours whose arrays are added up at once
+_CELLS = 1 << 19     # numbers in a block, about
+_DEALT = 1 << 21     # numbers dealt or multiplied at once, about
+_TASK = 1 << 22      # numbers a task deals, about
 _DIGITS = 12         # simulated and observed values are compared at this precision
 
 
@@ -59,46 +64,116 @@ def observed_coefficients(values: DataFrame, edges: DataFrame) -> DataFrame:
     return _global_coefficient(spatial_lag(values, edges)).drop("factor")
 
 
-def dealt_values(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
-    """Rows ``year, code, dealt``: the centred values that each permutation deals to an area, as one array.
+def _block_areas(permutations: int) -> int:
+    """Areas of a block: its matrix and the places in it stay small for any number of permutations."""
+    return max(1, _CELLS // max(permutations, 1))
 
-    The one exchange takes dealt values to their areas, each as long as there
-    are permutations; the order of a permutation is never built.
-    """
+
+def _placed(values: DataFrame) -> DataFrame:
+    """Rows ``year, code, z, n, position``, positions from 0 in code order."""
     z = centred(values)
-    placed = cut_lineage(row_positions(z.select("year", "code", "z", F.col("n").cast("long").alias("n")), ["year"], ["code"]).select(
-        "year", "code", "z", "n", (F.col("position") - 1).cast("long").alias("position")))
-    cells = placed.groupBy("year").agg(F.max("n").alias("n")).select("year", bijection.sides(F.col("n")).alias("cells"))     # one row per year
-    the_seed = F.lit(seed).cast("long") + (F.col("year") if seed_plus_year else F.lit(0))
-    keyed = placed.join(F.broadcast(cells), "year").select(
-        "year", "position", "z", "n", "cells", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(permutations).cast("long"))).alias("perm"),
-    ).withColumn("key", bijection.key(the_seed, F.col("year").cast("long"), F.col("perm")))
-    to = bijection.dealt(keyed).groupBy("year", F.col("target").alias("position")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda e: e["z"]).alias("dealt"))
-    return cut_lineage(placed.select("year", "code", "position").join(to, ["year", "position"]).select("year", "code", "dealt"))
-
-
-def _permuted_lags(packed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows ``rule, year, code, dealt, lags``: own dealt values and the weighted sums of the neighbours', by permutation.
-
-    The dealt values of an area travel as one array (as long as there are
-    permutations); the neighbours' arrays are added up element by element, in
-    parts of about ``_PART`` neighbours first, so no array list grows with a degree.
+    return cut_lineage(row_positions(z.select("year", "code", "z", F.col("n").cast("long").alias("n")), ["year"], ["code"]).select(
+        F.col("year").cast("long").alias("year"), "code", "z", "n", (F.col("position") - 1).cast("long").alias("position")))
+
+
+def _dealt_blocks(placed: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
+    """Rows ``year, block, dealt``: what each permutation (column) deals to the areas of a block (rows), as bytes of doubles.
+
+    The one exchange takes dealt values to their blocks; the order of a
+    permutation is never built.
     """
-    degrees = edges.groupBy("rule", "src").agg(F.count(F.lit(1)).alias("degree"))
-    parted = edges.join(degrees, ["rule", "src"]).withColumn(
-        "part", F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(_PART)))
-    )
-    ends = parted.join(packed.select("year", F.col("code").alias("dst"), F.col("dealt").alias("theirs")), "dst")
-    weighed = ends.select("rule", "year", F.col("src").alias("code"), "part", F.transform("theirs", lambda z: z * F.col("weight")).alias("v"))
+    size = _block_areas(permutations)
+    cells = placed.groupBy("year").agg(F.max("n").alias("n")).select("year", bijection.sides(F.col("n")).alias("c")).select("year", "c.a", "c.b")     # one row per year
+    tasks = max(1, placed.count() * permutations // _TASK)
+    rows = placed.select("year", "position", "z", "n").repartition(tasks, "position").join(F.broadcast(cells), "year")
+
+    def deal(batches):
+        for batch in batches:
+            for (year, n, a, b), part in batch.groupby(["year", "n", "a", "b"]):
+                z, positions = part["z"].to_numpy(), part["position"].to_numpy()
+                step = max(1, _DEALT // len(part))
+                for start in range(0, permutations, step):
+                    perms = np.arange(start, min(start + step, permutations))
+                    key = bijection.keys(seed + (int(year) if seed_plus_year else 0), int(year), perms + 1)
+                    to = bijection.dealt(positions, int(n), int(a), int(b), key)
+                    block, slot = (to // size).ravel(), ((to % size) * permutations + perms[:, None]).astype(np.int32).ravel()
+                    order = np.argsort(block.astype(np.int32), kind="stable")
+                    block, slot, dealt = block[order], slot[order], np.broadcast_to(z, to.shape).ravel()[order]
+                    edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+                    found = [(year, block[i], n, slot[i:j].tobytes(), dealt[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:])]
+                    yield pd.DataFrame(found, columns=["year", "block", "n", "slots", "dealt"])
+
+    def assemble(key, parts):
+        matrix = np.full((min(size, int(parts["n"].iloc[0]) - int(key[1]) * size), permutations), np.nan)
+        for slots, dealt in zip(parts["slots"], parts["dealt"]):
+            matrix.reshape(-1)[np.frombuffer(slots, np.int32)] = np.frombuffer(dealt)
+        return pd.DataFrame([(*key, matrix.tobytes())], columns=["year", "block", "dealt"])
+
+    sent = rows.mapInPandas(deal, "year long, block long, n long, slots binary, dealt binary")
+    return cut_lineage(sent.groupBy("year", "block").applyInPandas(assemble, "year long, block long, dealt binary"))
+
+
+def dealt_values(values: DataFrame, permutations: int, seed: int, seed_plus_year: bool) -> DataFrame:
+    """Rows ``year, code, dealt``: the centred values that each permutation deals to an area, as one array."""
+    placed, size = _placed(values), _block_areas(permutations)
+
+    def rows(batches):
+        for batch in batches:
+            for year, block, dealt in zip(batch["year"], batch["block"], batch["dealt"]):
+                matrix = np.frombuffer(dealt).reshape(-1, permutations)
+                yield pd.DataFrame({"year": year, "position": block * size + np.arange(len(matrix)), "dealt": list(matrix)})
+
+    dealt = _dealt_blocks(placed, permutations, seed, seed_plus_year).mapInPandas(rows, "year long, position long, dealt array<double>")
+    return placed.join(dealt, ["year", "position"]).select("year", "code", "dealt")
 
-    def added(df, keys):
-        return df.groupBy(*keys).agg(F.collect_list("v").alias("_all")).select(*keys, F.aggregate(
-            F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0)), lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q),
-        ).alias("v"))
 
-    lags = added(added(weighed, ["rule", "year", "code", "part"]), ["rule", "year", "code"])
-    return lags.withColumnRenamed("v", "lags").join(packed, ["year", "code"])
+def _with_lags(values: DataFrame, edges: DataFrame, permutations: int, seed: int, seed_plus_year: bool, give, schema: str) -> DataFrame:
+    """``give(rule, year, positions, dealt, lags)`` for the areas of each block that have neighbours, rows of ``schema``.
+
+    ``dealt`` are the areas' own dealt values, ``lags`` the weighted sums of the
+    neighbours', by permutation.  Edges go to the block of their neighbour, which
+    adds up what it holds for each area; these sums, one per area and block at
+    most, go to the block of the area.
+    """
+    placed, size = _placed(values), _block_areas(permutations)
+    blocks = _dealt_blocks(placed, permutations, seed, seed_plus_year)
+    at = placed.select("year", "code", (F.col("position") / size).cast("long").alias("block"), (F.col("position") % size).alias("row"))
+    ends = edges.join(at.select("year", F.col("code").alias("dst"), F.col("block").alias("from_block"), F.col("row").alias("from_row")), "dst").join(
+        at.select("year", F.col("code").alias("src"), F.col("block").alias("to_block"), F.col("row").alias("to_row")), ["year", "src"]
+    ).select("rule", "year", "from_block", "from_row", "to_block", "to_row", "weight")
+    chunk = max(1, _DEALT // max(permutations, 1) // 2)
+
+    def add(key, ends, held):
+        matrix = np.frombuffer(held["dealt"].iloc[0]).reshape(-1, permutations) if len(held) else None
+        found = []
+        for (rule, to_block), part in ends.groupby(["rule", "to_block"]) if len(held) else ():
+            part = part.sort_values("to_row")
+            to, source, weight = (part[c].to_numpy() for c in ("to_row", "from_row", "weight"))
+            for i in range(0, len(part), chunk):
+                some = to[i:i + chunk]
+                first = np.flatnonzero(np.diff(some, prepend=-1))
+                sums = np.add.reduceat(matrix[source[i:i + chunk]] * weight[i:i + chunk, None], first, axis=0)
+                found.append((rule, key[0], to_block, some[first].astype(np.int64).tobytes(), sums.tobytes()))
+        return pd.DataFrame(found, columns=["rule", "year", "block", "rows", "sums"])
+
+    sums = ends.groupBy("year", "from_block").cogroup(blocks.groupBy("year", "block")).applyInPandas(
+        add, "rule string, year long, block long, rows binary, sums binary")
+
+    def lags(key, sums, held):
+        dealt = np.frombuffer(held["dealt"].iloc[0]).reshape(-1, permutations) if len(held) else None
+        found = []
+        for rule, part in sums.groupby("rule") if len(held) else ():
+            lag, seen = np.zeros(dealt.shape), np.zeros(len(dealt), bool)
+            for rows, added in zip(part["rows"], part["sums"]):
+                rows = np.frombuffer(rows, np.int64)
+                lag[rows] += np.frombuffer(added).reshape(-1, permutations)
+                seen[rows] = True
+            rows = np.flatnonzero(seen)
+            found.extend(give(rule, int(key[0]), int(key[1]) * size + rows, dealt[rows], lag[rows]))
+        return pd.DataFrame(found, columns=names)
+
+    names = [field.split()[0] for field in schema.split(", ")]
+    return sums.groupBy("year", "block").cogroup(blocks.groupBy("year", "block")).applyInPandas(lags, schema)
 
 
 def _complete(values: DataFrame) -> DataFrame:
@@ -122,8 +197,11 @@ def moran_global(values: DataFrame, edges: DataFrame, permutations: int = fv.PER
     """
     values, edges = _complete(values), cut_lineage(edges.select("rule", "src", "dst", "weight"))
     observed = _global_coefficient(spatial_lag(values, edges))
-    lags = _permuted_lags(dealt_values(values, permutations, seed, seed_plus_year), edges)
-    terms = lags.select("rule", "year", F.posexplode(F.zip_with("dealt", "lags", lambda z, lag: z * lag)).alias("perm", "term"))
+    def totals(rule, year, positions, dealt, lags):
+        return [(rule, year, (dealt * lags).sum(axis=0))]
+
+    terms = _with_lags(values, edges, permutations, seed, seed_plus_year, totals, "rule string, year long, terms array<double>").select(
+        "rule", "year", F.posexplode("terms").alias("perm", "term"))
     simulated = terms.groupBy("rule", "year", "perm").agg(F.sum("term").alias("total"))
     counted = (
         simulated.join(observed, ["rule", "year"]).groupBy("rule", "year")
@@ -150,11 +228,14 @@ def moran_local(values: DataFrame, edges: DataFrame, permutations: int = fv.PERM
         "local_i", F.try_divide(F.col("z") * F.col("lag"), variance)
     )
     limits = observed.select("rule", "year", "code", "local_i", variance.alias("_var"))
-    hits = _permuted_lags(dealt_values(values, permutations, seed, False), edges).join(limits, ["rule", "year", "code"]).select(
-        "rule", "year", "code", F.size(F.filter(
-            F.zip_with("dealt", "lags", lambda z, lag: z * lag), lambda t: _extreme(F.try_divide(t, F.col("_var")), F.col("local_i")),
-        )).alias("_hits"),
-    )
+
+    def terms(rule, year, positions, dealt, lags):
+        return zip([rule] * len(positions), [year] * len(positions), positions, dealt * lags)
+
+    placed = _placed(values).select("year", "position", "code")
+    hits = _with_lags(values, edges, permutations, seed, False, terms, "rule string, year long, position long, terms array<double>").join(
+        placed, ["year", "position"]).join(limits, ["rule", "year", "code"]).select(
+        "rule", "year", "code", F.size(F.filter("terms", lambda t: _extreme(F.try_divide(t, F.col("_var")), F.col("local_i")))).alias("_hits"))
     p_value = F.when(F.col("local_i").isNotNull(), (F.col("_hits") + 1) / F.lit(permutations + 1))
     return (
         observed.join(hits, ["rule", "year", "code"])
