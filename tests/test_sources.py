@@ -231,3 +231,15 @@ def test_large_and_small_digests(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"]: (r["length"], r["sha256"]) for r in files.hashes(spark, str(tmp_path)).collect()}
     assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+
+
+def test_record_joins_take_parts_by_their_rows(spark, monkeypatch):
+    """Parts grow with the order lines, so that the sorts of a task don't; the rows stay."""
+    from vigipanel.plans import views
+
+    few = views.Views(spark, "/root/testdata/sf0.001").staged
+    monkeypatch.setattr(views, "TASK_ROWS", 200)
+    many = views.Views(spark, "/root/testdata/sf0.001").staged
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert many.rdd.getNumPartitions() == -(-rows // 200) > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))

@@ -27,6 +27,7 @@ MEASURES = (
     ("IN046", "IES2003", "disc", 1), ("IN056", "IES0001", "n_f", 100),
 )
 CURRENT_FROM = 2000      # from this year on providers report the current codes
+TASK_ROWS = 500_000      # order lines that a task joins at most, about
 
 
 def whole(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -43,6 +44,12 @@ def whole(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*columns)
 
 
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """``df`` in as many parts by ``key`` as ``rows`` need, where they are more than the session's own."""
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -82,8 +89,10 @@ class Views:
             F.when(flag == "R", "5").when((flag == "A") & (status == "F"), "10")
             .when(flag == "A", severe).when(status == "F", "8")
         )
+        rows = lines.count()
+        placed = spread(orders.join(people, F.col("o_custkey") == F.col("c_custkey")), rows, "o_orderkey")
         return (
-            lines.join(orders.join(people, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
+            spread(lines, rows, "l_orderkey").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.concat(F.lit("33"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0")).alias("residence_code"),
                 F.year("l_shipdate").alias("base_year"),
