@@ -103,6 +103,41 @@ def test_lines(spark, prose, monkeypatch):
     assert line_dedup.counted(docs.where("false")).count() == 0
 
 
+def test_crowded_lines_meet_on_rare_grams(spark, monkeypatch):
+    """Lines that share most of their characters and are no near copies of a hub: the near pairs, not all of them."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    frame_words = [word(7) for _ in range(20)]
+    lines = []
+    for _ in range(60):
+        words = list(frame_words)
+        words[draw.randrange(20)] = word(12)
+        lines.append(" ".join(words))
+    lines += [edited(x, draw, 1 + k % 2) for k, x in enumerate(lines[:12])] + [" ".join(frame_words)]
+    lines = list(dict.fromkeys(lines))
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2}
+    rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "item long, root long, text string")
+    for often in (2, 16):
+        monkeypatch.setattr(line_dedup, "OFTEN", often)
+        got = {(r["a"], r["b"]) for r in line_dedup.rare_pairs(rows).collect()}
+        assert near <= got and 12 <= len(near) and len(got) < 200 < len(lines) * (len(lines) - 1) // 10
+    # the whole operator compares no more than that
+    tried, near_of = spark.sparkContext.accumulator(0), line_dedup._near
+
+    def counted_near(batches):
+        def told():
+            for batch in batches:
+                tried.add(len(batch))
+                yield batch
+        yield from near_of(told())
+
+    monkeypatch.setattr(line_dedup, "_near", counted_near)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in line_dedup.classed(docs).where("stays").collect())
+    assert got == sorted(set(groups(len(lines), near)))
+    assert tried.value < 700
+
+
 def test_lines_of_rows_that_share_an_id(spark, prose):
     a, b, c, d, e, f = (prose(18) for _ in range(6))
     docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{d}\n{e}"), (None, f"{f}\n{b}"), (None, f"{d}\nx"), (3, f"{e}z")], "doc_id long, text string")

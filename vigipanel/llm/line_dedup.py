@@ -9,8 +9,10 @@ difference in length leave open.  Segments, and those substrings, are keys of an
 equality join; candidates are verified with a banded bit-parallel edit distance.
 Lines under a key that more than ``MANY`` share meet again under finer keys,
 threes of six parts, of which near lines also share one.  A key of two lines is a
-pair; the lines of a larger one meet hubs first (``hubs.linked``), and only those
-that are in different classes after that meet each other.
+pair; the lines of a larger one meet hubs first (``hubs.linked``).  Those that are
+in different classes after that are joined exactly on their rare grams: an edit
+changes at most ``GRAM`` grams of ``GRAM`` characters, so of a line's grams in one
+order for all lines, near lines share one of the first GRAM * edits + 1.
 Lines connected by near links are one class, of which the first line by
 (doc_id, line number) stays; equal lines are one line from the start.
 
@@ -39,6 +41,8 @@ EDITS = ((80, 2), (40, 1))         # characters from which on so many edits are
 MANY = 32
 CHUNK = 400_000                    # characters that are hashed at once
 BROADCAST_ROWS = 500_000
+GRAM = 4
+OFTEN = 16                         # lines from which on a gram is no rare one
 _SPACES = np.array([0x20, 9, 10, 11, 12, 13], np.uint32)
 
 
@@ -206,6 +210,58 @@ def _candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(pairs), cut_lineage(many.join(useful, "key", "left_semi").select("key", "item").distinct())
 
 
+def grams_of(text: str) -> np.ndarray:
+    """The grams of a line, the k-th occurrence of one told from the others."""
+    data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    grams = tk.sequence_hashes(data.astype(np.uint64), GRAM)
+    order = np.argsort(grams, kind="stable")
+    held = grams[order]
+    first = np.concatenate(([True], held[1:] != held[:-1])) if len(held) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    turn = np.arange(len(held)) - np.repeat(start, np.diff(np.append(start, len(held))))
+    return tk.mix(held + turn.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def _gram_rows(batches):
+    for batch in batches:
+        for first, texts in _chunks(batch["text"]):
+            grams = [grams_of(text) for text in texts]
+            length = np.array([len(text) for text in texts])
+            each = np.repeat(np.arange(len(texts)), [len(x) for x in grams])
+            item, root = (batch[c].to_numpy()[first + each] for c in ("item", "root"))
+            yield pd.DataFrame({"item": item, "root": root, "length": length[each], "first": (GRAM * edits_for(length) + 1)[each].astype(np.int32), "gram": tk.signed(np.concatenate(grams))})
+
+
+def rare_pairs(lines: DataFrame) -> DataFrame:
+    """Pairs (a < b) of ``lines(item, root, text)`` with different roots that can be near, exact: no near pair is left out.
+
+    All grams have one order: those of up to ``OFTEN`` lines, by their hashes, and
+    then the others by their frequency.  A line with enough rare grams needs no
+    other, so frequent ones are only placed for lines that have few.
+    """
+    grams = cut_lineage(lines.mapInPandas(_gram_rows, "item long, root long, length long, first int, gram long"))
+    often = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > OFTEN))
+    line = ["item", "root", "length", "first"]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """The first grams of each line; a line's grams at most are held."""
+        return rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("grams")).select(
+            "*", F.slice("grams", F.lit(1), F.col("first")).alias("head"))
+
+    rare = cut_lineage(placed(grams.join(often, "gram", "left_anti").withColumn("f", F.lit(0).cast("long"))))
+    full = rare.where(F.size("head") == F.col("first"))
+    few = grams.join(full.select("item"), "item", "left_anti").join(often, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    heads = cut_lineage(full.select(*line, "head").union(placed(few).select(*line, "head")).select("item", "root", "length", F.explode("head.gram").alias("gram")))
+    main = heads.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
+    heads = cut_lineage(heads.join(main, "gram"))
+    # lines of the component that holds most lines of a gram never meet each other
+    one = heads.where("root <> main").select("gram", F.col("item").alias("i"), F.col("root").alias("ri"), F.col("length").alias("li"))
+    two = heads.select("gram", F.col("item").alias("j"), F.col("root").alias("rj"), F.col("length").alias("lj"))
+    met = one.join(two, "gram").where((F.col("ri") != F.col("rj")) & (F.abs(F.col("li") - F.col("lj")) <= EDITS[0][1]))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def within(one: list[str], two: list[str], edits: int) -> np.ndarray:
     """Which pairs are at most ``edits`` apart; each text is longer than ``edits``.
 
@@ -291,9 +347,9 @@ def classed(docs: DataFrame) -> DataFrame:
 
     with rows_per_batch(docs.sparkSession, 2000):
         links, left = linked(pairs, many, verified)
-        one, two = (left.select("key", F.col("item").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        rest = one.join(two, "key").where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.union(verified(rest.distinct()))
+        if not left.isEmpty():
+            open_ = left.select("item", "root").distinct().join(texts, "item")
+            links = links.union(verified(rare_pairs(open_.select("item", "root", "text"))))
     roots = cut_lineage(components(links))
     hint = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
     held = lines.join(hint, F.col("line") == F.col("node"), "left").select("row", "doc_id", "line_no", "line", F.coalesce("root", "line").alias("line_class"))
