@@ -91,11 +91,11 @@ def once(many: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apart(many: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, item, root) of the keys that hold several components."""
+    """(key, item, w, root) of the keys that hold several components."""
     if roots is None:
-        rows = many.select("key", "item", F.col("item").alias("root"))
+        rows = many.select("key", "item", "w", F.col("item").alias("root"))
     else:
-        rows = many.join(roots.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
+        rows = many.join(roots.withColumnRenamed("node", "item"), "item", "left").select("key", "item", "w", F.coalesce("root", "item").alias("root"))
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return cut_lineage(rows.join(several, "key"))
 
@@ -105,18 +105,17 @@ def linked(pairs: DataFrame, many: DataFrame, verified, rounds: int = ROUNDS) ->
 
     In each round all items of a key meet its hub, the item with the most keys,
     unless they are in its component already; the hub then leaves the key.
-    The second frame is (key, item, root) of the keys that still hold several
+    The second frame is (key, item, w, root) of the keys that still hold several
     components: two items that could be linked and are not share one of them.
     """
-    weight = cut_lineage(many.groupBy("item").agg(F.count(F.lit(1)).alias("w")))
-    links, open_ = None, apart(many, None)
+    weight = many.groupBy("item").agg(F.count(F.lit(1)).alias("w"))
+    links, open_ = None, apart(many.join(weight, "item").select("key", "item", "w"), None)
     for turn in range(rounds):
-        weighed = open_.join(weight, "item")
-        hubs = cut_lineage(weighed.groupBy("key").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub")))
+        hubs = cut_lineage(open_.groupBy("key").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub")))
         met = open_.join(hubs, "key").where("root <> hub.root").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
         found = verified((met if turn else met.union(pairs)).distinct())
         links = found if links is None else cut_lineage(links.union(found))
-        open_ = apart(open_.join(hubs, "key").where("item <> hub.item").select("key", "item"), components(links))
+        open_ = apart(open_.join(hubs, "key").where("item <> hub.item").select("key", "item", "w"), components(links))
         if open_.isEmpty():
             break
     return links, open_

@@ -125,7 +125,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart(many: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, item, root) of the keys that hold several components."""
+    """(key, item, w, root) of the keys that hold several components."""
     rows = _with_roots(many, roots) if roots is not None else many.withColumn("root", F.col("item"))
     several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return cut_lineage(rows.join(several, "key"))
@@ -133,16 +133,15 @@ def _apart(many: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def linked(pairs: DataFrame, many: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that connect all items which links among the candidates connect."""
-    weight = cut_lineage(many.groupBy("item").agg(F.count(F.lit(1)).alias("w")))
-    links, roots, open_ = None, None, _apart(many, None)
+    weight = many.groupBy("item").agg(F.count(F.lit(1)).alias("w"))
+    links, roots, open_ = None, None, _apart(many.join(weight, "item").select("key", "item", "w"), None)
     for turn in range(ROUNDS):
-        weighed = open_.join(weight, "item")
-        hubs = cut_lineage(weighed.groupBy("key").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub")))
+        hubs = cut_lineage(open_.groupBy("key").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub")))
         met = open_.join(hubs, "key").where("root <> hub.root").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
         met = (met if turn else met.union(pairs)).distinct()
         links = confirmed(met, sets) if links is None else cut_lineage(links.union(confirmed(met, sets)))
         roots = components(links)
-        open_ = _apart(open_.join(hubs, "key").where("item <> hub.item").select("key", "item"), roots)
+        open_ = _apart(open_.join(hubs, "key").where("item <> hub.item").select("key", "item", "w"), roots)
         if open_.isEmpty():
             return links
     items = cut_lineage(open_.select("item", "root").distinct())
