@@ -55,6 +55,7 @@ MANY = 2
 SEEN = 200_000                     # classes that a task remembers, to give the keys of equal sets once
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_ZERO = np.zeros(1, np.int64)
 
 
 def edges_of_bands(largest: int) -> list[int]:
@@ -91,13 +92,26 @@ def banded(keys: np.ndarray, band: int) -> np.ndarray:
 def segment_keys(elements: np.ndarray, band: int, segments: int):
     """Per non-empty segment its key, and order, starts and sizes of the elements by segment."""
     spread = tk.mix(elements + _SALT)
-    place = (spread % np.uint64(segments)).astype(np.int64)
+    # small numbers are sorted by their digits
+    place = (spread % np.uint64(segments)).astype(np.uint16 if segments <= 1 << 16 else np.int64)
     order = np.argsort(place, kind="stable")
-    held = place[order]
-    starts = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-    sums = np.add.reduceat(spread[order], starts)
+    held, spread = place[order], spread[order]
+    starts = np.concatenate((_ZERO, np.flatnonzero(held[1:] != held[:-1]) + 1))
+    sums = np.add.reduceat(spread, starts)
     salt = held[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(1, band + 1, np.uint64) * _SALT
-    return banded(tk.mix(sums + salt), band), spread[order], starts, np.diff(np.append(starts, len(held))), sums, salt
+    return banded(tk.mix(sums + salt), band), spread, starts, np.diff(starts, append=len(held)), sums, salt
+
+
+def own_keys(elements: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``segment_keys`` and their segments, for sets whose elements need no order."""
+    spread = tk.mix(elements + _SALT)
+    place = (spread % np.uint64(segments)).astype(np.int64)
+    count = np.bincount(place, minlength=segments)
+    sums = np.zeros(segments, np.uint64)
+    np.add.at(sums, place, spread)
+    held = np.flatnonzero(count)
+    salt = held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(1, band + 1, np.uint64) * _SALT
+    return banded(tk.mix(sums[held] + salt), band), held
 
 
 def class_of(elements: np.ndarray) -> int:
@@ -124,8 +138,8 @@ def _members(batches):
                 continue
             needs, signs, bands = [], [], schemes(len(elements))
             for band, segments, differ in bands:
-                keys, spread, starts, *_ = segment_keys(elements, band, segments)
-                signs.append(_bytes_of(keys, (spread[starts] % np.uint64(segments)).astype(np.int64), segments))
+                keys, held = own_keys(elements, band, segments)
+                signs.append(_bytes_of(keys, held, segments))
                 needs.append(len(keys) - differ)
             out.append((len(elements), class_of(elements), bands[0][0], *needs, *signs))
         n, items, bands, need, need_next, own, later = zip(*out) if out else ((),) * 7
@@ -149,7 +163,7 @@ def _first_keys(batches):
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(name)
-            own = [tk.signed(segment_keys(elements, band, segments)[0]) for band, segments, _ in schemes(len(elements))]
+            own = [tk.signed(own_keys(elements, band, segments)[0]) for band, segments, _ in schemes(len(elements))]
             keys.extend(own)
             items.append((name, sum(map(len, own))))
             held += items[-1][1]
