@@ -10,6 +10,7 @@ from vigipanel.session import cut_lineage
 LEVELS = (6, 12, 20, 28, 36, 44, 52)     # tried as the finest until no cell is crowded
 _CROWDED = 64
 _GRID_START = 0.3819660112501051     # where in a cell the origin lies
+_TASK_POINTS = 5_000      # points that a task finds candidates for, about
 _BROADCAST_LEVELS = 5     # at most 4**6 / 3 cells on levels 0..5
 
 
@@ -252,6 +253,10 @@ def nearest(points: DataFrame, k: int = 4) -> DataFrame:
         .select("qx", "qy", "level", (F.col("gx") + F.col("_dx")).alias("gx"), (F.col("gy") + F.col("_dy")).alias("gy"))
     )
     levels_used = leveled.join(asking.select(*cell).distinct(), cell, "left_semi")
+    # a small table makes many candidates, so the parts follow from the points and not from their bytes
+    parts = max(-(-boxed.count() // _TASK_POINTS), 1)
+    if parts > 1:
+        asking, levels_used = asking.repartition(parts, *cell), levels_used.repartition(parts, *cell)
     square = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
     near = Window.partitionBy("qx", "qy").orderBy("d2", "dst")
     met = (
