@@ -171,6 +171,21 @@ def test_constant_values_are_reported(spark):
     assert [r["rule"] for r in dq.spatial_ready(values, _grid_edges(spark)).collect()] == ["spatial_constant"]
 
 
+def test_nearest_takes_parts_by_points(spark, monkeypatch):
+    """The join of cells is dealt by the number of points, not by the few bytes before it."""
+    rng = np.random.default_rng(4)
+    rows = [(f"{k:03d}", float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 40, (90, 2)))]
+    monkeypatch.setattr(neighbours, "_TASK_POINTS", 5)
+    found = neighbours.nearest(spark.createDataFrame(rows, "code string, x double, y double"), 4)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["src"], []).append((r["distance"], r["dst"]))
+    for code, x, y in rows:
+        others = sorted((((a - x) ** 2 + (b - y) ** 2) ** 0.5, other) for other, a, b in rows if other != code)[:4]
+        assert [d for _, d in sorted(got[code])] == [d for _, d in others]
+
+
 @pytest.mark.parametrize("kind", ["scattered", "crowded", "one_place", "few"])
 def test_nearest_is_exact(spark, kind):
     rng = np.random.default_rng(11)

@@ -10,7 +10,7 @@ from vigipanel.session import cut_lineage
 LEVELS = (6, 12, 20, 28, 36, 44, 52)     # tried as the finest until no cell is crowded
 _CROWDED = 64
 _GRID_START = 0.3819660112501051     # where in a cell the origin lies
-_TASK_POINTS = 5_000      # points that a task finds candidates for, about
+_TASK_POINTS = 2_000      # points that a task finds candidates for, about
 _BROADCAST_LEVELS = 5     # at most 4**6 / 3 cells on levels 0..5
 
 
