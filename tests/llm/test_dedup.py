@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import frame
-from vigipanel.llm import jaccard_join, line_dedup, passages, repeats
+from vigipanel.llm import hubs, jaccard_join, line_dedup, passages, repeats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,6 +155,15 @@ def sets(texts):
     return out
 
 
+def test_keys_without_order():
+    for n in (1, 2, 40, 700):
+        elements = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+        for band, segments, _ in jaccard_join.schemes(n):
+            keys, _, starts, *_ = jaccard_join.segment_keys(elements, band, segments)
+            own, held = jaccard_join.own_keys(elements, band, segments)
+            assert own.tolist() == keys.tolist() and len(held) == len(starts)
+
+
 @pytest.mark.parametrize("many", [32, 2])
 def test_jaccard(spark, prose, monkeypatch, many):
     monkeypatch.setattr(jaccard_join, "MANY", many)
@@ -214,6 +223,15 @@ def test_crowds(spark):
     assert got == dict(enumerate(groups(len(texts), linked)))
 
 
+def test_hubs_join_weights_once(spark):
+    """Rows of crowded keys carry their weights from round to round."""
+    many = spark.createDataFrame([(key, item) for key in range(3) for item in range(9)], "key long, item long")
+    pairs = spark.createDataFrame([], "a long, b long")
+    links, left = hubs.linked(pairs, many, lambda found: found.where("a = 0 AND b < 3"))
+    assert left.columns.count("w") == 1 and {r["w"] for r in left.collect()} == {3}
+    assert {(r["a"], r["b"]) for r in links.collect()} <= {(0, 1), (0, 2)}
+
+
 def test_needed_segments():
     for size in list(range(1, 60)) + [137, 1000, 5000]:
         for partner in range(-(-size * 80 // 100), size * 100 // 80 + 1):
