@@ -264,6 +264,25 @@ def test_repeats(spark, prose, many):
     assert repeats.removed(docs.where("false")).count() == 0
 
 
+def test_stretches_without_a_loop_over_anchors(prose, monkeypatch):
+    """Runs of starting places with one anchor against their definition; no frame per text."""
+    for text in [prose(300), "a" * 900, "abcde" * 250, prose(70) + "the " * 300 + prose(80), "é" * 300 + prose(50)]:
+        data = text.encode()
+        at = np.arange(len(data) - 63)
+        grams = repeats.tk.span_hashes(repeats.tk.running(np.frombuffer(data, np.uint8)), at, at + 64)
+        want = [max((p for p in range(k, k + 337) if grams[p] == grams[k:k + 337].min())) for k in range(len(data) - 399)]
+        first, count, name, _ = repeats.stretches(text)
+        got = np.repeat(name, count)
+        assert first.tolist() == [k for k in range(len(want)) if not k or want[k] != want[k - 1]] and got.tolist() == repeats.tk.mix(grams[want]).tolist()
+    made, frame_of = [], repeats.pd.DataFrame
+    monkeypatch.setattr(repeats.pd, "DataFrame", lambda *a, **k: made.append(1) or frame_of(*a, **k))
+    texts = [prose(120) for _ in range(40)]
+    list(repeats._anchor_rows(400)([{"row": list(range(40)), "text": texts}]))
+    wanted = [[{"anchor": 1, "stretch": k, "n": 1, "at": 0, "size": 400, "many": False}] for k in range(40)]
+    rows = [r for f in repeats._pick([{"text": texts, "wanted": wanted}]) for r in f.itertuples(index=False)]
+    assert len(made) == 2 and [r.data for r in rows] == [t.encode()[:400] for t in texts]
+
+
 def test_passages(spark, prose):
     passage = prose(70)
     words = passage.split()
