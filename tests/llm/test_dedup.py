@@ -232,6 +232,15 @@ def test_hubs_join_weights_once(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} <= {(0, 1), (0, 2)}
 
 
+def test_sets_of_several_texts(prose):
+    texts = [None, "", " \t", "One", "a b c d", "a b c d e", "É a\x0bb", prose(3000), prose(30), "the " * 50, "x\ny"]
+    for size in (4, 5):
+        for chunk in (1, 100, 1 << 16):
+            got = list(jaccard_join.tk.shingle_sets(texts, size, chunk))
+            assert [x.tolist() for x in got] == [jaccard_join.tk.shingles(t, size).tolist() for t in texts]
+    assert list(jaccard_join.tk.shingle_sets([])) == []
+
+
 def test_needed_segments():
     for size in list(range(1, 60)) + [137, 1000, 5000]:
         for partner in range(-(-size * 80 // 100), size * 100 // 80 + 1):

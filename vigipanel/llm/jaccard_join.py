@@ -38,6 +38,8 @@ looked at.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -52,7 +54,7 @@ from vigipanel.session import cut_lineage
 NUM, DEN = 80, 100
 SHINGLE = 5
 MANY = 2
-SEEN = 200_000                     # classes that a task remembers, to give the keys of equal sets once
+SEEN = 1 << 18                     # places for classes that a task remembers, to give the keys of equal sets once
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 _ZERO = np.zeros(1, np.int64)
@@ -71,6 +73,7 @@ def allowed(a: int, b: int) -> int:
     return (DEN - NUM) * (a + b) // (DEN + NUM)
 
 
+@lru_cache(maxsize=1 << 14)
 def schemes(size: int) -> list[tuple[int, int, int]]:
     """(band, segments, elements that may differ) for a set's own band and the next one."""
     edges = edges_of_bands(size)
@@ -131,8 +134,7 @@ def _members(batches):
     """Each set's size, class and band; for that band and the next: in how many non-empty segments a linked set agrees (0 or less: not covered), and a byte per segment."""
     for batch in batches:
         out = []
-        for text in batch["text"]:
-            elements = tk.shingles(text, SHINGLE)
+        for elements in tk.shingle_sets(batch["text"], SHINGLE):
             if not len(elements):
                 out.append((0, None, None, None, None, None, None))
                 continue
@@ -152,17 +154,14 @@ def _members(batches):
 
 def _first_keys(batches):
     """Level 0: (key, item) per non-empty segment; equal sets of a task once, as far as it remembers them."""
-    seen: set[int] = set()
+    seen = np.full(SEEN, -1, np.int64)
     for batch in batches:
         keys, items, held = [], [], 0
-        for text in batch["text"]:
-            elements = tk.shingles(text, SHINGLE)
+        for elements in tk.shingle_sets(batch["text"], SHINGLE):
             name = class_of(elements) if len(elements) else None
-            if name is None or name in seen:
+            if name is None or seen[name % SEEN] == name:
                 continue
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.add(name)
+            seen[name % SEEN] = name
             own = [tk.signed(own_keys(elements, band, segments)[0]) for band, segments, _ in schemes(len(elements))]
             keys.extend(own)
             items.append((name, sum(map(len, own))))
@@ -206,7 +205,7 @@ def _further_keys(batches):
 def _sets(batches):
     """(item, elements) from the texts that were fetched for an item; another text of the same row name is left out."""
     for batch in batches:
-        sets = [tk.shingles(text, SHINGLE) for text in batch["text"]]
+        sets = list(tk.shingle_sets(batch["text"], SHINGLE))
         good = [len(x) > 0 and class_of(x) == item for x, item in zip(sets, batch["item"])]
         yield pd.DataFrame({"item": batch["item"][good], "elements": [tk.signed(x) for x, fits in zip(sets, good) if fits]})
 
