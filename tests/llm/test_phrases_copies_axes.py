@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DOC, frame
 from vigipanel.llm import collocations, minhash_pairs, whitening
@@ -119,6 +120,17 @@ def test_near_copies(spark, prose, monkeypatch, rounds):
     assert sorted(got) == plain_components(texts, range(100, 100 + len(texts)))
 
 
+def test_crowds_leave_half_keys_only(spark, prose):
+    """A crowd has a row for each half-key of an item, not one for each pair of them."""
+    draw = random.Random(5)
+    base = prose(150)
+    texts = [replaced(base, draw, draw.randint(1, 4)) for _ in range(60)]
+    rows = [(k, minhash_pairs.tk.signed(minhash_pairs.half_keys(minhash_pairs.tk.shingles(t, 4))).tolist()) for k, t in enumerate(texts + [prose(40)])]
+    halves = minhash_pairs.shared_halves(spark.createDataFrame(rows, "item long, halves array<long>"))
+    held = {r["item"]: (r["n"], r["w"]) for r in halves.groupBy("item").agg(F.count("*").alias("n"), F.max("w").alias("w")).collect()}
+    assert set(held) <= set(range(60)) and len(held) > 50 and all(n == w <= 2 * minhash_pairs.HALVES for n, w in held.values())
+
+
 def test_near_copies_without_ids(spark, prose):
     """Null and repeated doc_ids, repeated rows."""
     one, two = prose(50), prose(50)

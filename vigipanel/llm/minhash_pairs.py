@@ -8,11 +8,13 @@ HASHES min-hashes, the square root of what separate tables would need.  Two sets
 of similarity s share a key with probability (1 - (1 - s**HASHES)**HALVES)**2,
 0.9995 at 0.8 (see ``chance``).
 
-A half-key that one item alone has is dropped before pairs of half-keys are
-formed, so a document without near copies leaves no key.  Keys that hold the
-same items are one.  Keys of two items are pairs.  In larger ones all items meet
-a hub first, the item with the most keys; ``ROUNDS`` hubs take their turn while a
-key holds several components.  What is left then is not compared pair by pair:
+A half-key that one item alone has is dropped, and so are the items that share
+none of one collection.  Two items that share a half-key of either collection
+share a table key; table keys are not formed.  All items of a half-key meet its
+hub first, the one with the most shared half-keys, which then leaves it; up to
+``ROUNDS`` hubs take their turn while a half-key holds several components and
+each round closes more than half of what is open.  What is left then is not
+compared pair by pair:
 the items still apart are joined exactly, on the rare elements of their sets (of
 n elements ordered by frequency two linked sets share one of the first
 n - 0.8 n + 1, near enough to the front that the rest can still suffice), where
@@ -74,8 +76,7 @@ def item_of(elements: np.ndarray) -> int:
 def _members(batches):
     for batch in batches:
         sizes, items, halves = [], [], []
-        for text in batch["text"]:
-            elements = tk.shingles(text, SHINGLE)
+        for elements in tk.shingle_sets(batch["text"], SHINGLE):
             sizes.append(len(elements))
             items.append(item_of(elements) if len(elements) else None)
             halves.append(tk.signed(half_keys(elements)) if len(elements) else None)
@@ -87,7 +88,7 @@ def _members(batches):
 def _sets(batches):
     """(item, elements) from the texts that were fetched for an item; another text of the same row name is left out."""
     for batch in batches:
-        sets = [tk.shingles(text, SHINGLE) for text in batch["text"]]
+        sets = list(tk.shingle_sets(batch["text"], SHINGLE))
         own = [len(x) > 0 and item_of(x) == item for x, item in zip(sets, batch["item"])]
         yield pd.DataFrame({"item": batch["item"][own], "elements": [tk.signed(x) for x, good in zip(sets, own) if good]})
 
@@ -97,20 +98,18 @@ def _alike(a: str | Column, b: str | Column) -> Column:
     return (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
 
 
-def crowded(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) from keys of two items, and (key, item) of keys of more, from ``items(item, halves)``; equal keys once."""
-    halves = items.select("item", F.posexplode("halves").alias("at", "half"))
+def _both(rows: DataFrame) -> DataFrame:
+    """(item, w) of the items that ``rows(item, second)`` holds with half-keys of both collections, and how many."""
+    held = rows.groupBy("item").agg(F.count(F.lit(1)).alias("w"), F.min("second").alias("low"), F.max("second").alias("high"))
+    return held.where("high AND NOT low").select("item", "w")
+
+
+def shared_halves(items: DataFrame) -> DataFrame:
+    """(half, item, second, w): the half-keys of ``items(item, halves)`` that several have, of items that share some of both collections."""
+    halves = items.select("item", F.posexplode("halves").alias("at", "half")).select("half", "item", (F.col("at") >= HALVES).alias("second"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    both = halves.join(shared, "half").groupBy("item").agg(
-        F.collect_list(F.when(F.col("at") < HALVES, F.col("half"))).alias("one"), F.collect_list(F.when(F.col("at") >= HALVES, F.col("half"))).alias("two"))     # HALVES each at most
-    keys = both.select("item", F.explode("one").alias("h"), "two").select("item", "h", F.explode("two").alias("g")).select(F.xxhash64("h", "g").alias("key"), "item")
-    keys = cut_lineage(keys)
-    held = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"), F.min("item").alias("a"), F.max("item").alias("b"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64("item", F.lit(1))).alias("y"),
-    ).where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("key", "a", "b")).alias("k")).select("c", "k.*")
-    held = cut_lineage(held)
-    many = keys.join(held.where("c > 2").select("key"), "key").select("key", "item")
-    return held.where("c = 2").select("a", "b"), cut_lineage(many)
+    rows = cut_lineage(halves.join(shared, "half"))
+    return cut_lineage(rows.join(_both(rows), "item").select("half", "item", "second", "w"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,26 +123,29 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
 
 
-def _apart(many: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, item, w, root) of the keys that hold several components."""
-    rows = _with_roots(many, roots) if roots is not None else many.withColumn("root", F.col("item"))
-    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return cut_lineage(rows.join(several, "key"))
-
-
-def linked(pairs: DataFrame, many: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect all items which links among the candidates connect."""
-    weight = many.groupBy("item").agg(F.count(F.lit(1)).alias("w"))
-    links, roots, open_ = None, None, _apart(many.join(weight, "item").select("key", "item", "w"), None)
-    for turn in range(ROUNDS):
-        hubs = cut_lineage(open_.groupBy("key").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub")))
-        met = open_.join(hubs, "key").where("root <> hub.root").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
-        met = (met if turn else met.union(pairs)).distinct()
-        links = confirmed(met, sets) if links is None else cut_lineage(links.union(confirmed(met, sets)))
-        roots = components(links)
-        open_ = _apart(open_.join(hubs, "key").where("item <> hub.item").select("key", "item", "w"), roots)
-        if open_.isEmpty():
+def _apart(halves: DataFrame, roots: DataFrame) -> DataFrame:
+    """(half, item, second, w, root) of the half-keys that hold several components, as far as an item has some of both collections."""
+    rows = _with_roots(halves, roots)
+    several = rows.groupBy("half").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("half")
+    rows = cut_lineage(rows.join(several, "half").select("half", "item", "second", "w", "root"))
+    return cut_lineage(rows.join(_both(rows).select("item"), "item", "left_semi"))
+
+
+def linked(halves: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect all items which links among those that share a half-key of either collection connect."""
+    links, open_, size = None, halves.withColumn("root", F.col("item")), halves.count()
+    for _ in range(ROUNDS):
+        hubs = open_.groupBy("half").agg(F.max_by(F.struct("item", "root"), F.struct("w", "item")).alias("hub"))
+        star = cut_lineage(open_.join(hubs, "half"))
+        met = star.where("root <> hub.root").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b")).distinct()
+        found = confirmed(met, sets)
+        links = found if links is None else cut_lineage(links.union(found))
+        open_ = _apart(star.where("item <> hub.item").select("half", "item", "second", "w"), components(links))
+        size, before = open_.count(), size
+        if not size:
             return links
+        if 2 * size > before:
+            break
     items = cut_lineage(open_.select("item", "root").distinct())
     return links.union(confirmed(_rare_pairs(items, sets), sets))
 
@@ -176,11 +178,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = cut_lineage(own.mapInPandas(_members, "doc_id long, row long, n long, item long, halves array<long>"))
     items = cut_lineage(members.where("item IS NOT NULL").groupBy("item").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "halves")).alias("m")).select("item", "low", "copies", "m.row", "m.halves"))
-    pairs, many = crowded(items)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).union(many.select("item")).distinct()
+    halves = shared_halves(items)
+    needed = halves.select("item").distinct()
     texts = own.select("row", "text").join(items.select("item", "row").join(needed, "item"), "row").select("item", "text")
     sets = cut_lineage(texts.mapInPandas(_sets, "item long, elements array<long>").dropDuplicates(["item"]))
-    roots = components(linked(pairs, many, sets)).withColumnRenamed("node", "item")
+    roots = components(linked(halves, sets)).withColumnRenamed("node", "item")
     grouped = items.join(roots, "item", "left").where("copies > 1 OR root IS NOT NULL").select("item", "low", F.coalesce("root", "item").alias("root"))
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = cut_lineage(grouped.join(least, "root").select("item", F.struct("component_id").alias("group")))
