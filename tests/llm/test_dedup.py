@@ -138,6 +138,53 @@ def test_crowded_lines_meet_on_rare_grams(spark, monkeypatch):
     assert tried.value < 700
 
 
+def test_frequent_grams_meet_on_counts(spark):
+    """Lines of a few words in many orders, whose short grams are all frequent: near pairs are found, and few others tried."""
+    draw = random.Random(3)
+    words = "an the retion ouen tistha sting ndea thing other".split()
+    base = [draw.choice(words) for _ in range(24)]
+    lines = []
+    for _ in range(90):
+        copy = list(base)
+        for at in draw.sample(range(24), 4):
+            copy[at] = draw.choice(words)
+        lines.append(" ".join(copy))
+    lines = list(dict.fromkeys(lines + [edited(x, draw, 1 + k % 2) for k, x in enumerate(lines[:20])]))
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2}
+    rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "item long, root long, text string")
+    got = {(r["a"], r["b"]) for r in line_dedup.rare_pairs(rows).collect()}
+    assert near <= got and 18 <= len(near) and len(got) < 300
+
+
+def test_pairs_that_counts_of_characters_rule_out():
+    draw = random.Random(12)
+    one = ["".join(draw.choice("ab é") for _ in range(50)) for _ in range(200)]
+    two = [edited(x, draw, draw.randint(0, 3)) for x in one]
+    allowed = np.array([k % 3 for k in range(200)])
+    good = line_dedup.possible(one, two, allowed)
+    assert all(good[k] for k in range(200) if distance(one[k], two[k]) <= allowed[k])
+    assert not line_dedup.possible(["aaab"], ["bbba"], np.array([1]))[0]
+
+
+@pytest.mark.parametrize("buffer", [1, 7, 100_000])
+def test_keys_of_probes_only(spark, monkeypatch, buffer):
+    monkeypatch.setattr(hubs, "BUFFER", buffer)
+    rows = [(1, 3), (1, 5), (1, 7), (2, 3), (2, 5), (3, 8), (3, 3), (4, 9), (4, 4), (4, 5), (5, 2), (6, 6), (6, 6)] + [(7, 2 * k + 1) for k in range(30)]
+    batches = [hubs.pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "item": [i for _, i in part]}) for part in [
+        x[at:at + 4] for x in [sorted(rows, key=lambda r: (r[0], r[1] & 1, r[1]))] for at in range(0, len(rows), 4)]]
+
+    class Frame:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            return sorted((r["a"], r["b"], r["many"]) for b in run(iter(batches)) for r in b.to_pylist())
+
+    assert hubs.sharing(Frame(), probes=True) == [(3, 8, False), (4, 4, True), (4, 5, True), (4, 9, True)]
+
+
 def test_lines_of_rows_that_share_an_id(spark, prose):
     a, b, c, d, e, f = (prose(18) for _ in range(6))
     docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{d}\n{e}"), (None, f"{f}\n{b}"), (None, f"{d}\nx"), (3, f"{e}z")], "doc_id long, text string")

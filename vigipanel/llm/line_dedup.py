@@ -8,11 +8,14 @@ holds one of them unchanged, at one of a few places that its position and the
 difference in length leave open.  Segments, and those substrings, are keys of an
 equality join; candidates are verified with a banded bit-parallel edit distance.
 Lines under a key that more than ``MANY`` share meet again under finer keys,
-threes of six parts, of which near lines also share one.  A key of two lines is a
+threes of six parts, of which near lines also share one.  A key under which no
+line has a segment of its own gives nothing.  A key of two lines is a
 pair; the lines of a larger one meet hubs first (``hubs.linked``).  Those that are
 in different classes after that are joined exactly on their rare grams: an edit
 changes at most ``GRAM`` grams of ``GRAM`` characters, so of a line's grams in one
-order for all lines, near lines share one of the first GRAM * edits + 1.
+order for all lines, near lines share one of the first GRAM * edits + 1.  It also
+changes at most two counts of characters by one, so lines whose counts differ in
+more than 2 * edits never leave that join, and no pair of them is verified.
 Lines connected by near links are one class, of which the first line by
 (doc_id, line number) stays; equal lines are one line from the start.
 
@@ -39,11 +42,14 @@ from vigipanel.session import cut_lineage
 
 EDITS = ((80, 2), (40, 1))         # characters from which on so many edits are allowed
 MANY = 32
-CHUNK = 400_000                    # characters that are hashed at once
+CHUNK = 100_000                    # characters that are hashed at once
+SEEN = 1 << 18                     # places for lines that a task remembers, to give the keys of equal ones once
+VERIFIED = 2_000                   # pairs that are verified at once, after those that cannot be near
+BINS = 32                          # kinds of characters that are counted for that
 BROADCAST_ROWS = 500_000
 GRAM = 4
 OFTEN = 16                         # lines from which on a gram is no rare one
-_SPACES = np.array([0x20, 9, 10, 11, 12, 13], np.uint32)
+_CODES = tk.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 def edits_for(length: np.ndarray) -> np.ndarray:
@@ -74,12 +80,14 @@ def lines_of(texts: list[str]):
     counts = np.array([t.count("\n") + 1 for t in texts])
     row = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    solid = np.flatnonzero(~np.isin(data, _SPACES))
+    solid = np.flatnonzero((data != 0x20) & (data - np.uint32(9) > 4))         # no white space; 9 to 13 are, and less wraps around
     low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     full = high > low
     row, number, low, high = row[full], number[full], low[full], high[full]
-    values = tk.mix(data.astype(np.uint64) + np.full(1, 1, np.uint64)) * tk._powers(tk._STEP, len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    values = _CODES[data] if data.max(initial=0) < len(_CODES) else tk.mix(data.astype(np.uint64) + np.full(1, 1, np.uint64))
+    values *= tk._powers(tk._STEP, len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values, dtype=np.uint64, out=sums[1:])
     return row, number, solid[low], solid[high - 1] + 1, sums
 
 
@@ -126,6 +134,7 @@ def keys_of(sums, starts, ends):
 
 
 def _key_rows(batches):
+    seen = np.ones(SEEN, np.int64)                 # names are even
     for batch in batches:
         for _, texts in _chunks(batch["text"]):
             _, _, starts, ends, sums = lines_of(texts)
@@ -134,6 +143,12 @@ def _key_rows(batches):
             if not len(starts):
                 continue
             names, first = np.unique(_names(sums, starts, ends), return_index=True)
+            place = names >> 1 & SEEN - 1
+            new = seen[place] != names
+            names, first = names[new], first[new]
+            seen[place[new]] = names
+            if not len(names):
+                continue
             index, key, role = keys_of(sums, starts[first], ends[first])
             yield pd.DataFrame({"key": tk.signed(key), "item": names[index] | role})
 
@@ -205,9 +220,8 @@ def _candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     role_a, role_b = F.col("a").bitwiseAND(F.lit(1)), F.col("b").bitwiseAND(F.lit(1))
     a, b = F.col("a") - role_a, F.col("b") - role_b
     pairs = met.where(~F.col("many") & ((role_a == 0) | (role_b == 0))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    many = met.where("many").select(F.col("a").alias("key"), b.alias("item"), role_b.alias("role"))
-    useful = many.where("role = 0").select("key").distinct()
-    return cut_lineage(pairs), cut_lineage(many.join(useful, "key", "left_semi").select("key", "item").distinct())
+    many = met.where("many").select(F.col("a").alias("key"), b.alias("item")).distinct()
+    return cut_lineage(pairs), cut_lineage(many)
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -232,6 +246,19 @@ def _gram_rows(batches):
             yield pd.DataFrame({"item": item, "root": root, "length": length[each], "first": (GRAM * edits_for(length) + 1)[each].astype(np.int32), "gram": tk.signed(np.concatenate(grams))})
 
 
+def counts_of(texts) -> np.ndarray:
+    """A row per text: how often it has characters of each kind."""
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    return np.bincount(row * BINS + data % BINS, minlength=len(texts) * BINS).reshape(-1, BINS)
+
+
+def _count_rows(batches):
+    for batch in batches:
+        for first, texts in _chunks(batch["text"]):
+            yield pd.DataFrame({"item": batch["item"].iloc[first:first + len(texts)].to_numpy(), "counts": list(counts_of(texts).astype(np.int32))})
+
+
 def rare_pairs(lines: DataFrame) -> DataFrame:
     """Pairs (a < b) of ``lines(item, root, text)`` with different roots that can be near, exact: no near pair is left out.
 
@@ -252,13 +279,17 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
     full = rare.where(F.size("head") == F.col("first"))
     few = grams.join(full.select("item"), "item", "left_anti").join(often, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     heads = cut_lineage(full.select(*line, "head").union(placed(few).select(*line, "head")).select("item", "root", "length", F.explode("head.gram").alias("gram")))
+    counts = lines.select("item", "text").mapInPandas(_count_rows, "item long, counts array<int>")
+    heads = cut_lineage(heads.join(counts, "item"))
     main = heads.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
     heads = cut_lineage(heads.join(main, "gram"))
     # lines of the component that holds most lines of a gram never meet each other
-    one = heads.where("root <> main").select("gram", F.col("item").alias("i"), F.col("root").alias("ri"), F.col("length").alias("li"))
-    two = heads.select("gram", F.col("item").alias("j"), F.col("root").alias("rj"), F.col("length").alias("lj"))
-    met = one.join(two, "gram").where((F.col("ri") != F.col("rj")) & (F.abs(F.col("li") - F.col("lj")) <= EDITS[0][1]))
+    one = heads.where("root <> main").select("gram", F.col("item").alias("i"), F.col("root").alias("ri"), F.col("length").alias("li"), F.col("counts").alias("ci"))
+    two = heads.select("gram", F.col("item").alias("j"), F.col("root").alias("rj"), F.col("length").alias("lj"), F.col("counts").alias("cj"))
+    differing = F.aggregate(F.zip_with("ci", "cj", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    most = EDITS[0][1]
+    met = one.join(two, "gram").where((F.col("ri") != F.col("rj")) & (F.abs(F.col("li") - F.col("lj")) <= most) & (differing <= 2 * most))
     return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
@@ -296,22 +327,47 @@ def within(one: list[str], two: list[str], edits: int) -> np.ndarray:
     return near & (score <= edits)
 
 
+def possible(one: list[str], two: list[str], edits: np.ndarray) -> np.ndarray:
+    """Pairs whose counts of characters leave so few edits possible: one edit changes one count, or two, by one."""
+    return np.abs(counts_of(one) - counts_of(two)).sum(axis=1) <= 2 * edits
+
+
 def _near(batches):
+    held, size = [], 0
     for batch in batches:
         one, two = batch["text_a"].to_numpy(), batch["text_b"].to_numpy()
-        sizes = np.array([max(len(x), len(y)) for x, y in zip(one, two)], np.int64)
         allowed = edits_for(np.array([min(len(x), len(y)) for x, y in zip(one, two)], np.int64))
-        good = np.zeros(len(batch), bool)
-        for edits in {e for _, e in EDITS}:
-            rows = np.flatnonzero(allowed == edits)
-            rows = rows[np.argsort(sizes[rows], kind="stable")]
-            at = 0
-            while at < len(rows):
-                step = max(1, min(2000, 1_000_000 // int(sizes[rows[min(at + 999, len(rows) - 1)]])))
-                part = rows[at:at + step]
-                good[part] = within(list(one[part]), list(two[part]), edits)
-                at += step
-        yield batch.loc[good, ["a", "b"]]
+        ends = np.cumsum([len(x) + len(y) for x, y in zip(one, two)])
+        at, good = 0, np.zeros(len(batch), bool)
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+            good[at:stop] = possible(list(one[at:stop]), list(two[at:stop]), allowed[at:stop])
+            at = stop
+        held.append(batch[good & (allowed > 0)])
+        size += len(held[-1])
+        if size >= VERIFIED:
+            yield _verified(pd.concat(held))
+            held, size = [], 0
+    if size:
+        yield _verified(pd.concat(held))
+
+
+def _verified(batch: pd.DataFrame) -> pd.DataFrame:
+    """The near pairs (a, b)."""
+    one, two = batch["text_a"].to_numpy(), batch["text_b"].to_numpy()
+    sizes = np.array([max(len(x), len(y)) for x, y in zip(one, two)], np.int64)
+    allowed = edits_for(np.array([min(len(x), len(y)) for x, y in zip(one, two)], np.int64))
+    good = np.zeros(len(batch), bool)
+    for edits in {e for _, e in EDITS}:
+        rows = np.flatnonzero(allowed == edits)
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        at = 0
+        while at < len(rows):
+            step = max(1, min(2000, 1_000_000 // int(sizes[rows[min(at + 999, len(rows) - 1)]])))
+            part = rows[at:at + step]
+            good[part] = within(list(one[part]), list(two[part]), edits)
+            at += step
+    return batch.loc[good, ["a", "b"]]
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, first: DataFrame) -> DataFrame:
@@ -333,12 +389,12 @@ def classed(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", _row().alias("row"))
     lines = cut_lineage(docs.mapInPandas(_line_rows, "row long, doc_id long, line_no int, line long"))
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-    pairs, many = _candidates(cut_lineage(sharing(docs.mapInPandas(_key_rows, "key long, item long"))))
+    pairs, many = _candidates(cut_lineage(sharing(docs.mapInPandas(_key_rows, "key long, item long"), probes=True)))
     wanted = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("item")), F.struct(F.col("b").alias("item"))))).union(many.select("item")).distinct()
     texts = _line_texts(docs, wanted, first)
     large = cut_lineage(many.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MANY).select("key"))
     crowded = texts.join(many.join(large, "key", "left_semi").select("item").distinct(), "item", "left_semi")
-    more, fine = _candidates(cut_lineage(sharing(crowded.mapInPandas(_fine_rows, "key long, item long"))))
+    more, fine = _candidates(cut_lineage(sharing(crowded.mapInPandas(_fine_rows, "key long, item long"), probes=True)))
     pairs = cut_lineage(pairs.union(more).distinct())
     many, _ = once(many.join(large, "key", "left_anti").union(fine))
 
