@@ -156,6 +156,28 @@ def test_frequent_grams_meet_on_counts(spark):
     assert near <= got and 18 <= len(near) and len(got) < 300
 
 
+@pytest.mark.parametrize("slots", [4, 1 << 18])
+def test_lines_hand_on_their_first_grams_only(spark, monkeypatch, slots):
+    """Near copies of one long line: no step holds all grams of a line, and no order of the grams loses a near pair."""
+    draw = random.Random(15)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(90))
+    lines = list(dict.fromkeys([base] + [edited(base, draw, 1 + k % 4) for k in range(40)]))
+    near = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= 2}
+    rows = spark.createDataFrame([(k, k, x) for k, x in enumerate(lines)], "item long, root long, text string")
+    monkeypatch.setattr(line_dedup, "SLOTS", slots, raising=False)
+    sizes, cut = [], line_dedup.cut_lineage
+
+    def told(frame):
+        out = cut(frame)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut_lineage", told)
+    got = {(r["a"], r["b"]) for r in line_dedup.rare_pairs(rows).collect()}
+    assert near <= got and len(near) > 20
+    assert max(sizes) <= (4 * 2 + 1) * len(lines)
+
+
 def test_pairs_that_counts_of_characters_rule_out():
     draw = random.Random(12)
     one = ["".join(draw.choice("ab é") for _ in range(50)) for _ in range(200)]

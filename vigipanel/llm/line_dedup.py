@@ -48,7 +48,8 @@ VERIFIED = 2_000                   # pairs that are verified at once, after thos
 BINS = 32                          # kinds of characters that are counted for that
 BROADCAST_ROWS = 500_000
 GRAM = 4
-OFTEN = 16                         # lines from which on a gram is no rare one
+OFTEN = 16                         # grams of a slot up to which they are rare
+SLOTS = 1 << 18                    # a power of two; numbers that order the grams of all lines
 _CODES = tk.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
@@ -236,16 +237,6 @@ def grams_of(text: str) -> np.ndarray:
     return tk.mix(held + turn.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def _gram_rows(batches):
-    for batch in batches:
-        for first, texts in _chunks(batch["text"]):
-            grams = [grams_of(text) for text in texts]
-            length = np.array([len(text) for text in texts])
-            each = np.repeat(np.arange(len(texts)), [len(x) for x in grams])
-            item, root = (batch[c].to_numpy()[first + each] for c in ("item", "root"))
-            yield pd.DataFrame({"item": item, "root": root, "length": length[each], "first": (GRAM * edits_for(length) + 1)[each].astype(np.int32), "gram": tk.signed(np.concatenate(grams))})
-
-
 def counts_of(texts) -> np.ndarray:
     """A row per text: how often it has characters of each kind."""
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -253,34 +244,57 @@ def counts_of(texts) -> np.ndarray:
     return np.bincount(row * BINS + data % BINS, minlength=len(texts) * BINS).reshape(-1, BINS)
 
 
-def _count_rows(batches):
-    for batch in batches:
-        for first, texts in _chunks(batch["text"]):
-            yield pd.DataFrame({"item": batch["item"].iloc[first:first + len(texts)].to_numpy(), "counts": list(counts_of(texts).astype(np.int32))})
+def _slot(grams: np.ndarray, slots: int) -> np.ndarray:
+    return (grams & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _slot_rows(slots: int):
+    """How many grams of a task's lines fall into each slot."""
+
+    def run(batches):
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for _, texts in _chunks(batch["text"]):
+                total += np.bincount(_slot(np.concatenate([grams_of(text) for text in texts]), slots), minlength=slots)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot.astype(np.int32), "n": total[slot]})
+
+    return run
+
+
+def _head_rows(rank: np.ndarray):
+    """The first grams of each line, in the order of ``rank`` and hash, with its counts of characters."""
+
+    def run(batches):
+        for batch in batches:
+            for first, texts in _chunks(batch["text"]):
+                length = np.array([len(text) for text in texts])
+                heads = []
+                for text, edits in zip(texts, edits_for(length).tolist()):
+                    grams = grams_of(text)
+                    heads.append(grams[np.lexsort((grams, rank[_slot(grams, len(rank))]))[:GRAM * edits + 1]])
+                each = np.repeat(np.arange(len(texts)), [len(x) for x in heads])
+                item, root = (batch[c].to_numpy()[first + each] for c in ("item", "root"))
+                counts = np.minimum(counts_of(texts), np.iinfo(np.int16).max).astype(np.int16)      # no difference grows by that
+                yield pd.DataFrame({"item": item, "root": root, "length": length[each], "gram": tk.signed(np.concatenate(heads)), "counts": list(counts[each])})
+
+    return run
 
 
 def rare_pairs(lines: DataFrame) -> DataFrame:
     """Pairs (a < b) of ``lines(item, root, text)`` with different roots that can be near, exact: no near pair is left out.
 
-    All grams have one order: those of up to ``OFTEN`` lines, by their hashes, and
-    then the others by their frequency.  A line with enough rare grams needs no
-    other, so frequent ones are only placed for lines that have few.
+    All grams have one order: by the number of grams in their slot, of ``SLOTS``
+    by hash, and then by their hashes; numbers of up to ``OFTEN`` count as one.
+    The numbers decide how many pairs meet, not which near ones do, so a table of
+    ``SLOTS`` numbers serves any input, and each line hands on its first grams only.
     """
-    grams = cut_lineage(lines.mapInPandas(_gram_rows, "item long, root long, length long, first int, gram long"))
-    often = cut_lineage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > OFTEN))
-    line = ["item", "root", "length", "first"]
-
-    def placed(rows: DataFrame) -> DataFrame:
-        """The first grams of each line; a line's grams at most are held."""
-        return rows.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("grams")).select(
-            "*", F.slice("grams", F.lit(1), F.col("first")).alias("head"))
-
-    rare = cut_lineage(placed(grams.join(often, "gram", "left_anti").withColumn("f", F.lit(0).cast("long"))))
-    full = rare.where(F.size("head") == F.col("first"))
-    few = grams.join(full.select("item"), "item", "left_anti").join(often, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    heads = cut_lineage(full.select(*line, "head").union(placed(few).select(*line, "head")).select("item", "root", "length", F.explode("head.gram").alias("gram")))
-    counts = lines.select("item", "text").mapInPandas(_count_rows, "item long, counts array<int>")
-    heads = cut_lineage(heads.join(counts, "item"))
+    lines = cut_lineage(lines)
+    held = lines.select("text").mapInPandas(_slot_rows(SLOTS), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rank = np.zeros(SLOTS, np.int64)
+    rank[held["slot"].to_numpy()] = held["n"].to_numpy()
+    rank[rank <= OFTEN] = 0
+    heads = cut_lineage(lines.mapInPandas(_head_rows(rank), "item long, root long, length long, gram long, counts array<short>"))
     main = heads.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(
         F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("gram", "main")
     heads = cut_lineage(heads.join(main, "gram"))
