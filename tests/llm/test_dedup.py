@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import frame
@@ -422,6 +423,74 @@ def test_compact_windows():
         assert got == want
 
 
+def _windows_of(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["item", "text"])
+    rows = np.concatenate([np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1) for b in passages._windows([batch])])
+    return rows[:, [1, 0, 2, 3, 4]]          # item, key, c, l, r
+
+
+def test_windows_of_several_texts(prose):
+    """Texts worked on together have the windows of each alone."""
+    texts = [prose(300), None, "short", "the " * 400, prose(50), "", prose(49), prose(700)]
+    rows = _windows_of(texts)
+    for k, text in enumerate(texts):
+        tokens = passages.tk.sequence_hashes(passages.tk.words(text), 5)
+        want = set()
+        for f in range(passages.HASHES if len(tokens) >= passages.LEAST else 0):
+            want |= {(f, *x) for x in passages.compact_windows(passages.tk.mix(tokens ^ passages._SEEDS[f:f + 1])).tolist()}
+        assert {(x[1] & 3, *x[2:]) for x in rows[rows[:, 0] == k].tolist()} == want
+
+
+def test_places_of_repeating_texts(prose, monkeypatch):
+    """The stretches of a key that overlap in a text make one place, so a text that repeats itself makes no product of them."""
+    passage = prose(60)
+    texts = ["the " * 400, prose(100) + " the" * 300, prose(200), " ".join([passage] * 9), passage]
+    rows = _windows_of(texts)
+    want = defaultdict(list)
+    for item in range(len(texts)):
+        own = rows[rows[:, 0] == item].tolist()
+        for _, kx, cx, lx, rx in own:
+            for _, ky, cy, ly, ry in own:
+                low, high = max(lx, ly), min(rx, ry)
+                if kx & 3 < ky & 3 and low <= min(cx, cy) and max(cx, cy) <= high and high - low + 1 >= passages.LEAST:
+                    want[item, kx, ky].append((low, high, min(cx, cy), max(cx, cy)))
+    for chunk in (1 << 20, 100):
+        monkeypatch.setattr(passages, "_PAIRS", chunk)
+        places = passages._places(rows)
+        assert places[:, 6].sum() == sum(map(len, want.values())) and len({tuple(x) for x in places[:, :2].tolist()}) == len(want)
+    assert [x[2:4] + x[6:] for x in places[places[:, 1] == 0].tolist()] == [[0, 395, 351]] * 6
+    hits = passages._meet(places[np.lexsort((places[:, 1], places[:, 0]))])
+    assert len({tuple(x[:2]) for x in passages._regions(hits[hits[:, 6] == 0][:, :6]).tolist()}) == 1 and (hits[:, 6] > passages.MANY).sum() >= 12
+
+
+def test_regions_in_any_order():
+    """Merging hits before gives the same regions, and none of a pair overlap in both texts."""
+    draw = np.random.default_rng(5)
+    low = draw.integers(0, 400, (300, 2))
+    hits = np.column_stack((draw.integers(0, 3, 300), np.full(300, 9), low[:, 0], low[:, 0] + 46, low[:, 1], low[:, 1] + 46))
+    whole = {tuple(x) for x in passages._regions(hits).tolist()}
+    parts = np.concatenate([passages._regions(hits[draw.permutation(300)[:200]]), hits])
+    assert {tuple(x) for x in passages._regions(parts).tolist()} == whole
+    boxes = np.array(sorted(whole))
+    for k, box in enumerate(boxes):
+        met = passages._overlapping(boxes, box) & (boxes[:, 0] == box[0])
+        assert met.sum() == 1 and met[k]
+
+
+def test_pairs_left_over(spark, prose):
+    """Leftover pairs without enough common shingles are not verified; no pair with a passage is dropped."""
+    common, passage = prose(20), prose(70)
+    texts = [prose(60) + " " + common + " " + prose(60) for _ in range(6)]
+    texts += [prose(30) + " " + passage + " " + prose(40), passage, "the " * 80, "the " * 60 + common, " ".join(passage.split()[:30] + ["new"] + passage.split()[30:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "item long, text string")
+    words = [passages.tk.sequence_hashes(passages.tk.words(t), 5) for t in texts]
+    many = spark.createDataFrame([(0, k, 0, len(w) - 1) for k, w in enumerate(words)], "key long, item long, low int, high int")
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    want = {(a, b) for a, b in pairs if passages.passages_of(words[a], words[b])}
+    got = {tuple(r) for r in passages._likely(docs, many, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert want and want <= got and not [(a, b) for a, b in got if a < 6 and b < 6]
+
+
 def test_jaccard_without_ids(spark, prose):
     a, b = prose(60), prose(60)
     docs = spark.createDataFrame([(None, a), (7, a + " more"), (None, b), (None, b + " x"), (9, None)], "doc_id long, text string")
