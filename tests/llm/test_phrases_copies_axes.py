@@ -220,3 +220,15 @@ def test_eigenpairs_of_hard_spectra():
             assert np.allclose(values, want, rtol=1e-12, atol=1e-12 * max(want[0], 1e-300))
             assert np.allclose(axes.T @ axes, np.eye(len(want)), atol=1e-13)
             assert np.linalg.norm(v @ axes - axes * values, axis=0).max() <= 1e-12 * max(want[0], 1e-300)
+
+
+def test_bit_table_without_rows_on_the_driver(spark, monkeypatch):
+    """The table is set in tasks and comes to the driver as bytes, in pieces of a fixed size."""
+    for n in (0, 1, 20_000):
+        found = spark.range(n).select(F.xxhash64("id").alias("print"), F.lit(10).cast("long").alias("n"))
+        prints = np.array([r["print"] for r in found.collect()], np.int64).view(np.uint64)
+        with monkeypatch.context() as patched:
+            patched.setattr(type(found), "toPandas", lambda self: pytest.fail("all words of the table as rows"))
+            bits = collocations.bit_table(found).value
+        assert len(bits) * 64 == (1 << 19 if n > 1 else 1 << 16) and collocations.has(bits, prints).all()
+        assert sum(int(x).bit_count() for x in bits) == len({int(p) % (len(bits) * 64) for p in prints})

@@ -45,6 +45,7 @@ BLOCK = 1 << 21
 BITS = 64
 MOST_BITS = 1 << 28
 BITS_PER_ENTRY = 16
+PIECE = 1 << 10                         # words of the bit table in a row
 _EXACT = "decimal(38,0)"
 
 _END = np.zeros(256, bool)
@@ -141,15 +142,30 @@ def frequent(texts: DataFrame, counted, least: int) -> DataFrame:
 
 
 def bit_table(found: DataFrame):
-    """Broadcast bits of the fingerprints; 64 to a word, at most ``MOST_BITS`` in all."""
+    """Broadcast bits of the fingerprints; 64 to a word, at most ``MOST_BITS`` in all.
+
+    Tasks set the bits; the driver gets them as bytes, a few pieces at a time.
+    """
     size = 1 << 16
     while size < min(MOST_BITS, found.count() * BITS_PER_ENTRY):
         size *= 2
-    slot = F.col("print").bitwiseAND(F.lit(size - 1))
-    words = found.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(print & 63L AS int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+
+    def packed(batches):
+        bits = np.zeros(size // 64, np.uint64)
+        for batch in batches:
+            slot = np.sort(batch["slot"].to_numpy())
+            first = np.flatnonzero(np.diff(slot >> 6, prepend=-1))
+            if len(first):
+                bits[slot[first] >> 6] |= np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
+        bits = bits.reshape(-1, PIECE)
+        for piece in np.flatnonzero(bits.any(axis=1)).tolist():
+            yield pd.DataFrame({"piece": [piece], "bits": [bits[piece].tobytes()]})
+
+    slots = found.select(F.col("print").bitwiseAND(F.lit(size - 1)).alias("slot"))
+    pieces = cut_lineage(slots.repartition(F.expr(f"slot div {64 * PIECE}")).mapInPandas(packed, "piece long, bits binary"))
     bits = np.zeros(size // 64, np.uint64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    for row in pieces.toLocalIterator():
+        bits[row["piece"] * PIECE:(row["piece"] + 1) * PIECE] = np.frombuffer(row["bits"], np.uint64)
     return found.sparkSession.sparkContext.broadcast(bits)
 
 
