@@ -487,7 +487,7 @@ def test_pairs_left_over(spark, prose):
     many = spark.createDataFrame([(0, k, 0, len(w) - 1) for k, w in enumerate(words)], "key long, item long, low int, high int")
     pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
     want = {(a, b) for a, b in pairs if passages.passages_of(words[a], words[b])}
-    got = {tuple(r) for r in passages._likely(docs, many, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {tuple(r) for r in passages._likely(docs, many, spark.createDataFrame(pairs, "a long, b long"), docs.select("item")).collect()}
     assert want and want <= got and not [(a, b) for a, b in got if a < 6 and b < 6]
 
 
