@@ -232,3 +232,13 @@ def test_bit_table_without_rows_on_the_driver(spark, monkeypatch):
             bits = collocations.bit_table(found).value
         assert len(bits) * 64 == (1 << 19 if n > 1 else 1 << 16) and collocations.has(bits, prints).all()
         assert sum(int(x).bit_count() for x in bits) == len({int(p) % (len(bits) * 64) for p in prints})
+
+
+def test_phrases_as_they_stand():
+    """Phrases with single spaces are cut out in one piece, the others joined from their words."""
+    text = "Aa b  c\td \ud800x é\xff , w\x0bq ü z " * 3
+    (_, block), = collocations.blocks(collocations.pd.DataFrame({"text": [text], "lang": ["xx"]}), 64, 1 << 20)
+    words = [block.data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(block.starts, block.ends)]
+    for size in (1, 2, 3):
+        at = block.prints(size)[0]
+        assert len(at) and block.phrases(at, size) == [" ".join(words[p:p + size]) for p in at.tolist()]

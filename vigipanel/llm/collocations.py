@@ -93,8 +93,17 @@ class Block:
             number[k] = len(first) + names.setdefault(self.data[self.starts[k]:self.ends[k]].tobytes(), len(names))
         return number
 
-    def word(self, k: int) -> str:
-        return self.data[self.starts[k]:self.ends[k]].tobytes().decode("utf-8", "replace")
+    def phrases(self, places: np.ndarray, size: int) -> list[str]:
+        """The words from each place on, with a space between them; as they stand where the text has one space too."""
+        raw, first, last = self.data.tobytes(), self.starts[places], self.ends[places + size - 1]
+        single = np.ones(len(places), bool)
+        for k in range(size - 1):
+            end = self.ends[places + k]
+            single &= (self.starts[places + k + 1] == end + 1) & (self.data[end] == 0x20)
+        return [
+            raw[i:j].decode("utf-8", "replace") if whole else " ".join([raw[self.starts[m]:self.ends[m]].decode("utf-8", "replace") for m in range(p, p + size)])
+            for i, j, whole, p in zip(first.tolist(), last.tolist(), single.tolist(), places.tolist())
+        ]
 
 
 def blocks(batch: pd.DataFrame, bits: int, size: int) -> Iterator[tuple[str, Block]]:
@@ -227,7 +236,7 @@ def _spelled(lang: str, block: Block, triples, few: np.ndarray, more: np.ndarray
         if not len(at):
             continue
         places = np.concatenate((at[first], at[differ]))          # collisions speak for themselves
-        phrases = [" ".join(map(block.word, range(p, p + size))) for p in places.tolist()]
+        phrases = block.phrases(places, size)
         yield pd.DataFrame({"lang": lang, "phrase": phrases, "size": size, "f": np.concatenate((n, np.ones(int(differ.sum()), n.dtype)))})
 
 
